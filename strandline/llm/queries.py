@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, html_main, language, lm, quality, secrets, simhash
+from . import bpe, decontaminate, exact_dedup, html_main, language, licenses, lm, quality, secrets, simhash
 from .common import table
 
 BPE_PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_simhash, op4_quality, op5_secrets, op6_language, op7_bpe, op8_lm, op9_exact_dedup, op10_html)
+    f.__name__: f for f in (op1_decontamination, op2_licenses, op3_simhash, op4_quality, op5_secrets, op6_language, op7_bpe, op8_lm, op9_exact_dedup, op10_html)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,6 +75,22 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+
+OP2_SQL = f"""
+WITH t AS (SELECT template_id, list_filter(regexp_split_to_array(lower(text), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(template_id, text)),
+d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+ti AS (SELECT template_id, w, unnest(range(1, len(w) - 3)) AS i FROM t),
+ts AS (SELECT DISTINCT template_id, array_to_string(w[i : i + 4], ' ') AS s FROM ti),
+tn AS (SELECT template_id, count(*) AS n FROM ts GROUP BY template_id),
+di AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
+dsh AS (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS s FROM di),
+m AS (SELECT r, template_id, count(*) AS k FROM dsh JOIN ts USING (s) GROUP BY r, template_id),
+f AS (SELECT r, template_id, k / n AS c FROM m JOIN tn USING (template_id) WHERE k / n >= 0.8),
+g AS (SELECT r, count(*) AS n, string_agg(template_id, ',' ORDER BY template_id) AS ids, max(c) AS c FROM f GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(ids, '') AS licenses, CAST(coalesce(c, 0) AS DOUBLE) AS containment FROM d LEFT JOIN g USING (r)
+"""
+
 OP9_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm, length(coalesce(text, '')) AS points FROM documents),
 k AS (SELECT r, doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -79,4 +99,4 @@ k AS (SELECT r, doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, kept, sha256(norm) AS text_sha256 FROM k
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_licenses": OP2_SQL, "op9_exact_dedup": OP9_SQL}
