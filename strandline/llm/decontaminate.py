@@ -20,7 +20,7 @@ no entry of the item list. Repeated items count once; repeated documents are rep
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -114,15 +114,16 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int
             yield rows
 
 
-_matchers: dict[int, WuManber] = {}
+_matchers: dict[str, WuManber] = {}
 
 
 def _matcher(shared, size: int) -> WuManber:
     """The matcher of a broadcast block, built once in each Python worker."""
-    if shared.id not in _matchers if hasattr(shared, "id") else True:
+    key, items = shared.value
+    if key not in _matchers:
         _matchers.clear()
-        _matchers[getattr(shared, "id", 0)] = matcher(shared.value, size)
-    return next(iter(_matchers.values()))
+        _matchers[key] = matcher(items, size)
+    return _matchers[key]
 
 
 def _search(docs: DataFrame, text_col: str, shared, size: int) -> DataFrame:
@@ -156,12 +157,13 @@ def _search(docs: DataFrame, text_col: str, shared, size: int) -> DataFrame:
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int) -> DataFrame:
-    context = docs.sparkSession.sparkContext
+    def search(rows: DataFrame, block: list[tuple[str | None, bytes]]) -> DataFrame:
+        return _search(rows, text_col, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), size)
+
     out = None
     for block in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        out = docs if out is None else cut(out)
-        out = _search(out, text_col, context.broadcast(block), size)
-    return out if out is not None else _search(docs, text_col, context.broadcast([]), size)
+        out = search(docs if out is None else cut(out), block)
+    return out if out is not None else search(docs, [])
 
 
 def _report(found: DataFrame, keep: list[str]) -> DataFrame:

@@ -35,7 +35,7 @@ def content_hash(text: Column) -> Column:
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash128=content_hash) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, h (the content hash).
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, h (the content hash), points.
 
     hash128 makes the hash of a normalised text; a weak one is slower and changes nothing else."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -57,13 +57,14 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         (F.col("row") == -F.col("best.at")).alias("kept"),
         "text_sha256",
         "h",
+        "points",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are: one of each class of equal texts."""
-    keep = exact_classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"))
-    keyed = docs.withColumn("__key", content_hash(normalised(text_col)))
-    out = keyed.join(keep, keyed[id_col].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__h"]), "left_semi")
-    # A row repeated with its id matches the kept row twice; one of them stays.
-    return out.dropDuplicates([id_col, "__key"]).drop("__key")
+    keep = exact_classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), F.col("points").alias("__n"))
+    keyed = docs.withColumns({"__key": content_hash(normalised(text_col)), "__points": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
+    out = keyed.join(keep, keyed[id_col].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__h"]) & (keyed["__points"] == keep["__n"]), "left_semi")
+    # A row repeated with its id and size matches the kept row twice; one of them stays.
+    return out.dropDuplicates([id_col, "__key"]).drop("__key", "__points")
