@@ -152,7 +152,7 @@ def _link_cells(batches, most: int, n_pivots: int):
 
 
 def links(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS, n_pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
-    """fps: distinct fp. Returns a, b: links that join each component, some more than once."""
+    """fps: distinct fp. Returns a, b: links that join each component, many of them more than once."""
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = []
     for chosen in combinations(range(blocks), blocks - most):
@@ -168,7 +168,7 @@ def links(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS, n_pivots:
         "combo", "key", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "fp"
     )
     dealt = cells.repartition("combo", "key", "left", "right").sortWithinPartitions("combo", "key", "left", "right")
-    return dealt.mapInArrow(lambda batches: _link_cells(batches, most, n_pivots), "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: _link_cells(batches, most, n_pivots), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
