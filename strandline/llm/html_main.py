@@ -21,9 +21,11 @@ Defined cases: a null or empty page gives an empty text; tags that are never clo
 a null or unparsable url is a host of its own name (''). Repeated rows are reported each. Extra columns
 are not read.
 
-Scale: pass 1 sends hashes of nodes and contents, added up before and after the shuffle; pass 2 joins
+Scale: pass 1 sends hashes of nodes and contents, added up before and after the shuffle. Pass 2 joins
 each host's short list of removed nodes (each is on half of the host's pages, so a list is at most twice
-as long as a page) to its pages, which adaptive execution may split.
+as long as a page) to its pages: the lists are counted, and at most BROADCAST_NODES nodes are broadcast,
+so that no page is shuffled; beyond that each list is repeated under SALTS salts and pages are dealt by
+host and salt, so that one host's pages spread over that many tasks.
 """
 
 from __future__ import annotations
@@ -37,11 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import cut, texts
 
 LOW = 0.2
 LOW_IN_ARTICLE = 0.05
 LEAST_PAGES = 5
+BROADCAST_NODES = 200_000
+SALTS = 64
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -200,10 +204,19 @@ def removed_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     return sums.where(F.col("m") >= least_pages).join(total, "host").where((2 * F.col("m") >= F.col("pages")) & (importance < bound)).groupBy("host").agg(F.collect_list("node").alias("nodes"))
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def _with_removed(narrow: DataFrame, low: DataFrame, broadcast_nodes: int, salts: int) -> DataFrame:
+    """narrow with nodes, the removed ones of its host."""
+    low = cut(low)
+    if (low.agg(F.sum(F.size("nodes") + 1)).first()[0] or 0) <= broadcast_nodes:
+        return narrow.join(F.broadcast(low), "host", "left")
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return narrow.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES, salts: int = SALTS) -> DataFrame:
     """One row per page: id_col, url_col, text, n_chars."""
-    low = removed_nodes(pages, url_col, html_col)
-    narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host")).join(low, "host", "left").select("id", "url", "html", "nodes")
+    narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
+    narrow = _with_removed(narrow, removed_nodes(pages, url_col, html_col), broadcast_nodes, salts).select("id", "url", "html", "nodes")
 
     def run(batches):
         for batch in batches:
