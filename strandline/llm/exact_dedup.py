@@ -8,8 +8,8 @@ doc_id orders after all others. Rows that repeat a doc_id are rows of their own:
 class has kept = true. Extra columns, whatever their names, are not read. An empty table gives no rows.
 
 Plan: copies collapse in each map task before anything is shuffled (partial aggregation on hash and
-bytes), so a group that holds a third of the rows sends one row a task. The join that brings the class
-back to its rows carries no text, and adaptive execution may split it.
+bytes, and on hash and digest), so a group that holds a third of the rows sends one row a task. The join
+that brings the class back to its rows carries no text, and adaptive execution may split it.
 """
 
 from __future__ import annotations
@@ -34,36 +34,44 @@ def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash128=content_hash) -> DataFrame:
-    """One row per input row: id_col, keep_id, group_size, kept, text_sha256, h (the content hash), points.
+def _rows(docs: DataFrame, id_col: str, text_col: str, hash128) -> DataFrame:
+    """id, points, row (a number of its own), h and text_sha256 of each row, without text."""
+    source = docs.select(F.col(id_col).alias("id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("points"), normalised(text_col).alias("norm"))
+    return cut(source.select("id", "points", F.monotonically_increasing_id().alias("row"), hash128(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256")))
 
-    hash128 makes the hash of a normalised text; a weak one is slower and changes nothing else."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(
-        source.select("id", F.char_length(F.coalesce("text", F.lit(""))).alias("points"), normalised().alias("norm"))
-        .select("id", "points", F.monotonically_increasing_id().alias("row"), hash128(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("text_sha256"))
-    )
+
+def _classes(docs: DataFrame, rows: DataFrame, text_col: str, hash128) -> DataFrame:
+    """h, tag, group_size, best: a row for each class. tag is empty unless different bytes share the hash h."""
+    best = F.max(F.struct("points", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("minus"), (-F.col("row")).alias("at")))
+    digests = rows.groupBy("h", "text_sha256").agg(F.count("*").alias("n"), best.alias("best"))
     # The comparison of bytes: the text itself is a grouping key, beside its hash.
-    bodies = source.select(normalised().alias("norm")).select(hash128(F.col("norm")).alias("h"), "norm").groupBy("h", "norm").agg(F.lit(1).alias("one"))
+    bodies = docs.select(normalised(text_col).alias("norm")).select(hash128(F.col("norm")).alias("h"), "norm").groupBy("h", "norm").agg(F.lit(1).alias("one"))
     shared = bodies.groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h", F.lit(True).alias("split"))
     # Where different bytes share a hash, the second digest tells them apart; elsewhere the hash is the class.
-    rows = rows.join(shared, "h", "left").withColumn("tag", F.when(F.col("split"), F.col("text_sha256")).otherwise(""))
-    best = F.max(F.struct("points", F.col("id").isNotNull().alias("has"), (-F.col("id")).alias("minus"), (-F.col("row")).alias("at")))
-    classes = rows.groupBy("h", "tag").agg(F.count("*").alias("group_size"), best.alias("best"))
-    return rows.join(classes, ["h", "tag"]).select(
+    tag = F.when(F.col("split"), F.col("text_sha256")).otherwise("")
+    return digests.join(shared, "h", "left").groupBy("h", tag.alias("tag")).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+
+
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash128=content_hash) -> DataFrame:
+    """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
+
+    hash128 makes the hash of a normalised text; a weak one is slower and changes nothing else."""
+    rows = _rows(docs, id_col, text_col, hash128)
+    # Written, so that the join below is of two plain tables and adaptive execution may split a hot hash.
+    classes = cut(_classes(docs, rows, text_col, hash128)).withColumnRenamed("h", "class_h")
+    return rows.join(classes, (F.col("h") == F.col("class_h")) & ((F.col("tag") == "") | (F.col("tag") == F.col("text_sha256")))).select(
         F.col("id").alias(id_col),
         (-F.col("best.minus")).alias("keep_id"),
         "group_size",
         (F.col("row") == -F.col("best.at")).alias("kept"),
         "text_sha256",
-        "h",
-        "points",
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are: one of each class of equal texts."""
-    keep = exact_classes(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), F.col("points").alias("__n"))
+    classes = _classes(docs, _rows(docs, id_col, text_col, content_hash), text_col, content_hash)
+    keep = classes.select((-F.col("best.minus")).alias("__id"), F.col("h").alias("__h"), F.col("best.points").alias("__n"))
     keyed = docs.withColumns({"__key": content_hash(normalised(text_col)), "__points": F.char_length(F.coalesce(F.col(text_col), F.lit("")))})
     out = keyed.join(keep, keyed[id_col].eqNullSafe(keep["__id"]) & (keyed["__key"] == keep["__h"]) & (keyed["__points"] == keep["__n"]), "left_semi")
     # A row repeated with its id and size matches the kept row twice; one of them stays.

@@ -46,7 +46,7 @@ def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_classes(table(spark, sf_dir, "documents")).drop("h", "points")
+    return exact_dedup.exact_classes(table(spark, sf_dir, "documents"))
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
