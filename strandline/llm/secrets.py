@@ -37,7 +37,7 @@ _SAYS = r"""["']?\x20*[:=]\x20*["']?"""
 ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))" + _SAYS + r"([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-IDENT = r"(?:(?i:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login))" + _SAYS + r"([A-Za-z0-9@._-]{3,})"
+IDENT = r"(?:(?i:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:[_-]?(?:name|id))?|login))" + _SAYS + r"([A-Za-z0-9@._-]{3,})"
 OPAQUE = r"[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"(?:https?|ftps?|s3|mysql|postgres(?:ql)?|mongodb|redis|amqps?)://[^\x00-\x20\"'<>\\)]+"
 
