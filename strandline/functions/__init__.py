@@ -1 +1 @@
-"""See the modules."""
+"""Column functions, each from Columns to a Column."""

@@ -1,4 +1,4 @@
 """Registered queries: importing this package fills base.QUERIES and base.ORACLES."""
 
-from . import alignment, scores, sequences, statistics  # noqa: F401
+from . import alignment, contracts, scalars, scores, selections, sequences, statistics  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401
