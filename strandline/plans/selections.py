@@ -106,7 +106,7 @@ def g07(spark, sf):
     return Z.typical_rows(streams(spark, sf), ["key", "x"], "k", "i")
 
 
-SPREAD = """n AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT f, CASE WHEN n <= 9 THEN j ELSE CAST(round_even((0.02 + j * 0.12) * (n - 1), 0) AS BIGINT) END AS slot FROM n, range(9) AS t(j) WHERE j < n)"""
+SPREAD = """n AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1), p AS (SELECT DISTINCT f, CASE WHEN n <= 9 THEN j ELSE CAST(round_even((0.02::DOUBLE + j * 0.12::DOUBLE) * (n - 1), 0) AS BIGINT) END AS slot FROM n, range(9) AS t(j) WHERE j < n)"""
 
 
 @query("g08_spread_rows", f"WITH {SPREAD}, r AS (SELECT l_returnflag AS f, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot, l_orderkey FROM lineitem) SELECT f, l_orderkey FROM r JOIN p USING (f, slot)")
