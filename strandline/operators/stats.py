@@ -81,11 +81,11 @@ def block_bootstrap(blocks: DataFrame, block: str, numerator: str, denominator:
     return chosen.join(blocks, block).groupBy("replicate").agg(F.try_divide(F.sum(F.col("times") * F.col(numerator)), F.sum(F.col("times") * F.col(denominator))).alias("value"))
 
 
-def block_ap_parts(df: DataFrame, block: str, y: str, p: str, pos: str) -> DataFrame:
-    """block, positives, precision_sum: average precision as a sum of contributions of blocks."""
-    w = Window.orderBy(F.desc(p), pos)
+def block_ap_parts(df: DataFrame, by: list[str], block: str, y: str, p: str, pos: str) -> DataFrame:
+    """by, block, positives, precision_sum: each group's average precision as a sum of contributions of its blocks."""
+    w = Window.partitionBy(*by).orderBy(F.desc(p), pos)
     ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", F.sum(F.col(y).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.groupBy(block).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.coalesce(F.sum(F.when(F.col(y), F.col("__c") / F.col("__r"))), F.lit(0.0)).alias("precision_sum"))
+    return ranked.groupBy(*by, block).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.coalesce(F.sum(F.when(F.col(y), F.col("__c") / F.col("__r"))), F.lit(0.0)).alias("precision_sum"))
 
 
 def circular_null(df: DataFrame, part: list[str], run_pos: str, run_len: str, a: str, b: str, shifts: list[int]) -> DataFrame:
@@ -175,3 +175,33 @@ def most_alive(df: DataFrame, by: list[str], probe: str, edges: list[str], least
     """by, probe, motion, alive: the probe whose weakest edge moves most, and whether it moves at least `least`."""
     weakest = F.least(*edges)
     return df.groupBy(*by).agg(F.max(F.struct(weakest.alias("m"), (-F.col(probe)).alias("q"))).alias("x")).select(*by, (-F.col("x.q")).alias(probe), F.col("x.m").alias("motion"), (F.col("x.m") >= least).alias("alive"))
+
+
+def median_argmax(events: DataFrame, by: list[str], event: str, lag: str, score: str, replicates: int, seed: int) -> DataFrame:
+    """by, replicate, winner: for events drawn with replacement the lag of the highest median score, the smallest on
+    ties. events: one row per (by, event, lag); draws are hashes, so they repeat on any cluster."""
+    ids = events.select(*by, event).distinct().withColumn("__at", (F.row_number().over(Window.partitionBy(*by).orderBy(event)) - 1).cast("long"))
+    n = ids.groupBy(*by).agg(F.count("*").alias("__n"))
+    draws = n.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    drawn = draws.withColumn("__at", F.pmod(F.xxhash64(*by, "replicate", "__d", F.lit(seed)), F.col("__n"))).groupBy(*by, "replicate", "__at").agg(F.count("*").alias("__times"))
+    met = drawn.join(ids, [*by, "__at"]).join(events, [*by, event])
+    middle = met.groupBy(*by, "replicate", lag).agg(F.percentile(score, F.lit(0.5), F.col("__times")).alias("__m"))
+    return middle.groupBy(*by, "replicate").agg(F.max_by(lag, F.struct("__m", (-F.col(lag)).alias("l"))).alias("winner"))
+
+
+def block_agreement(events: DataFrame, by: list[str], event: str, lag: str, score: str, blocks: int, reach: int) -> DataFrame:
+    """by, lowest, highest, agrees: the winning lag (highest mean score, the smallest on ties) of each of several
+    stretches of a group's events in order, and whether all lie within reach of each other."""
+    cut = events.select(*by, event).distinct().withColumn("__b", F.ntile(blocks).over(Window.partitionBy(*by).orderBy(event)))
+    mean = events.join(cut, [*by, event]).groupBy(*by, "__b", lag).agg(F.round(F.avg(score), 9).alias("__m"))
+    best = mean.groupBy(*by, "__b").agg(F.max_by(lag, F.struct("__m", (-F.col(lag)).alias("l"))).alias("w"))
+    return best.groupBy(*by).agg(F.min("w").alias("lowest"), F.max("w").alias("highest")).withColumn("agrees", F.col("highest") - F.col("lowest") <= reach)
+
+
+def bind_confidence(df: DataFrame, by: list[str], unit: str, support: str, score: str, least: float) -> DataFrame:
+    """by, unit, confidence, trusted: each group's best unit (the first name on ties), its support times 0.65 of its
+    score and 0.35 of its lead over the next one, and whether that is enough."""
+    w = Window.partitionBy(*by).orderBy(F.desc(score), unit)
+    led = df.withColumn("__r", F.row_number().over(w)).withColumn("__next", F.coalesce(F.lead(score).over(w), F.lit(0.0)))
+    confidence = F.col(support) * (0.65 * F.col(score) + 0.35 * (F.col(score) - F.col("__next")))
+    return led.where("__r = 1").select(*by, unit, confidence.alias("confidence")).withColumn("trusted", F.col("confidence") >= least)

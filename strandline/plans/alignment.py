@@ -127,10 +127,10 @@ def d16(spark, sf):
     return A.precedence_merge(left, table(spark, sf, "labels").select("doc_id", F.col("quality").alias("q")), ["doc_id"], "q")
 
 
-@query("d17_linked_clusters", f"""WITH {EV}, sp AS (SELECT s, pos, pos + k % 3 AS e FROM ev WHERE k % 2 = 0), m AS (SELECT *, max(e) OVER (PARTITION BY s ORDER BY pos, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sp),
+@query("d17_linked_clusters", f"""WITH {EV}, sp AS (SELECT s, pos, pos + k % 3 AS e FROM ev), m AS (SELECT *, max(e) OVER (PARTITION BY s ORDER BY pos, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sp),
 n AS (SELECT *, sum(CASE WHEN pos < r THEN 0 ELSE 1 END) OVER (PARTITION BY s ORDER BY pos) AS q FROM m) SELECT s, pos, min(pos) OVER (PARTITION BY s, q) AS cluster FROM n""")
 def d17(spark, sf):
-    spans = streams(spark, sf).where("k % 2 = 0").select("s", "pos", (F.col("pos") + F.col("k") % 3).alias("e"))
+    spans = streams(spark, sf).select("s", "pos", (F.col("pos") + F.col("k") % 3).alias("e"))
     return A.linked_clusters(spans, ["s"], "pos", "e").select("s", "pos", "cluster")
 
 

@@ -174,10 +174,11 @@ def e24(spark, sf):
     return M.votes(streams(spark, sf), ["s", "g"], "key", "view", "click")
 
 
-@query("e25_unseen_rate", f"WITH {EV}, c AS (SELECT s, k * 8 + CASE WHEN x THEN 1 ELSE 0 END + CASE WHEN active THEN 2 ELSE 0 END AS c FROM ev), t AS (SELECT DISTINCT c FROM c WHERE s % 7 = 0), e AS (SELECT c FROM c WHERE s % 7 = 1) SELECT (SELECT count(*) FROM t) AS known, count(*) FILTER (WHERE c NOT IN (SELECT c FROM t)) AS unseen_rows, round(count(*) FILTER (WHERE c NOT IN (SELECT c FROM t)) / count(*), 6) AS rate FROM e")
+@query("e25_unseen_rate", f"WITH {EV}, c AS (SELECT s, k * 8 + CASE WHEN x THEN 1 ELSE 0 END + CASE WHEN active THEN 2 ELSE 0 END AS c FROM ev), t AS (SELECT DISTINCT c FROM c WHERE s % 7 = 0), e AS (SELECT c FROM c WHERE s % 7 <> 0) SELECT (SELECT count(*) FROM t) AS known, count(*) FILTER (WHERE c NOT IN (SELECT c FROM t)) AS unseen_rows, round(count(*) FILTER (WHERE c NOT IN (SELECT c FROM t)) / count(*), 6) AS rate FROM e")
 def e25(spark, sf):
+    """A seventh of the streams against all others: every row is in one of the two."""
     df = streams(spark, sf).withColumn("c", F.col("k") * 8 + M.joint_code(["x", "active"]))
-    return _r(M.unseen_rate(df.where("s % 7 = 0"), df.where("s % 7 = 1"), "c"), "rate")
+    return _r(M.unseen_rate(df.where("s % 7 = 0"), df.where("s % 7 <> 0"), "c"), "rate")
 
 
 @query("e26_rank_auc", f"WITH {EV}, r AS (SELECT key, x, row_number() OVER (PARTITION BY key ORDER BY p, x DESC, i) AS r FROM ev), c AS (SELECT key, sum(r) FILTER (WHERE x) AS r, count(*) FILTER (WHERE x) AS a, count(*) FILTER (WHERE NOT x) AS b FROM r GROUP BY key) SELECT key, round((r - a * (a + 1) / 2) / (a * b), 6) AS auc FROM c")

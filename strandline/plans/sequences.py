@@ -135,14 +135,13 @@ def f19(spark, sf):
     return S.decimation_loss(_held(spark, sf), "start", "end", 3)
 
 
-@query("f20_latch", f"""WITH RECURSIVE {EV}, e AS (SELECT s, pos, p, ((i * 37) % 100) / 100.0 AS o, ((i * 53) % 100) / 100.0 AS r FROM ev WHERE pos <= 60),
+@query("f20_latch", f"""WITH RECURSIVE {EV}, e AS (SELECT s, pos, p, ((i * 37) % 100) / 100.0 AS o, ((i * 53) % 100) / 100.0 AS r FROM ev),
 l(s, pos, held, n) AS (SELECT s, pos, p >= 0.5, 0 FROM e WHERE pos = 1 UNION ALL
 SELECT s, pos, CASE WHEN c >= 3 THEN p >= 0.9 ELSE h END, CASE WHEN c >= 3 THEN 0 ELSE c END FROM (SELECT s, pos, p, h, CASE WHEN NOT ev AND ((NOT h AND p >= 0.9) OR (h AND p <= 0.1)) THEN n + 1 ELSE 0 END AS c FROM
 (SELECT e.s, e.pos, e.p, l.n, (NOT l.held AND e.o >= 0.8) OR (l.held AND e.r >= 0.8) AS ev, CASE WHEN (NOT l.held AND e.o >= 0.8) OR (l.held AND e.r >= 0.8) THEN NOT l.held ELSE l.held END AS h FROM l JOIN e ON e.s = l.s AND e.pos = l.pos + 1)))
 SELECT s, pos, held FROM l""")
 def f20(spark, sf):
-    """The first 60 rows of each stream: the feature is a clip's latch, and the recursive SQL takes a step a row."""
-    df = streams(spark, sf).where("pos <= 60").withColumn("o", ((F.col("i") * 37) % 100) / 100).withColumn("r", ((F.col("i") * 53) % 100) / 100)
+    df = streams(spark, sf).withColumn("o", ((F.col("i") * 37) % 100) / 100).withColumn("r", ((F.col("i") * 53) % 100) / 100)
     return S.latch(df, ["s"], "pos", "p", "o", "r", on=0.8, off=0.8)
 
 

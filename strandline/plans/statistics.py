@@ -45,10 +45,10 @@ def m06(spark, sf):
     return _r(T.block_bootstrap(df, "block", "a", "n", 200, 7), "value")
 
 
-@query("m07_block_ap_parts", f"WITH {EV}, r AS (SELECT key, x, row_number() OVER w AS r, count(*) FILTER (WHERE x) OVER w AS c FROM ev WHERE s = 1 WINDOW w AS (ORDER BY p DESC, i)) SELECT key, count(*) FILTER (WHERE x) AS positives, round(coalesce(sum(CASE WHEN x THEN c / r END), 0), 6) AS precision_sum FROM r GROUP BY key")
+@query("m07_block_ap_parts", f"WITH {EV}, r AS (SELECT s, key, x, row_number() OVER w AS r, count(*) FILTER (WHERE x) OVER w AS c FROM ev WINDOW w AS (PARTITION BY s ORDER BY p DESC, i)) SELECT s, key, count(*) FILTER (WHERE x) AS positives, round(coalesce(sum(CASE WHEN x THEN c / r END), 0), 6) AS precision_sum FROM r GROUP BY s, key")
 def m07(spark, sf):
-    """One stream's ranking: a block is an event type of it."""
-    return _r(T.block_ap_parts(streams(spark, sf).where("s = 1"), "key", "x", "p", "i"), "precision_sum")
+    """Each stream's ranking: a block is an event type of it."""
+    return _r(T.block_ap_parts(streams(spark, sf), ["s"], "key", "x", "p", "i"), "precision_sum")
 
 
 @query("m10_circular_null", f"""WITH {EV}, {RUNS}, n AS (SELECT s, run_id, x, k >= 50 AS h, row_number() OVER (PARTITION BY s, run_id ORDER BY pos) - 1 AS rp, count(*) OVER (PARTITION BY s, run_id) AS rl FROM ru)
@@ -130,9 +130,9 @@ def g06(spark, sf):
     return _r(T.oracle_threshold(streams(spark, sf), ["key"], "x", "p"), "f1").select("key", "f1")
 
 
-@query("l01_range_violations", f"WITH {EV}, r AS (SELECT s, pos, pos + k % 3 AS e, lag(pos + k % 3) OVER (PARTITION BY s ORDER BY pos, pos + k % 3) AS b FROM ev WHERE pos % 2 = 0), v AS (SELECT s, pos, CASE WHEN pos >= e THEN 'empty' WHEN pos < 4 OR e > 60 THEN 'outside' WHEN b > pos THEN 'overlap' END AS reason FROM r) SELECT s, pos, reason FROM v WHERE reason IS NOT NULL")
+@query("l01_range_violations", f"WITH {EV}, r AS (SELECT s, pos, pos + k % 3 AS e, lag(pos + k % 3) OVER (PARTITION BY s ORDER BY pos, pos + k % 3) AS b FROM ev), v AS (SELECT s, pos, CASE WHEN pos >= e THEN 'empty' WHEN pos < 4 OR e > 60 THEN 'outside' WHEN b > pos THEN 'overlap' END AS reason FROM r) SELECT s, pos, reason FROM v WHERE reason IS NOT NULL")
 def l01(spark, sf):
-    df = streams(spark, sf).where("pos % 2 = 0").withColumn("e", F.col("pos") + F.col("k") % 3)
+    df = streams(spark, sf).withColumn("e", F.col("pos") + F.col("k") % 3)
     return I.range_violations(df, ["s"], "pos", "e", 4, 60)
 
 
@@ -167,3 +167,30 @@ def l07(spark, sf):
     """With b04: parts of a bounded number of rows, short ones dropped."""
     runs = S.flag_runs(streams(spark, sf), ["s"], "pos", "x").withColumn("m", F.lit(50).cast("long"))
     return I.bounded_parts(runs, ["s"], "start", "end", "m", 3, 2)
+
+
+def _event_lags(spark, sf):
+    """One row per error, as an event, and lag: the value there."""
+    df = streams(spark, sf)
+    a = df.where("key = 'error'").select("s", F.col("pos").alias("e"), F.explode(F.sequence(F.lit(-2).cast("long"), F.lit(2).cast("long"))).alias("lag")).withColumn("pos", F.col("e") + F.col("lag"))
+    return a.join(df.select("s", "pos", "k"), ["s", "pos"]).select("s", "e", "lag", "k")
+
+
+@query("m08_median_argmax")
+def m08(spark, sf):
+    """Hash-seeded draws: no SQL; the tests check one draw's winner and repeatability."""
+    return T.median_argmax(_event_lags(spark, sf), ["s"], "e", "lag", "k", 20, 3)
+
+
+@query("m09_block_agreement", f"""WITH {EV}, v AS (SELECT a.s, a.pos AS e, CAST(h AS BIGINT) AS lag, b.k FROM ev a, range(-2, 3) AS t(h), ev b WHERE a.key = 'error' AND b.s = a.s AND b.pos = a.pos + h),
+c AS (SELECT s, e, ntile(3) OVER (PARTITION BY s ORDER BY e) AS b FROM (SELECT DISTINCT s, e FROM v)), m AS (SELECT s, b, lag, round(avg(k), 9) AS m FROM v JOIN c USING (s, e) GROUP BY ALL),
+w AS (SELECT s, b, lag AS w FROM m QUALIFY row_number() OVER (PARTITION BY s, b ORDER BY m DESC, lag) = 1) SELECT s, min(w) AS lowest, max(w) AS highest, max(w) - min(w) <= 1 AS agrees FROM w GROUP BY s""")
+def m09(spark, sf):
+    return T.block_agreement(_event_lags(spark, sf), ["s"], "e", "lag", "k", 3, 1)
+
+
+@query("m17_bind_confidence", f"""WITH {EV}, u AS (SELECT s, key, least(1.0, count(*) / 20.0) AS support, round(avg(p), 9) AS score FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS r, coalesce(lead(score) OVER w, 0) AS nx FROM u WINDOW w AS (PARTITION BY s ORDER BY score DESC, key))
+SELECT s, key, round(support * (0.65 * score + 0.35 * (score - nx)), 6) AS confidence, support * (0.65 * score + 0.35 * (score - nx)) >= 0.2 AS trusted FROM r WHERE r = 1""")
+def m17(spark, sf):
+    units = streams(spark, sf).groupBy("s", "key").agg(F.least(F.lit(1.0), F.count("*") / 20.0).alias("support"), F.round(F.avg("p"), 9).alias("score"))
+    return _r(T.bind_confidence(units, ["s"], "key", "support", "score", 0.2), "confidence")
