@@ -196,3 +196,33 @@ def ranked_batches(df: DataFrame, ident: str, salt: str, batch: int, ranks: int)
     out = df.withColumn("rank", fold_of(F.col(ident), salt, ranks)).withColumn("__h", salted_key(F.col(ident), salt))
     at = F.row_number().over(Window.partitionBy("rank").orderBy("__h", ident)) - 1
     return out.withColumn("batch", F.floor(at / batch).cast("long")).drop("__h")
+
+
+def gated_events(df: DataFrame, events: DataFrame, part: list[str], pos: str, active: str) -> DataFrame:
+    """Events whose row is active. Events are found on all rows first: dropping rows before would make new ones."""
+    return events.join(df.where(active).select(*part, pos), [*part, pos], "left_semi")
+
+
+def key_problems(mapping: Column, wanted: list[str]) -> Column:
+    """The sorted keys that a map lacks or has beyond those wanted; empty if it has exactly these. NULL lacks all."""
+    keys, want = F.coalesce(F.map_keys(mapping), F.array().cast("array<string>")), F.array(*map(F.lit, wanted))
+    return F.array_sort(F.concat(F.array_except(want, keys), F.array_except(keys, want)))
+
+
+def stratified_panel(df: DataFrame, strata: list[str], ident: str, salt: str, quota: int) -> DataFrame:
+    """df and turn: quota rows of each stratum in hashed order, dealt so that each turn holds one row of each stratum.
+    A stratum of fewer rows starts again with its first row until its quota is full."""
+    w = Window.partitionBy(*strata).orderBy("__h", ident)
+    ranked = top_row(df.withColumn("__h", salted_key(F.col(ident), salt)), strata, [F.col("__h"), F.col(ident)], quota).withColumn("__p", F.row_number().over(w) - 1)
+    n = F.count("*").over(Window.partitionBy(*strata))
+    turns = F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.lit(quota) - 1 - F.col("__p")) / F.col("__n")).cast("long")), lambda c: F.col("__p") + c * F.col("__n"))
+    return ranked.withColumn("__n", n).withColumn("turn", F.explode(turns)).drop("__h", "__p", "__n")
+
+
+def cycled(df: DataFrame, pool: list[str], ident: str, salt: str, draws: int) -> DataFrame:
+    """pool, draw, pass, ident: draws from each pool, every row once a pass and each pass in an order of its own."""
+    n = df.groupBy(*pool).agg(F.count("*").alias("__n"))
+    passes = n.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.lit(draws) - 1) / F.col("__n")).cast("long"))))
+    order = Window.partitionBy(*pool, "pass").orderBy(F.sha2(F.concat(F.lit(salt), F.char(F.lit(0)), F.col("pass").cast("string"), F.char(F.lit(0)), F.col(ident).cast("string")), 256), ident)
+    dealt = df.select(*pool, ident).join(passes, pool).withColumn("draw", F.row_number().over(order) - 1 + F.col("pass") * F.col("__n"))
+    return dealt.where(F.col("draw") < draws).select(*pool, "draw", "pass", ident)

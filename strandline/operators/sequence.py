@@ -265,3 +265,18 @@ def order_check(df: DataFrame, part: list[str], pos: str, value: str) -> DataFra
     """part, n, decreasing, equal: steps down and repeats of value along the stream."""
     before = F.lag(value).over(_w(part, pos))
     return df.withColumn("__b", before).groupBy(*part).agg(F.count("*").alias("n"), F.sum(F.when(F.col(value) < F.col("__b"), 1).otherwise(0)).alias("decreasing"), F.sum(F.when(F.col(value) == F.col("__b"), 1).otherwise(0)).alias("equal"))
+
+
+def freeze_scores(df: DataFrame, events: DataFrame, part: list[str], pos: str, motion: str, event: str, lags: list[int], eps: float) -> DataFrame:
+    """part, event, lag, score: how much a freeze of three rows follows a row: ln of the median motion of the three rows
+    before it over the largest of the next three, plus ln of the fourth's over it. An event and
+    lag without all seven rows has no score. df is dense in pos; a row's score is found once for all events."""
+    w = Window.partitionBy(*part).orderBy(pos)
+    before = F.sort_array(F.array(*[F.lag(motion, k).over(w) for k in (3, 2, 1)]))
+    still = F.greatest(*[F.lead(motion, k).over(w) for k in (1, 2, 3)])
+    after = F.lead(motion, 4).over(w)
+    whole = F.lag(motion, 3).over(w).isNotNull() & after.isNotNull()
+    score = F.when(whole, F.ln((before[1] + eps) / (still + eps)) + F.ln((after + eps) / (still + eps)))
+    at = df.select(*part, F.col(pos).alias("__at"), score.alias("score")).where("score IS NOT NULL")
+    asked = events.select(*part, event, F.explode(F.array(*[F.lit(x).cast("long") for x in lags])).alias("lag")).withColumn("__at", F.col(event) + F.col("lag"))
+    return asked.join(at, [*part, "__at"]).select(*part, event, "lag", "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import selection as Z
+from ..operators import sequence as S
 from .base import EV, query, streams, table
 from .scores import _r
 
@@ -38,6 +39,12 @@ def c04(spark, sf):
     return Z.above_thresholds(streams(spark, sf), spark.createDataFrame([("view", 0.7), ("click", 0.2)], "key string, t double"), "key", "p", "t", 0.5).select("i", "predicted")
 
 
+@query("c05_gated_events", f"WITH {EV}, t AS (SELECT s, pos, active, CASE WHEN x AND NOT b THEN 'onset' WHEN b AND NOT x THEN 'release' END AS kind FROM (SELECT *, lag(x, 1, false) OVER (PARTITION BY s ORDER BY pos) AS b FROM ev)) SELECT s, pos, kind FROM t WHERE kind IS NOT NULL AND active")
+def c05(spark, sf):
+    df = streams(spark, sf)
+    return Z.gated_events(df, S.transitions(df, ["s"], "pos", "x").select("s", "pos", "kind"), ["s"], "pos", "active")
+
+
 @query("c07_sources", "SELECT source, count(*) FILTER (WHERE lang IN ('en', 'de')) AS kept, count(*) FILTER (WHERE lang IS NULL OR lang NOT IN ('en', 'de')) AS left_out FROM documents GROUP BY 1")
 def c07(spark, sf):
     inside = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
@@ -191,3 +198,30 @@ def j13(spark, sf):
 @query("j08_batches", f"WITH r AS (SELECT event_id AS i, sha256('a' || chr(0) || event_id) AS h, {FOLD.replace('user_id', 'event_id')} % 4 AS rank FROM events) SELECT i, rank, (row_number() OVER (PARTITION BY rank ORDER BY h, i) - 1) // 32 AS batch FROM r")
 def j08(spark, sf):
     return Z.ranked_batches(streams(spark, sf), "i", "a", 32, 4).select("i", "rank", "batch")
+
+
+@query("h06_key_problems", f"WITH {EV} SELECT i, CASE WHEN k % 3 = 0 THEN 'b' WHEN k % 3 = 1 THEN '' ELSE 'b,c' END AS problems FROM ev")
+def h06(spark, sf):
+    made = F.when(F.col("k") % 3 == 0, F.create_map(F.lit("a"), F.lit(1))).when(F.col("k") % 3 == 1, F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))).otherwise(F.create_map(F.lit("c"), F.lit(1), F.lit("a"), F.lit(2)))
+    return streams(spark, sf).select("i", F.array_join(Z.key_problems(made, ["a", "b"]), ",").alias("problems"))
+
+
+@query("j09_stratified_panel", f"""WITH {EV}, r AS (SELECT key, x, i, row_number() OVER (PARTITION BY key, x ORDER BY sha256('p' || chr(0) || i), i) - 1 AS p FROM ev), t AS (SELECT * FROM r WHERE p < 150), n AS (SELECT key, x, count(*) AS n FROM t GROUP BY ALL)
+SELECT key, x, i, CAST(turn AS BIGINT) AS turn FROM t JOIN n USING (key, x), range(150) AS z(turn) WHERE turn % n = p""")
+def j09(spark, sf):
+    """A panel of 150 turns; the quota is the feature."""
+    return Z.stratified_panel(streams(spark, sf), ["key", "x"], "i", "p", 150).select("key", "x", "i", "turn")
+
+
+@query("j07_cycled", """WITH n AS (SELECT c_mktsegment AS m, c_custkey AS c, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer), p AS (SELECT m, c, n, CAST(z.p AS BIGINT) AS pass FROM n, range(400) AS z(p) WHERE z.p <= 399 // n),
+d AS (SELECT m, pass, c, row_number() OVER (PARTITION BY m, pass ORDER BY sha256('c' || chr(0) || pass || chr(0) || c), c) - 1 + pass * n AS draw FROM p) SELECT m, draw, pass, c FROM d WHERE draw < 400""")
+def j07(spark, sf):
+    """400 draws from each pool; the number is the feature."""
+    return Z.cycled(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("m"), F.col("c_custkey").alias("c")), ["m"], "c", "c", 400)
+
+
+@query("f27_freeze_scores", f"""WITH {EV}, m AS (SELECT s, pos, list_sort([lag(k, 3) OVER w, lag(k, 2) OVER w, lag(k, 1) OVER w])[2] AS b, greatest(lead(k, 1) OVER w, lead(k, 2) OVER w, lead(k, 3) OVER w) AS z, lead(k, 4) OVER w AS a, lag(k, 3) OVER w IS NOT NULL AND lead(k, 4) OVER w IS NOT NULL AS whole FROM ev WINDOW w AS (PARTITION BY s ORDER BY pos))
+SELECT e.s, e.pos AS e, CAST(h AS BIGINT) AS lag, round(ln((b + 0.5) / (z + 0.5)) + ln((a + 0.5) / (z + 0.5)), 6) AS score FROM ev e, range(-3, 4) AS t(h), m WHERE e.key = 'error' AND m.s = e.s AND m.pos = e.pos + h AND whole""")
+def f27(spark, sf):
+    df = streams(spark, sf)
+    return _r(S.freeze_scores(df, df.where("key = 'error'").select("s", F.col("pos").alias("e")), ["s"], "pos", "k", "e", list(range(-3, 4)), 0.5), "score")
