@@ -103,14 +103,21 @@ def scaled_rect(box: tuple[Column, Column, Column, Column], scale: tuple[Column,
 
 
 def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays of one length; NULL if either is constant."""
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)
+    """Pearson correlation of two arrays of one length; NULL if either is constant. One pass over entries less the first
+    one, so that a constant array has a variance of exactly zero."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
-    n = F.size(a)
-    ma, mb = add(a) / n, add(b) / n
-    cov = add(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
-    var = add(F.transform(a, lambda x: (x - ma) * (x - ma))) * add(F.transform(b, lambda x: (x - mb) * (x - mb)))
-    return F.try_divide(cov, F.sqrt(F.when(var > 0, var)))
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    pairs = F.zip_with(a, b, lambda x, y: F.struct((x - F.get(a, F.lit(0))).alias("x"), (y - F.get(b, F.lit(0))).alias("y")))
+
+    def step(s: Column, r: Column) -> Column:
+        x, y = r["x"], r["y"]
+        return F.struct(*[(s[k] + v).alias(k) for k, v in zip(names, (F.lit(1.0), x, y, x * x, y * y, x * y))])
+
+    def finish(s: Column) -> Column:
+        var = (s["xx"] - s["x"] * s["x"] / s["n"]) * (s["yy"] - s["y"] * s["y"] / s["n"])
+        return F.when((s["n"] > 0) & (var > 0), (s["xy"] - s["x"] * s["y"] / s["n"]) / F.sqrt(var))
+
+    return F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(k) for k in names]), step, finish)
 
 
 def strongest(a: Column, count: int) -> Column:
