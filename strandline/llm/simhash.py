@@ -171,19 +171,27 @@ def links(fps: DataFrame, most: int = DISTANCE, blocks: int = BLOCKS, n_pivots:
     return dealt.mapInArrow(lambda batches: _link_cells(batches, most, n_pivots), "a long, b long")
 
 
+def _classes(rows: DataFrame, most: int) -> DataFrame:
+    """rows: id, fp. Returns fp, root (the component's name among fingerprints), least (the smallest id of fp)."""
+    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    return cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, most: int = DISTANCE) -> DataFrame:
     """One row per document: id_col, fingerprint, component_id."""
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    classes = cut(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    classes = _classes(rows, most)
     named = classes.join(classes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns as they are: of each component the row with the smallest id,
-    and where that id repeats one of its rows. Components of null ids only keep one row too."""
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates([id_col])
+    and where that id repeats in it one of its rows. A component of null ids only keeps one row too. Rows
+    are told apart by a number, not by id, so what shares an id in another component stays."""
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rank = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    classes = _classes(fingerprints(numbered.select(rank.alias("__rank"), text_col), "__rank", text_col), DISTANCE)
+    keep = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
+    return numbered.join(keep, "__row", "left_semi").drop("__row")

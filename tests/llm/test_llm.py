@@ -142,6 +142,14 @@ def test_op3(spark, small):
     assert kept.columns == docs.columns and kept.count() == len({w[2] for w in want})
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    """Ids that are null or repeat don't tie unrelated texts together."""
+    a, b, c, d = ("red fox runs over the hill", "green boats sail to far islands", "old clocks tick in empty halls", "warm bread rests on a table")
+    rows = [(None, a), (None, b), (None, b), (3, c), (7, d), (7, c), (None, d)]
+    kept = simhash.drop_near_copies(frame(spark, rows))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(None, a), (None, b), (3, c), (7, d)])
+
+
 @pytest.mark.parametrize("cell", [3, 4096])
 def test_links_lose_no_component(spark, cell):
     draw = random.Random(1)
