@@ -101,10 +101,21 @@ def upper_tail(null: DataFrame, by: list[str], value: str, observed: str) -> Dat
     return null.groupBy(*by).agg(((1 + F.count(F.when(F.col(value) >= F.col(observed), 1))) / (F.count("*") + 1)).alias("p"))
 
 
-def fdr(df: DataFrame, p: str, family: int, q: float) -> DataFrame:
-    """Adds passed: Benjamini-Hochberg over a frozen family size; null p-values fail and stay in the family."""
+def fdr(df: DataFrame, p: str, family: int, q: float, parts: int = 256) -> DataFrame:
+    """Adds passed: Benjamini-Hochberg over a frozen family size; null p-values fail and stay in the family.
+
+    Ranks are prefix sums of counts over the distinct p: within each of at most parts + 1 ranges, and over
+    the ranges' totals, so no task sees all p-values. The ranges' edges are quantiles, read by the driver."""
     ok = F.col(p).isNotNull() & ~F.isnan(F.col(p))
-    ranks = df.where(ok).withColumn("__r", F.row_number().over(Window.orderBy(p))).where(F.col(p) <= q * F.col("__r") / family).agg(F.max(p).alias("__cut"))
+    counts = df.where(ok).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count("*").alias("__n"))
+    edges = sorted(set(counts.approxQuantile("__p", [i / parts for i in range(1, parts)], 0.25 / parts)))
+    above = F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col("__p"))
+    counts = counts.withColumn("__part", F.size(above))
+    totals = counts.groupBy("__part").agg(F.sum("__n").alias("__t"))
+    before = totals.select("__part", (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"))
+    own = F.sum("__n").over(Window.partitionBy("__part").orderBy("__p"))
+    ranked = counts.withColumn("__own", own).join(F.broadcast(before), "__part")
+    ranks = ranked.where(F.col("__p") <= q * (F.col("__before") + F.col("__own")) / family).agg(F.max("__p").alias("__cut"))
     return df.crossJoin(F.broadcast(ranks)).withColumn("passed", F.coalesce(ok & (F.col(p) <= F.col("__cut")), F.lit(False))).drop("__cut")
 
 

@@ -66,6 +66,15 @@ def m11(spark, sf):
     return _r(T.fdr(T.upper_tail(null, ["s"], "v", "o"), "p", 64, 0.9), "p")
 
 
+@query("m11b_fdr_all", f"""WITH {EV}, o AS (SELECT key, avg(v) AS o FROM ev GROUP BY key), p AS (SELECT s, (1 + count(*) FILTER (WHERE v >= o)) / (count(*) + 1) AS p FROM ev JOIN o USING (key) GROUP BY s), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r FROM p), n AS (SELECT count(*) AS n FROM p), c AS (SELECT max(p) AS c FROM r, n WHERE p <= 0.5 * r / n)
+SELECT s, round(p, 6) AS p, coalesce(p <= c, false) AS passed FROM p, c""")
+def m11b(spark, sf):
+    """m11 over every stream; the family is all of them."""
+    df = streams(spark, sf)
+    tails = T.upper_tail(df.join(df.groupBy("key").agg(F.avg("v").alias("o")), "key"), ["s"], "v", "o")
+    return _r(T.fdr(tails, "p", tails.count(), 0.5), "p")
+
+
 @query("m12_simultaneous_lower", f"""WITH {EV}, r AS (SELECT key, s, avg(k) AS v FROM ev GROUP BY 1, 2), m AS (SELECT key, avg(v) AS m FROM r GROUP BY 1), w AS (SELECT quantile_cont(d, 0.9) AS q FROM (SELECT s, max(v - m) AS d FROM r JOIN m USING (key) GROUP BY s)) SELECT key, round(m, 6) AS mean, round(m - q, 6) AS lower FROM m, w""")
 def m12(spark, sf):
     reps = streams(spark, sf).groupBy("key", "s").agg(F.avg("k").alias("v"))

@@ -24,3 +24,25 @@ def test_block_ap_parts_add_up_to_average_precision(spark):
     ranked = [r[2] for r in sorted(rows, key=lambda r: (-r[3], r[4]))]
     want = sum(sum(ranked[: k + 1]) / (k + 1) for k, y in enumerate(ranked) if y)
     assert abs(sum(r.precision_sum for r in parts) - want) < 1e-9 and sum(r.positives for r in parts) == sum(ranked)
+
+
+def test_fdr_ranks_without_one_window_over_all_rows(spark):
+    values = [((i * 37) % 101 / 101) ** 2 for i in range(400)]
+    for parts in (256, 3):
+        for family, q in ((400, 0.5), (1000, 0.9), (400, 0.0001)):
+            rows = [(i, v) for i, v in enumerate(values)] + [(-1, None), (-2, float("nan"))]
+            done = stats.fdr(spark.createDataFrame(rows, "i int, p double"), "p", family, q, parts)
+            ranked = sorted(values)
+            cut = max((p for r, p in enumerate(ranked, 1) if p <= q * r / family), default=-1)
+            assert {r.i: r.passed for r in done.collect()} == {i: v is not None and v <= cut for i, v in rows}
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    assert stats.fdr(spark.createDataFrame([(1, None)], "i int, p double"), "p", 5, 0.9).collect()[0].passed is False
+
+
+def test_whole_table_fdr_holds_every_stream(spark):
+    from strandline import plans
+
+    sf = "/root/testdata/sf0.001"
+    users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
+    assert {r.s for r in plans.QUERIES["m11b_fdr_all"](spark, sf).collect()} == users
