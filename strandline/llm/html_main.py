@@ -10,9 +10,12 @@ Branches of low importance that are on half of the host's pages are removed from
 the same content count once, so a site of copies is not taken for a template.
 
 Elements that state their role are removed before the tree is merged, on any host: nav, footer, aside,
-form, script, style and the like, a header outside the article, hidden elements, and elements whose
-class, id or role names such a role (menu, sidebar, notice, advert, comments and so on). What is left
-is the article or main element's where the page has one, else the body's.
+form, script, style and the like, a header outside the article, hidden elements, and elements of which
+a whole class, the id or the role names such a role (menu, sidebar, notice, advert, comments and so on:
+ROLES and HEADERS, without TOPICS inside the article; a number at its end doesn't count, has-sidebar is
+no such name). A name outside any article removes no element that holds an article or main element,
+unless that is named so itself; an article inside an article (a comment, a card) saves nothing. What is
+left is the article or main element's where the page has one, else the body's.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined in
 page order by one space.
@@ -49,7 +52,7 @@ SALTS = 64
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_NUMBER = re.compile(r"[-_]?\d+$")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +66,8 @@ ROLES = frozenset(
     "complementary contentinfo skip hidden".split()
 )
 HEADERS = frozenset(("header", "head", "topbar", "top"))
+#: Of these, what inside an article or main element may as well be its subject.
+TOPICS = frozenset("legal discussion notice notices alert consent".split())
 #: An open element of the first kind ends where one of the second kind begins.
 ENDS = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
 
@@ -72,14 +77,20 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _gone(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether the element goes with all that it holds."""
     if tag in GONE or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.get("class", ""):
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _HIDDEN.search(attributes.get("style", "")):
-        return True
-    names = set(_NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()))
-    return bool(names & ROLES) or not inside and bool(names & HEADERS)
+    return "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(_HIDDEN.search(attributes.get("style", "")))
+
+
+def _named(tag: str, attributes: dict[str, str], inside: bool) -> bool:
+    """Whether a whole class, the id or the role, less a number at its end, names a part that isn't the article."""
+    if not attributes or tag in ("html", "body") or tag in ("article", "main") and "comment" not in attributes.get("class", ""):
+        return False
+    names = {_NUMBER.sub("", x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower().split()}
+    return bool(names & (ROLES - TOPICS if inside else ROLES | HEADERS))
 
 
 def _style(tag: str, attributes: dict[str, str]) -> str:
@@ -90,16 +101,21 @@ def _style(tag: str, attributes: dict[str, str]) -> str:
 class Block:
     """A block of text: its node (a path hash), whether an article or main element holds it, its text and inline styles."""
 
-    __slots__ = ("node", "inside", "text", "styles")
+    __slots__ = ("node", "inside", "text", "styles", "named")
 
-    def __init__(self, node: int, inside: int, text: str, styles: str):
-        self.node, self.inside, self.text, self.styles = node, inside, text, styles
+    def __init__(self, node: int, inside: int, text: str, styles: str, named: tuple[list[bool], ...]):
+        self.node, self.inside, self.text, self.styles, self.named = node, inside, text, styles, named
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks that no stated role removes, in page order. inside: 2 in an article, 1 in main, else 0."""
-    # An open element: tag, path, inside, gone.
-    stack: list[tuple[str, str, int, bool]] = [("", "", 0, False)]
+    # Whether a name removes an element shows at its end: an article or main element in it keeps it.
+    return (b for b in list(_blocks(page)) if not any(removes for removes, in b.named))
+
+
+def _blocks(page: str) -> Iterator[Block]:
+    # An open element: tag, path, inside, gone, and of each named element that holds it, or it is, whether that is removed.
+    stack: list[tuple[str, str, int, bool, tuple[list[bool], ...]]] = [("", "", 0, False, ())]
     parts: list[str] = []
     styles: list[str] = []
     holder = stack[0]
@@ -107,7 +123,7 @@ def blocks(page: str) -> Iterator[Block]:
     def block():
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        found = Block(xxhash.xxh64_intdigest(holder[1]) - (1 << 63), holder[2], text, ",".join(styles)) if text else None
+        found = Block(xxhash.xxh64_intdigest(holder[1]) - (1 << 63), holder[2], text, ",".join(styles), holder[4]) if text else None
         styles.clear()
         return found
 
@@ -148,9 +164,18 @@ def blocks(page: str) -> Iterator[Block]:
                             break
                         if stack[i][0] not in INLINE:
                             break
-                _, path, inside, gone = stack[-1]
-                now = max(inside, 2 if tag == "article" else 1 if tag == "main" or attributes.get("role") == "main" else 0)
-                stack.append((tag, path if tag in INLINE else f"{path}>{_style(tag, attributes)}", now, gone or _gone(tag, attributes, now > 0)))
+                _, path, inside, gone, named = stack[-1]
+                own = 2 if tag == "article" else 1 if tag == "main" or attributes.get("role") == "main" else 0
+                now = max(inside, own)
+                gone = gone or _gone(tag, attributes, now > 0)
+                role = _named(tag, attributes, now > 0)
+                if own and inside < 2 and not gone and not role:
+                    for removes in named:
+                        removes[0] = False
+                if role:
+                    # An inline element is part of a block, so it goes at once.
+                    gone, named = gone or tag in INLINE, named if tag in INLINE else (*named, [True])
+                stack.append((tag, path if tag in INLINE else f"{path}>{_style(tag, attributes)}", now, gone, named))
             if tag in INLINE:
                 styles.append(tag)
         if tag not in INLINE:

@@ -312,6 +312,14 @@ def test_op10(spark):
     assert html_main.main_text(pages).count() == len(rows) and html_main.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "share-enabled", "with-comments", "search-result", "search", "sidebar main-2"])
+def test_op10_keeps_wrappers_of_the_article(spark, name):
+    body = f'<div class="{name}"><p>Around</p><article><h1>Title</h1><div class="related-work">Before us</div><div class="legal">The law</div><div class="share">Send it</div><div id="comments-3"><article>I agree</article></div></article></div><div class="comments"><article class="comment">Me too</article></div>'
+    pages = spark.createDataFrame([(1, "https://a.example.org", body), (2, "https://b.example.org", f'<body class="comments"><div class="{name}">Plain</div><p>End')], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_main.main_text(pages).collect()}
+    assert got == {1: "Title Before us The law", 2: "End" if name.split()[0] in html_main.ROLES else "Plain End"}
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = table(spark, SF, "documents")
