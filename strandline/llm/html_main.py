@@ -1,41 +1,49 @@
 """HTML extraction with a site style tree.
 
-The pages of one host are merged into a tree: a node is the path of elements (tag, classes, id, digits
-as 0) above a block of text. Over the m different pages that have a node,
-  its presentation importance is the entropy, base m, of the inline styles it shows on them;
-  its content importance is 1 minus the mean, over its distinct contents, of the entropy, base m, of a
-  content's spread over pages (a content on d pages has log_m d).
-A node's importance is the larger of the two: a branch that looks and reads alike everywhere is near 0.
-Branches of low importance that are on half of the host's pages are removed from each page. Pages with
-the same content count once, so a site of copies is not taken for a template.
-
-Elements that state their role are removed before the tree is merged, on any host: nav, footer, aside,
-form, script, style and the like, a header outside the article, hidden elements, and elements of which
-a whole class, the id or the role names such a role (menu, sidebar, notice, advert, comments and so on:
-ROLES and HEADERS, without TOPICS inside the article; a number at its end doesn't count, has-sidebar is
-no such name). A name outside any article removes no element that holds an article or main element,
-unless that is named so itself; an article inside an article (a comment, a card) saves nothing. What is
-left is the article or main element's where the page has one, else the body's.
+The whole DOMs of one host are merged into a tree: a node is the path of elements (tag, classes, id,
+digits as 0) from the root. Over the m pages that have a node,
+  its presentation importance is the entropy, base m, of its looks, a look being the sequence of elements
+  that it holds on a page;
+  its content importance is 1 minus the mean, over the distinct texts directly in it, of log_m of the
+  number of pages with that text (a text on every page adds 0, one on a single page adds 1).
+A node's importance is the larger of the two, smoothed by PRIOR + pages / SPREAD further pages of
+importance 1, so that few pages, of all or of a host, can't show that a node is a template; there is no
+least number of pages. A branch's importance is the largest of its nodes: every branch under LOW (in an
+article or main element LOW_IN_ARTICLE) is removed from each page. Pages of one host with the same text
+count once for each of their looks, so a site of copies is not taken for a template.
+
+Elements that state their role have importance 0 on any host: nav, footer, aside, form, script, style
+and the like, a header outside the article, hidden elements, and elements of which a whole class, the
+id or the role names such a role (menu, sidebar, notice, advert, comments and so on: ROLES and HEADERS,
+without TOPICS inside the article; a number at its end doesn't count, has-sidebar is no such name). A
+name removes no element that holds an article or main element from outside any article, unless that is
+named so itself; an article inside an article (a comment, a card) saves nothing. Inside an article an
+id names readers' comments only, and headings and paragraphs are never removed by name: generated ids
+of headings and sections say what the text is about. Of what is left, a page with an article or main
+element gives what these hold, any other page its whole body.
 
 Character references are decoded, white space in a block becomes one space, and blocks are joined in
-page order by one space.
-
-Defined cases: a null or empty page gives an empty text; tags that are never closed end with the page;
-a null or unparsable url is a host of its own name (''). Repeated rows are reported each. Extra columns
-are not read.
-
-Scale: pass 1 sends hashes of nodes and contents, added up before and after the shuffle. Pass 2 joins
-each host's short list of removed nodes (each is on half of the host's pages, so a list is at most twice
-as long as a page) to its pages: the lists are counted, and at most BROADCAST_NODES nodes are broadcast,
-so that no page is shuffled; beyond that each list is repeated under SALTS salts and pages are dealt by
-host and salt, so that one host's pages spread over that many tasks.
+page order by one space. Tags are read in one scan that never goes back: a page of unclosed tags or
+quotes costs what its length costs.
+
+Defined cases: a null or empty page gives an empty text, an empty table no rows; elements that are never
+closed end with the page, a tag without its > ends the page; a null or unparsable url is a host of its
+own name (''). A very long page is handled whole by one task; elements over DEPTH levels deep belong to
+the node at that depth. Repeated rows are reported each. Extra columns, whatever their names, are not
+read.
+
+Scale: pass 1 sends hashes of nodes, looks and texts, added up before and after the shuffle; a host's
+number of pages is that of its root. Pass 2 joins each host's list of removed branches to its pages. By
+the smoothing each of them is on over a sixteenth of the host's pages, so a list is at most 16 times as
+long as a page. The lists are counted, and at most BROADCAST_NODES nodes are broadcast, so that no page
+is shuffled; beyond that each list is repeated under SALTS salts and pages are dealt by host and salt, so
+that one host's pages spread over that many tasks.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
@@ -46,15 +54,19 @@ from .common import cut, texts
 
 LOW = 0.2
 LOW_IN_ARTICLE = 0.05
-LEAST_PAGES = 5
+PRIOR, SPREAD = 1.0, 64.0
+DEPTH = 64
 BROADCAST_NODES = 200_000
 SALTS = 64
+ROOT = 0
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Possessive throughout, so a failed match has read its characters once.
+_TAG = re.compile(r"""<(/?+)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=)*+)>""")
+_ATTR = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
+_WANTED = re.compile(r"class|id|role|hidden|style", re.I)
 _NUMBER = re.compile(r"[-_]?\d+$")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
+RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in "script style title textarea noscript template iframe noembed noframes xmp".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 GONE = frozenset("nav footer aside form script style title head menu button select option textarea noscript template iframe object svg canvas audio video dialog input datalist map".split())
@@ -68,12 +80,19 @@ ROLES = frozenset(
 HEADERS = frozenset(("header", "head", "topbar", "top"))
 #: Of these, what inside an article or main element may as well be its subject.
 TOPICS = frozenset("legal discussion notice notices alert consent".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEAD_TAGS = frozenset("base link meta noscript script style template title".split())
+_CELL = frozenset(("td", "th", "tr", "tbody", "tfoot"))
 #: An open element of the first kind ends where one of the second kind begins.
-ENDS = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
+ENDS = {
+    "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd".split()) | _CELL,
+    "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": _CELL, "th": _CELL, "option": frozenset(("option",)),
+}
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if raw.strip(" /\n") else {}
+    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(raw)} if _WANTED.search(raw) else {}
 
 
 def _gone(tag: str, attributes: dict[str, str], inside: bool) -> bool:
@@ -87,146 +106,212 @@ def _gone(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 def _named(tag: str, attributes: dict[str, str], inside: bool) -> bool:
     """Whether a whole class, the id or the role, less a number at its end, names a part that isn't the article."""
-    if not attributes or tag in ("html", "body") or tag in ("article", "main") and "comment" not in attributes.get("class", ""):
+    if not attributes or tag in ("html", "body") or tag in ("article", "main") and "comment" not in attributes.get("class", "") or inside and tag in PROSE:
         return False
-    names = {_NUMBER.sub("", x) for x in f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower().split()}
-    return bool(names & (ROLES - TOPICS if inside else ROLES | HEADERS))
+    names = {_NUMBER.sub("", x) for x in f"{attributes.get('class', '')} {attributes.get('role', '')}".lower().split()}
+    named = {_NUMBER.sub("", x) for x in attributes.get("id", "").lower().split()}
+    return bool(names & (ROLES - TOPICS) or named & COMMENTS) if inside else bool((names | named) & (ROLES | HEADERS))
 
 
 def _style(tag: str, attributes: dict[str, str]) -> str:
+    if not attributes:
+        return tag
     named = " ".join(sorted(attributes.get("class", "").split())) + "#" + attributes.get("id", "")
-    return tag + (re.sub(r"\d+", "0", "." + named) if len(named) > 1 else "")
+    return tag + (re.sub(r"\d+", "0", "." + named) if len(named) > 1 else "") + ("@main" if attributes.get("role") == "main" else "")
 
 
-class Block:
-    """A block of text: its node (a path hash), whether an article or main element holds it, its text and inline styles."""
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    __slots__ = ("node", "inside", "text", "styles", "named")
 
-    def __init__(self, node: int, inside: int, text: str, styles: str, named: tuple[list[bool], ...]):
-        self.node, self.inside, self.text, self.styles, self.named = node, inside, text, styles, named
+class Element:
+    """An element that isn't inline: its node and those above it (line: the root first, its own last), whether
+    an article or main element holds it (inside), what it holds (kids), and whether it goes by a stated role."""
 
+    __slots__ = ("tag", "above", "line", "inside", "gone", "named", "spared", "namer", "kids", "inline")
 
-def blocks(page: str) -> Iterator[Block]:
-    """The page's blocks that no stated role removes, in page order. inside: 2 in an article, 1 in main, else 0."""
-    # Whether a name removes an element shows at its end: an article or main element in it keeps it.
-    return (b for b in list(_blocks(page)) if not any(removes for removes, in b.named))
+    def __init__(self, tag: str, above: Element | None, style: str):
+        self.tag, self.above, self.kids, self.inline = tag, above, [], []
+        self.inside, self.gone, self.named, self.spared, self.namer = False, False, False, False, None
+        if above is None:
+            self.line = (ROOT,)
+        else:
+            self.line = (*above.line, _hash(f"{above.line[-1]} {style}")) if len(above.line) < DEPTH else above.line
 
 
-def _blocks(page: str) -> Iterator[Block]:
-    # An open element: tag, path, inside, gone, and of each named element that holds it, or it is, whether that is removed.
-    stack: list[tuple[str, str, int, bool, tuple[list[bool], ...]]] = [("", "", 0, False, ())]
-    parts: list[str] = []
-    styles: list[str] = []
-    holder = stack[0]
+def parse(page: str) -> tuple[list[Element], list[tuple[Element, str]]]:
+    """The page's elements, each after the one that holds it, and its blocks of text, each with the element
+    that it is directly in, both without what goes by a stated role."""
+    top = Element("", None, "")
+    elements, found, parts = [top], [], []
+    opened: dict[str, int] = {}
+    # Open inline elements of the innermost element, each with whether the text in it goes.
+    at, n, mute = 0, len(page), False
 
-    def block():
-        text = " ".join(entities.unescape("".join(parts)).split())
-        parts.clear()
-        found = Block(xxhash.xxh64_intdigest(holder[1]) - (1 << 63), holder[2], text, ",".join(styles), holder[4]) if text else None
-        styles.clear()
-        return found
+    def flush():
+        if parts:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            parts.clear()
+            if text:
+                found.append((top, text))
 
-    at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and not stack[-1][3]:
-            parts.append(page[at:end])
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = n
+        if begin > at and not mute:
+            parts.append(page[at:begin])
+        if begin >= n - 1:
+            if begin == n - 1 and not mute:
+                parts.append("<")
+            break
+        after = page[begin + 1]
+        letter = page[begin + 2 : begin + 3] if after == "/" else after
+        if after in "!?" or after == "/" and not (letter.isascii() and letter.isalpha()):
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->" if comment else ">", begin + 2)
+            if end < 0:
+                break
+            at = end + (3 if comment else 1)
+            continue
+        if not (letter.isascii() and letter.isalpha()):
+            if not mute:
+                parts.append("<")
+            at = begin + 1
+            continue
+        m = _TAG.match(page, begin)
+        if m is None:  # no > to the end of the page
             break
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        tag = m[2].lower()
+        if tag in INLINE:
+            inline = top.inline
+            if m[1]:
+                if any(x[0] == tag for x in inline[-DEPTH:]):
+                    while inline and inline.pop()[0] != tag:
+                        pass
+                    mute = inline[-1][1] if inline else top.gone
+                continue
+            top.kids.append(tag)
+            if tag not in VOID and not m[3].endswith("/"):
+                attributes = _attributes(m[3])
+                mute = mute or _gone(tag, attributes, top.inside) or _named(tag, attributes, top.inside)
+                inline.append((tag, mute))
             continue
-        if tag not in INLINE:
-            if (made := block()) is not None:
-                yield made
+        flush()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                # A stray end tag doesn't close what holds the article.
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-        else:
-            attributes = _attributes(m[3])
-            if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = close.end() if close else n
-                continue
-            if tag not in VOID and not m[3].rstrip().endswith("/"):
-                if tag not in INLINE:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if tag in ENDS.get(stack[i][0], ()):
-                            del stack[i:]
-                            break
-                        if stack[i][0] not in INLINE:
-                            break
-                _, path, inside, gone, named = stack[-1]
-                own = 2 if tag == "article" else 1 if tag == "main" or attributes.get("role") == "main" else 0
-                now = max(inside, own)
-                gone = gone or _gone(tag, attributes, now > 0)
-                role = _named(tag, attributes, now > 0)
-                if own and inside < 2 and not gone and not role:
-                    for removes in named:
-                        removes[0] = False
-                if role:
-                    # An inline element is part of a block, so it goes at once.
-                    gone, named = gone or tag in INLINE, named if tag in INLINE else (*named, [True])
-                stack.append((tag, path if tag in INLINE else f"{path}>{_style(tag, attributes)}", now, gone, named))
-            if tag in INLINE:
-                styles.append(tag)
-        if tag not in INLINE:
-            holder = next(x for x in reversed(stack) if x[0] not in INLINE)
-    if (made := block()) is not None:
-        yield made
-
-
-def of_article(found: list[Block]) -> list[Block]:
-    """The blocks of the article, else of main, else all."""
-    most = max((b.inside for b in found), default=0)
-    return [b for b in found if b.inside == most] if most else found
+            if opened.get(tag, 0):
+                while top.above is not None:
+                    last = top
+                    top = top.above
+                    opened[last.tag] -= 1
+                    if last.tag == tag:
+                        break
+                mute = top.inline[-1][1] if top.inline else top.gone
+            continue
+        if tag in RAW:
+            close = RAW[tag].search(page, at)
+            if close is None:
+                break
+            end = page.find(">", close.end())
+            at = end + 1 if end >= 0 else n
+            continue
+        while top.above is not None and (tag in ENDS.get(top.tag, ()) or top.tag == "head" and tag not in HEAD_TAGS):
+            opened[top.tag] -= 1
+            top = top.above
+            mute = top.inline[-1][1] if top.inline else top.gone
+        if tag in VOID or m[3].endswith("/"):
+            top.kids.append(tag)
+            continue
+        attributes = _attributes(m[3])
+        style = _style(tag, attributes)
+        top.kids.append(style)
+        new = Element(tag, top, style)
+        own = tag in ("article", "main") or attributes.get("role") == "main"
+        new.inside = top.inside or own
+        new.gone = mute or _gone(tag, attributes, new.inside)
+        new.named = _named(tag, attributes, new.inside)
+        new.namer = top if top.named else top.namer
+        if own and not top.inside and not new.gone and not new.named:
+            # The names around it don't remove it; where one is spared, those around that are too.
+            other = new.namer
+            while other is not None and not other.spared:
+                other.spared = True
+                other = other.namer
+        elements.append(new)
+        opened[tag] = opened.get(tag, 0) + 1
+        top, mute = new, new.gone
+    flush()
+    for e in elements[1:]:
+        e.gone = e.gone or e.above.gone or e.named and not e.spared
+    return [e for e in elements if not e.gone], [x for x in found if not x[0].gone]
+
+
+def chosen(page: str, drop: set[int]) -> list[str]:
+    """The blocks of text of the article, or of the body, without the branches of drop."""
+    elements, found = parse(page)
+    low = {id(e) for e in elements if any(node in drop for node in e.line)} if drop else ()
+    kept = [(e.inside, text) for e, text in found if id(e) not in low]
+    any_inside = any(e.inside for e, _ in found)
+    return [text for inside, text in kept if inside or not any_inside]
 
 
 def host(url_col: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def removed_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, nodes: the nodes of low importance in each host's style tree."""
+def page_rows(page: str) -> list[tuple[int, int, tuple[int, ...], bool, int]]:
+    """page, kind, line, inside, value of each look (kind 1) and each text (kind 0) of a page's nodes."""
+    elements, found = parse(page)
+    any_inside = any(e.inside for e, _ in found)
+    key = _hash("\0".join(text for e, text in found if e.inside or not any_inside))
+    looks: dict[tuple[int, ...], list[str]] = {}
+    inside = {}
+    for e in elements:
+        inside.setdefault(e.line, e.inside)
+        looks.setdefault(e.line, []).append(" ".join(e.kids))
+    rows = [(key, 1, line, inside[line], _hash("\0".join(x))) for line, x in looks.items()]
+    return rows + [(key, 0, line, inside[line], value) for line, value in {(e.line, _hash(text)) for e, text in found}]
+
+
+def nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, line (the nodes down to this one), inside, m (pages), importance (before smoothing) of the nodes of each host's tree."""
     narrow = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html"))
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.int64())
+    names = ["host", "page", "kind", "line", "inside", "value"]
 
     def run(batches):
         for batch in batches:
-            hosts, pages_, kinds, nodes, values, insides = [], [], [], [], [], []
-            for site, text in zip(batch.column("host").to_pylist(), texts(batch.column("html")), strict=True):
-                found = of_article(list(blocks(text.decode("utf-8", "replace"))))
-                page = xxhash.xxh64_intdigest("\0".join(b.text for b in found)) - (1 << 63)
-                looks: dict[int, list[str]] = {}
-                rows = set()
-                for b in found:
-                    looks.setdefault(b.node, []).append(b.styles)
-                    rows.add((0, b.node, xxhash.xxh64_intdigest(b.text) - (1 << 63), b.inside))
-                inside = {b.node: b.inside for b in found}
-                rows |= {(1, node, xxhash.xxh64_intdigest(";".join(x)) - (1 << 63), inside[node]) for node, x in looks.items()}
-                for kind, node, value, within in sorted(rows):
-                    hosts.append(site), pages_.append(page), kinds.append(kind), nodes.append(node), values.append(value), insides.append(within)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages_, pa.int64()), pa.array(kinds, pa.int32()), pa.array(nodes, pa.int64()), pa.array(values, pa.int64()), pa.array(insides, pa.int32())], names=["host", "page", "kind", "node", "value", "inside"])
-
-    seen = narrow.mapInArrow(run, "host string, page long, kind int, node long, value long, inside int").distinct()
-    spread = seen.groupBy("host", "kind", "node", "value").agg(F.count("*").alias("d"), F.max("inside").alias("inside"))
-    sums = spread.groupBy("host", "node").agg(
-        F.max("inside").alias("inside"),
+            sites = batch.column("host").to_pylist()
+            for at in range(0, len(sites), 256):
+                rows = [(site, *row) for site, text in zip(sites[at : at + 256], texts(batch.column("html").slice(at, 256)), strict=True) for row in page_rows(text.decode("utf-8", "replace"))]
+                yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    seen = narrow.mapInArrow(run, "host string, page long, kind int, line array<long>, inside boolean, value long").distinct()
+    spread = seen.groupBy("host", "kind", "line", "inside", "value").agg(F.count("*").alias("d"))
+    sums = spread.groupBy("host", "line", "inside").agg(
         F.sum(F.when(F.col("kind") == 1, F.col("d"))).alias("m"),
         F.sum(F.when(F.col("kind") == 1, F.col("d") * F.ln("d"))).alias("looks"),
         F.avg(F.when(F.col("kind") == 0, F.ln("d"))).alias("reads"),
     )
-    total = seen.where("kind = 1").groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("pages"))
-    bound = F.when(F.col("inside") > 0, LOW_IN_ARTICLE).otherwise(low)
-    importance = F.greatest(1 - F.col("looks") / (F.col("m") * F.ln("m")), 1 - F.col("reads") / F.ln("m"))
-    return sums.where(F.col("m") >= least_pages).join(total, "host").where((2 * F.col("m") >= F.col("pages")) & (importance < bound)).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    importance = F.when(F.col("m") < 2, 1.0).otherwise(F.greatest(1 - F.col("looks") / (F.col("m") * F.ln("m")), F.coalesce(1 - F.col("reads") / F.ln("m"), F.lit(0.0))))
+    return sums.select("host", "line", "inside", "m", importance.alias("importance"))
+
+
+def removed_branches(pages: DataFrame, url_col: str = "url", html_col: str = "html", low: float = LOW, low_in_article: float = LOW_IN_ARTICLE, prior: float = PRIOR, spread: float = SPREAD) -> DataFrame:
+    """host, nodes: the tops of the branches of low importance in each host's style tree."""
+    tree = cut(nodes(pages, url_col, html_col))
+    # The root is on each of a host's pages.
+    total = tree.where(F.size("line") == 1).select("host", (prior + F.col("m") / spread).alias("k"))
+    smooth = (F.col("m") * F.col("importance") + F.col("k")) / (F.col("m") + F.col("k"))
+    # A node counts for every branch that it is in; a branch's own row says what it is in.
+    own = F.element_at("line", -1)
+    branches = tree.join(total, "host").select("host", F.explode("line").alias("top"), smooth.alias("importance"), "inside", own.alias("node"), F.try_element_at("line", F.lit(-2)).alias("above"))
+    self = F.col("node") == F.col("top")
+    poor = branches.groupBy("host", "top").agg(F.max("importance").alias("importance"), F.max(F.when(self, F.col("inside"))).alias("inside"), F.max(F.when(self, F.col("above"))).alias("above"))
+    poor = cut(poor.where((F.col("importance") < F.when(F.col("inside"), low_in_article).otherwise(low)) & F.col("above").isNotNull()).select("host", "top", "above"))
+    inner = poor.select(F.col("host").alias("h"), F.col("top").alias("t"))
+    return poor.join(inner, (F.col("host") == F.col("h")) & (F.col("above") == F.col("t")), "left_anti").groupBy("host").agg(F.collect_list("top").alias("nodes"))
 
 
 def _with_removed(narrow: DataFrame, low: DataFrame, broadcast_nodes: int, salts: int) -> DataFrame:
@@ -235,20 +320,17 @@ def _with_removed(narrow: DataFrame, low: DataFrame, broadcast_nodes: int, salts
     if (low.agg(F.sum(F.size("nodes") + 1)).first()[0] or 0) <= broadcast_nodes:
         return narrow.join(F.broadcast(low), "host", "left")
     salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return narrow.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+    return narrow.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES, salts: int = SALTS) -> DataFrame:
     """One row per page: id_col, url_col, text, n_chars."""
     narrow = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host(url_col).alias("host"))
-    narrow = _with_removed(narrow, removed_nodes(pages, url_col, html_col), broadcast_nodes, salts).select("id", "url", "html", "nodes")
+    narrow = _with_removed(narrow, removed_branches(pages, url_col, html_col), broadcast_nodes, salts).select("id", "url", "html", "nodes")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for gone, page in zip(batch.column("nodes").to_pylist(), texts(batch.column("html")), strict=True):
-                drop = set(gone or ())
-                out.append(" ".join(b.text for b in of_article(list(blocks(page.decode("utf-8", "replace")))) if b.node not in drop))
+            out = [" ".join(chosen(page.decode("utf-8", "replace"), set(gone or ()))) for gone, page in zip(batch.column("nodes").to_pylist(), texts(batch.column("html")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
