@@ -260,14 +260,64 @@ def test_op8(spark, small):
         tokens = [*w, None]
         base = sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in tokens)
         want[(i, h, len(tokens), sum(counts[x] > 0 for x in tokens), total, f"{base:.6g}")] += 1
+    few = {"words": 400, "classes": 64, "groups": 16, "rounds": 1, "steps": 20, "word_steps": 20}
     for heavy in (lm.HEAVY, 100):
-        got = lm.lm_scores(docs, classes=64, heavy=heavy).collect()
+        got = lm.lm_scores(docs, heavy=heavy, **few).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, f"{r.base_score:.6g}") for r in got) == want
         assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    model = lm.Model.start(np.arange(1.0, 21.0))
-    near, far, norm = (x.astype(float) for x in model.tables())
-    assert np.allclose([np.exp(near[b] + far[a] - norm[a, b]).sum() for a in range(20) for b in range(20)], 1, atol=1e-4)
-    assert lm.lm_scores(docs.limit(0)).count() == 0
+    assert lm.lm_scores(docs.limit(0), **few).count() == 0
+
+
+def trained_parts(spark, docs, **more):
+    """What lm_scores() trains on docs, with little work."""
+    learned = docs.select("text")
+    counts = lm.word_counts(learned)
+    lexicon = lm.lexicon(counts, docs.count(), 2000, lm.heavy_words(counts, 5000))
+    context = spark.sparkContext
+    seen = lm.code_counts(learned, context.broadcast((lexicon,)), lm.neighbours).toArrow()
+    features = np.zeros(lexicon.size * 2 * (lm.SEEDS + 1), np.float32)
+    features[seen["code"].to_numpy()] = seen["n"].to_numpy()
+    shared = context.broadcast((lexicon, lm.Classes(features.reshape(lexicon.size, -1), lexicon.unigrams, 64, 16, 20)))
+    table_ = lm.code_counts(learned, shared, lm.contexts).cache()
+    return lexicon, shared, table_, lm.trained(table_, shared, lexicon.size, **{"rounds": 1, "steps": 60, "word_steps": 60} | more)
+
+
+def test_op8_probabilities_and_bounds(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    lexicon, shared, counts, model = trained_parts(spark, docs)
+    assert lexicon.words == 2000 and 4500 < len(lexicon.index) <= 5000
+    # Over all next tokens the probabilities of any context add up to 1.
+    every = np.delete(np.arange(lexicon.size), lexicon.start)
+    for a, b in ((lexicon.start, lexicon.start), (3, 700), (1999, lexicon.rest), (lexicon.rest, 50)):
+        total = sum(math.exp(model.log_probability(np.array([b, w]))[0]) for w in every) if a == lexicon.start else sum(math.exp(model.log_probability(np.array([a, b, w]))[1]) for w in every)
+        assert abs(total - 1) < 1e-4
+    # Training helps, at both levels: scores of the training texts rise.
+    text = [lexicon.tokens_of(lexicon.find(lm.words_of((r.text or "").encode()))) for r in docs.limit(50).collect()]
+    plain = trained_parts(spark, docs, rounds=0, word_steps=1)[3]
+    by_class = trained_parts(spark, docs, word_steps=1)[3]
+    untrained, half, full = (sum(m.log_probability(t).sum() for t in text) for m in (plain, by_class, model))
+    assert untrained < half < full
+    # The tables are of bounded size and hold every token of a corpus twice as large.
+    twice = lm.code_counts(docs.union(docs).select("text"), shared, lm.contexts)
+    assert twice.count() == counts.count() and twice.agg({"n": "sum"}).first()[0] == 2 * counts.agg({"n": "sum"}).first()[0]
+    # Neither partitions nor their order change the vectors.
+    again = trained_parts(spark, docs.repartition(7))[3]
+    assert np.array_equal(again.vectors, model.vectors) and np.allclose(again.near, model.near, atol=1e-5)
+
+
+def test_op8_learns_context(spark):
+    """Held-out texts score far above their words' own frequencies."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    base, score = lm.lm_scores(docs, rounds=2, steps=150, word_steps=50).where("held_out").groupBy().sum("base_score", "score").first()
+    assert score > base + 0.04 * abs(base), (base, score)
+
+
+def test_op8_long_words_and_ties(spark):
+    assert lm.words_of(b"A " + b"x" * 64 + b" " + b"Y" * 65)[1:] == [b"x" * 64, b" " + hashlib.md5(b"y" * 65).digest()]
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1) for i in range(3000)] + [(f"v{i}".encode(), 2) for i in range(50)], "word binary, n long")
+    for most in (20, 40, 1000, 3049, 5000):
+        found = [r.word for r in counts.where(lm.heavy_words(counts, most)).collect()]
+        assert 0.7 * min(most, 3050) <= len(found) <= most and (most < 50 or sum(w[:1] == b"v" for w in found) == 50)
 
 
 def exact(rows):
