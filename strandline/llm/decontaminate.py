@@ -15,7 +15,9 @@ block_bytes of text, chosen by a running sum of sizes, and only one block is bro
 beyond one block the hits so far travel with the rows and are cut() between blocks.
 
 Defined cases: a null text has no words. A benchmark row with a null id still marks words as hit but is
-no entry of the item list. Repeated items count once; repeated documents are reported each.
+no entry of the item list. Repeated items count once; repeated documents are reported each. A very long
+text is searched whole by one task. Extra columns, whatever their names, are not read. An empty benchmark
+hits nothing, and no documents give no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, texts
+from .common import cut, texts, unused
 
 WINDOW = 13
 BLOCK_BYTES = 1_000_000
@@ -126,18 +128,20 @@ def _matcher(shared, size: int) -> WuManber:
     return _matchers[key]
 
 
-def _search(docs: DataFrame, text_col: str, shared, size: int) -> DataFrame:
-    """Adds or extends __hits (a byte a word, empty if none is hit) and __items, and sets __words."""
-    again = "__hits" in docs.columns
-    first = [c for c in docs.columns if c not in ("__hits", "__items", "__words")]
+def _search(docs: DataFrame, text_col: str, shared, size: int, marks: list[str]) -> DataFrame:
+    """Sets the columns marks: a text's number of words, its hits (a byte a word, empty if none is hit) and its items.
+    Where docs has them already, hits and items are added to."""
+    n_words, old, items_ = marks
+    again = old in docs.columns
+    first = [c for c in docs.columns if c not in marks]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in first)
 
     def run(batches):
         search = _matcher(shared, size)
         for batch in batches:
             counts, all_hits, all_items = [], [], []
-            old_hits = batch.column("__hits").to_pylist() if again else None
-            old_items = batch.column("__items").to_pylist() if again else None
+            old_hits = batch.column(old).to_pylist() if again else None
+            old_items = batch.column(items_).to_pylist() if again else None
             for i, text in enumerate(texts(batch.column(text_col))):
                 words = words_of(text)
                 hits = bytearray(old_hits[i]) if again and old_hits[i] else None
@@ -151,14 +155,14 @@ def _search(docs: DataFrame, text_col: str, shared, size: int) -> DataFrame:
                 all_hits.append(bytes(hits or b""))
                 all_items.append(sorted(items))
             columns = [batch.column(c) for c in first] + [pa.array(counts, pa.int64()), pa.array(all_hits, pa.binary()), pa.array(all_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*first, "__words", "__hits", "__items"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*first, *marks])
 
-    return docs.mapInArrow(run, f"{fields}, __words long, __hits binary, __items array<string>")
+    return docs.mapInArrow(run, f"{fields}, `{n_words}` long, `{old}` binary, `{items_}` array<string>")
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int) -> DataFrame:
+def _searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, size: int, block_bytes: int, marks: list[str]) -> DataFrame:
     def search(rows: DataFrame, block: list[tuple[str | None, bytes]]) -> DataFrame:
-        return _search(rows, text_col, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), size)
+        return _search(rows, text_col, docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block)), size, marks)
 
     out = None
     for block in blocks_of(benchmark, item_col, item_text_col, block_bytes):
@@ -181,12 +185,13 @@ def _report(found: DataFrame, keep: list[str]) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated."""
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = _searched(narrow, benchmark, "__text", item_col, item_text_col, size, block_bytes)
+    found = _searched(narrow, benchmark, "__text", item_col, item_text_col, size, block_bytes, ["__words", "__hits", "__items"])
     return _report(found, ["__id"]).withColumnRenamed("__id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs that are not contaminated, all columns as they are; no shuffle."""
-    found = _searched(docs, benchmark, text_col, item_col, item_text_col, size, block_bytes)
-    n_hit = F.length(F.replace(F.hex("__hits"), F.lit("00"))) / 2
-    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col("__words")))).select(*[found[c] for c in docs.columns])
+    marks = [unused(name, docs) for name in ("__words", "__hits", "__items")]
+    found = _searched(docs, benchmark, text_col, item_col, item_text_col, size, block_bytes, marks)
+    n_hit = F.length(F.replace(F.hex(marks[1]), F.lit("00"))) / 2
+    return found.where(~((n_hit > 0) & (20 * n_hit >= F.col(marks[0])))).select(*[found[c] for c in docs.columns])

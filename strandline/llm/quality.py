@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_BYTES, fold, texts
+from .common import LOWER_BYTES, fold, texts, unused
 
 MAX_ROWS = 12_000
 TREES = 80
@@ -163,17 +163,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, trees: Trees, text_col: str) -> DataFrame:
-    """docs with __score."""
+    """docs with a column more, the score, last."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    names = docs.columns
+    names, added = docs.columns, unused("__score", docs)
 
     def run(batches):
         for batch in batches:
             x = np.stack([features(t) for t in texts(batch.column(text_col))]) if batch.num_rows else np.zeros((0, WIDTH))
             scores = shared.value.score(x) if len(x) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*names, added])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(added, T.DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -187,4 +187,5 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def drop_poor(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score is at least threshold, all columns as they are; no shuffle of text."""
-    return _scored(docs, learn(docs, labels, id_col, text_col, label_col), text_col).where(F.col("__score") >= threshold).select(*docs.columns)
+    scored = _scored(docs, learn(docs, labels, id_col, text_col, label_col), text_col)
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)

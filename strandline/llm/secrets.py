@@ -17,7 +17,8 @@ the pieces and matches before it end.
 
 Defined cases: a null text is empty and has no spans. Repeated rows are reported each; copies of a text
 are linked once, by its SHA-256, so a text that holds a third of the rows is one group of parts. A null
-doc_id is an id like any other. Extra columns are not read.
+doc_id is an id like any other. A very long text is searched whole, in time that grows with its length and
+its matches. Extra columns, whatever their names, are not read. An empty table gives no rows.
 
 Scale: one pass over the text, whose narrow result is cut(); the interval join moves only the parts of
 texts with a weak candidate, under (text, scope bucket), and as it is a semi join it makes no pairs.
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SCOPE = 256
+FOLD = 256
 KINDS = ("assign", "access", "hex", "ident", "opaque", "endpoint")
 
 _SAYS = r"""["']?\x20*[:=]\x20*["']?"""
@@ -54,7 +56,6 @@ def _spans(text: Column, pattern: str, kind: str, maybe: Column) -> Column:
         F.transform(F.split(text, pattern, -1), F.char_length).alias("gap"), F.transform(_matches(text, pattern), F.char_length).alias("size"), _matches(text, pattern, value).alias("value")
     )
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
@@ -62,7 +63,15 @@ def _spans(text: Column, pattern: str, kind: str, maybe: Column) -> Column:
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["size"].isNull(), acc["found"]).otherwise(F.array_append(acc["found"], span)).alias("found"))
 
-    return F.when(maybe, F.aggregate(zipped, state, step, lambda acc: acc["found"])).otherwise(empty)
+    # A fold copies its list at each step, so lists are kept short: matches by FOLD, each chunk from where it begins.
+    chunks = F.transform(F.sequence(F.lit(1), F.size(zipped), F.lit(FOLD)), lambda i: F.slice(zipped, i, FOLD))
+
+    def length(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0), lambda acc, x: acc + x["gap"] + F.coalesce(x["size"], F.lit(0)))
+
+    begins = F.aggregate(chunks, F.array(F.lit(0)), lambda acc, chunk: F.array_append(acc, F.element_at(acc, -1) + length(chunk)))
+    found = F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("found")), step, lambda acc: acc["found"]))
+    return F.when(maybe, F.flatten(found)).otherwise(empty)
 
 
 def _bare(spans: Column) -> Column:
