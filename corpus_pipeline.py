@@ -2,19 +2,23 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame,
 which run() writes as Parquet into the shared folder (spark.checkpoint.dir) and rereads. All stages but
-the last return the columns of docs as they are, whatever they are.
+the last return the columns of docs as they are, whatever they are. run() leaves these files to whoever
+owns the folder, as its result is read from the last of them.
+
+Defined cases: rows are told apart by number, not by id, so rows with a null id or with the id of another
+row stay or go by their own text. A null or empty text is poor, equal or near to others by the rules of
+the stage's operator. A very long text is handled whole by one task. An empty table stays empty.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import bpe, decontaminate, exact_dedup, quality, simhash
-from strandline.llm.common import table
+from strandline.llm.common import shared_folder, table
 from strandline.llm.queries import BPE_PATH
 
 
@@ -52,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
