@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A compact duration such as 1h02m03.5s, and plain seconds.
-COMPACT, SECONDS = r"^([0-9]+(\.[0-9]+)?[hms])+$", r"^[0-9]+(\.[0-9]*)?$"
+COMPACT, SECONDS = r"^([0-9]+(\.[0-9]+)?[hms])+$", r"^\+?([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?$"
 
 
 def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -19,7 +19,7 @@ def first_pattern(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 
 def seconds(text: Column) -> Column:
-    """Seconds of '90', '12.5' or '1h02m03.5s' in any case; units may repeat; NULL for any other text."""
+    """Seconds of '90', '12.5', '.5', '1e3' or '1h02m03.5s' in any case; units may repeat; NULL for any other text."""
     t = F.lower(F.trim(text))
     parts = F.regexp_extract_all(t, F.lit(r"([0-9]+(?:\.[0-9]+)?[hms])"), 1)
     size = lambda x: x.substr(F.lit(1), F.length(x) - 1).cast("double") * F.when(x.endswith("h"), 3600.0).when(x.endswith("m"), 60.0).otherwise(1.0)
@@ -149,6 +149,22 @@ def checked_index(code: Column) -> Column:
 
 
 def strict_json(text: Column, fields: dict[str, str]) -> Column:
-    """struct of all fields, or NULL if the text is no JSON object or a field is missing or of another type."""
+    """struct of all fields, or NULL if the text is anything but one JSON object of exactly these keys, or a field is NULL
+    or of another type."""
     parsed = F.from_json(text, ", ".join(f"`{k}` {t}" for k, t in fields.items()), {"mode": "PERMISSIVE"})
-    return F.when(reduce(lambda a, b: a & b, [parsed[k].isNotNull() for k in fields]), parsed)
+    # A JSON array of the text holds one object only if nothing follows the object.
+    whole = F.size(F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")) == 1
+    keys = F.array_sort(F.json_object_keys(text)) == F.array(*[F.lit(k) for k in sorted(fields)])
+    return F.when(reduce(lambda a, b: a & b, [parsed[k].isNotNull() for k in fields], whole & keys), parsed)
+
+
+def embargoed(value: Column, known: list[str], word: str) -> Column:
+    """Whether an id is one of the known embargoed ones or holds the word in any case; a NULL id isn't."""
+    return F.coalesce(value.isin(known) | F.contains(F.lower(value), F.lit(word.lower())), F.lit(False))
+
+
+def ring_contrast(inner_mean: Column, cell_mean: Column, cell_area: Column, ring_mean: Column, ring_area: Column) -> Column:
+    """The mean of a cell's inner strip less that of the ring around the cell: means and areas of the cell and of the whole
+    box that it lies in give the ring alone; NULL where the box is no larger than the cell."""
+    rest = ring_area - cell_area
+    return F.when(rest > 0, inner_mean - (ring_mean * ring_area - cell_mean * cell_area) / rest)

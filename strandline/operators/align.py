@@ -99,17 +99,20 @@ def future_values(df: DataFrame, part: list[str], idx: str, value: str, horizons
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, part: list[str], t: str, start: str, end: str, bucket: float, out: str = "inside") -> DataFrame:
-    """Adds out: whether t lies in some half-open interval of its part. A range join over buckets of time."""
+    """Adds out: whether t lies in some half-open interval of its part. A range join over buckets of time: each
+    bucket has its intervals as one list, so the points are read and moved once and none of them repeats."""
     spans = intervals.select(*part, start, end, F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))).alias("__k"))
+    low, high = F.greatest(F.col(start), F.col("__k") * bucket), F.least(F.col(end), (F.col("__k") + 1) * bucket)
+    # Overlapping intervals of a bucket become disjoint ones, at most as many as the bucket has places.
+    w = Window.partitionBy(*part, "__k").orderBy("__low", "__high")
+    cut = spans.select(*part, "__k", low.alias("__low"), high.alias("__high")).where("__low < __high").distinct()
+    reach = F.max("__high").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    runs = cut.withColumn("__new", F.coalesce((F.col("__low") > reach).cast("int"), F.lit(1))).withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy(*part, "__k", "__run").agg(F.min("__low").alias("low"), F.max("__high").alias("high"))
+    lists = merged.groupBy(*part, "__k").agg(F.collect_list(F.struct("low", "high")).alias("__spans"))
     keyed = points.withColumn("__k", F.floor(F.col(t) / bucket))
-    spans = spans.withColumnsRenamed({c: f"__{c}" for c in part}).withColumnRenamed("__k", "__kk")
-    same = F.lit(True)
-    for c in part:
-        same = same & (keyed[c] == spans[f"__{c}"])
-    cond = same & (keyed["__k"] == spans["__kk"]) & (keyed[t] >= spans[start]) & (keyed[t] < spans[end])
-    hit = keyed.join(spans, cond, "left_semi").withColumn(out, F.lit(True))
-    miss = keyed.join(spans, cond, "left_anti").withColumn(out, F.lit(False))
-    return hit.unionByName(miss).drop("__k")
+    found = F.exists("__spans", lambda x: (F.col(t) >= x["low"]) & (F.col(t) < x["high"]))
+    return keyed.join(lists, [*part, "__k"], "left").withColumn(out, F.coalesce(found, F.lit(False))).select(*points.columns, out)
 
 
 def offset_pairs(df: DataFrame, part: list[str], pos: str, offset: int) -> DataFrame:

@@ -7,8 +7,10 @@ long streams by a block column in part.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _w(part: list[str], pos: str | list[str]):
@@ -167,22 +169,36 @@ def decimation_loss(runs: DataFrame, start: str, end: str, every: int) -> DataFr
 def latch(df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str, release_p: str, on: float = 0.5, off: float = 0.5, start: float = 0.5, resync_on: float = 0.9, resync_off: float = 0.1, patience: int = 3) -> DataFrame:
     """part, pos, held: a hysteresis latch. The first row takes the state's threshold; then an onset while
     released or a release while held switches it, and patience rows in a row of confident disagreement
-    without an event resynchronise it. A fold over each stream's ordered array."""
-    rows = df.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(pos, state_p, onset_p, release_p))).alias("rows"))
-    empty = F.array().cast(f"array<struct<pos:{df.schema[pos].dataType.simpleString()},held:boolean>>")
-    begin = F.struct(F.lit(None).cast("boolean").alias("held"), F.lit(0).alias("against"), empty.alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        event = (~acc["held"] & (x[onset_p] >= on)) | (acc["held"] & (x[release_p] >= off))
-        after = F.when(acc["held"].isNull(), x[state_p] >= start).when(event, ~acc["held"]).otherwise(acc["held"])
-        contrary = ~acc["held"].isNull() & ~event & ((~after & (x[state_p] >= resync_on)) | (after & (x[state_p] <= resync_off)))
-        count = F.when(contrary, acc["against"] + 1).otherwise(F.lit(0))
-        resync = count >= patience
-        held = F.when(resync, x[state_p] >= resync_on).otherwise(after)
-        return F.struct(held.alias("held"), F.when(resync, F.lit(0)).otherwise(count).alias("against"), F.array_append(acc["out"], F.struct(x[pos].alias("pos"), held.alias("held"))).alias("out"))
-
-    done = rows.select(*part, F.explode(F.aggregate("rows", begin, step, lambda acc: acc["out"])).alias("x"))
-    return done.select(*part, F.col("x.pos").alias(pos), F.col("x.held").alias("held"))
+    without an event resynchronise it.
+
+    Each state needs the one before, so a stream is read in order: streams are dealt and sorted by Spark (which spills),
+    and pass through their task batch by batch with two values carried, however long they are."""
+    fields = [df.schema[c] for c in (*part, pos)]
+    ordered = df.select(*part, pos, *[F.col(c).cast("double").alias(f"__{n}") for n, c in enumerate((state_p, onset_p, release_p))]).repartition(*part).sortWithinPartitions(*part, pos, "__0", "__1", "__2")
+
+    def step(held, against, p, o, r):
+        if held is None:
+            return (None if p is None else p >= start), 0
+        event = r if held else o
+        event = None if event is None else event >= (off if held else on)
+        held = not held if event else held
+        contrary = event is False and p is not None and (p <= resync_off if held else p >= resync_on)
+        against = against + 1 if contrary else 0
+        return (p >= resync_on, 0) if against >= patience else (held, against)
+
+    def run(batches):
+        stream, held, against = None, None, 0
+        for batch in batches:
+            keys = zip(*[batch.column(n).to_pylist() for n in range(len(part))], strict=True) if part else iter([()] * batch.num_rows)
+            out = []
+            for key, p, o, r in zip(keys, *[batch.column(n).to_pylist() for n in range(-3, 0)], strict=True):
+                if key != stream:
+                    stream, held, against = key, None, 0
+                held, against = step(held, against, p, o, r)
+                out.append(held)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(part) + 1], pa.array(out, pa.bool_())], names=[*part, pos, "held"])
+
+    return ordered.mapInArrow(run, T.StructType([*fields, T.StructField("held", T.BooleanType())]))
 
 
 def bridged(df: DataFrame, part: list[str], pos: str, flag: str, most_gap: int, least_run: int) -> DataFrame:

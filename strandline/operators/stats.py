@@ -46,30 +46,62 @@ def bimodal_static(df: DataFrame, by: list[str], value: str, least_range: float,
     return out.select(*by, "high_share", "pure_share", F.coalesce((F.col("hi") - F.col("lo") >= least_range) & (F.col("pure_share") >= purity) & F.col("high_share").between(*duty), F.lit(False)).alias("static"))
 
 
-def affine_fit(df: DataFrame, by: list[str], y: str, p: str, steps: int = 12, ridge: float = 1e-3) -> DataFrame:
-    """by, slope, intercept of a calibration p' = sigmoid(slope logit(p) + intercept), by damped Newton steps.
-
-    Each step is one aggregation of gradient and Hessian sums for all groups at once. Rows are first folded
-    to one per distinct (p, y), so steps cost what distinct scores cost."""
+def affine_fit(df: DataFrame, by: list[str], y: str, p: str, steps: int = 50, halvings: int = 12, tolerance: float = 1e-9, least: float = 1e-8) -> DataFrame:
+    """by, slope, intercept, converged of a calibration p' = sigmoid(slope logit(p) + intercept) of least log loss, with
+    slope at or above least.
+
+    Newton steps from (1, 0). A step of a group is halved until it lowers the loss: one aggregation sums the loss of
+    all its halvings, and gradient and Hessian there, for all groups, so each step reads the data once. The data are folded to
+    one row per distinct (p, y) and kept. The driver holds one row per group. A group has converged when its
+    gradient, by row, is within tolerance of 0 (at least = slope: points below it), or no halving lowers the loss
+    by more than rounding does. Groups of one label only have no finite optimum and end unconverged."""
     c = F.greatest(F.least(F.col(p), F.lit(1 - 1e-6)), F.lit(1e-6))
-    data = df.select(*by, F.ln(c / (1 - c)).alias("z"), F.col(y).cast("double").alias("t")).groupBy(*by, "z", "t").agg(F.count("*").alias("w"))
-    now = df.select(*by).distinct().withColumn("a", F.lit(1.0)).withColumn("b", F.lit(0.0))
-    for _ in range(steps):
-        q = 1 / (1 + F.exp(-(F.col("a") * F.col("z") + F.col("b"))))
-        r, h = F.col("w") * (q - F.col("t")), F.col("w") * q * (1 - q)
-        s = data.join(now, by).groupBy(*by, "a", "b").agg(F.sum(r * F.col("z")).alias("ga"), F.sum(r).alias("gb"), F.sum(h * F.col("z") * F.col("z")).alias("haa"), F.sum(h * F.col("z")).alias("hab"), F.sum(h).alias("hbb"))
-        ga, gb = F.col("ga") + ridge * (F.col("a") - 1), F.col("gb") + ridge * F.col("b")
-        haa, hbb = F.col("haa") + ridge, F.col("hbb") + ridge
-        det = haa * hbb - F.col("hab") * F.col("hab")
-        da, db = (hbb * ga - F.col("hab") * gb) / det, (haa * gb - F.col("hab") * ga) / det
-        lim = lambda d: F.greatest(F.least(d, F.lit(2.0)), F.lit(-2.0))
-        now = s.select(*by, (F.col("a") - lim(da)).alias("a"), (F.col("b") - lim(db)).alias("b"))
-    return now.select(*by, F.col("a").alias("slope"), F.col("b").alias("intercept"))
+    data = df.where(F.col(p).isNotNull()).select(*by, F.ln(c / (1 - c)).alias("z"), F.col(y).cast("double").alias("t")).where("t IS NOT NULL").groupBy(*by, "z", "t").agg(F.count("*").alias("w")).persist()
+    spark, kinds = df.sparkSession, ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by)
+    groups = {tuple(r): [1.0, 0.0, 0.0, 0.0, None, False] for r in df.select(*by).distinct().collect()}  # a, b, da, db, loss, converged
+    try:
+        for _ in range(steps):
+            open_ = {k: g for k, g in groups.items() if not g[5]}
+            if not open_:
+                break
+            now = spark.createDataFrame([(*k, *g[:4]) for k, g in open_.items()], f"{kinds}, __a double, __b double, __da double, __db double")
+            sums = []
+            for h in range(halvings):
+                a, b = F.greatest(F.col("__a") + F.col("__da") * 0.5**h, F.lit(least)), F.col("__b") + F.col("__db") * 0.5**h
+                x = a * F.col("z") + b
+                q = 1 / (1 + F.exp(-x))
+                w, slope = F.col("w"), F.col("w") * (q - F.col("t"))
+                curve = w * q * (1 - q)
+                loss = w * (F.greatest(x, F.lit(0.0)) - x * F.col("t") + F.log1p(F.exp(-F.abs(x))))
+                sums.append(F.array(F.sum(loss), F.sum(slope * F.col("z")), F.sum(slope), F.sum(curve * F.col("z") * F.col("z")), F.sum(curve * F.col("z")), F.sum(curve)))
+            rows = data.join(F.broadcast(now), by).groupBy(*by).agg(F.sum("w").alias("__n"), F.array(*sums).alias("__s")).collect()
+            for k in open_.keys() - {tuple(r[c] for c in by) for r in rows}:
+                groups[k][5] = True  # no row to learn from
+            for row in rows:
+                g = groups[tuple(row[c] for c in by)]
+                # Newton's step is likely to be good, so the first halving that lowers the loss is taken.
+                h = next((h for h in range(halvings) if g[4] is None or row["__s"][h][0] < g[4] - 1e-12 * abs(g[4])), None)
+                if h is None:
+                    g[5] = True
+                    continue
+                g[0], g[1] = max(g[0] + g[2] * 0.5**h, least), g[1] + g[3] * 0.5**h
+                g[4], ga, gb, haa, hab, hbb = row["__s"][h]
+                held = g[0] <= least and ga > 0
+                if max(0.0 if held else abs(ga), abs(gb)) <= tolerance * row["__n"]:
+                    g[5] = True
+                det = haa * hbb - hab * hab
+                if held or det <= 1e-12 * haa * hbb:
+                    g[2], g[3] = (0.0, -gb / hbb) if hbb > 0 else (0.0, 0.0)
+                else:
+                    g[2], g[3] = (hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det
+    finally:
+        data.unpersist()
+    return spark.createDataFrame([(*k, g[0], g[1], g[5]) for k, g in groups.items()], f"{kinds}, slope double, intercept double, converged boolean")
 
 
 def affine_apply(p: str, slope: str, intercept: str, eps: float = 1e-6) -> Column:
     c = F.greatest(F.least(F.col(p), F.lit(1 - eps)), F.lit(eps))
-    return 1 / (1 + F.exp(-(F.col(slope) * F.ln(c / (1 - c)) + F.col(intercept))))
+    return F.when(F.col(p).isNotNull(), 1 / (1 + F.exp(-(F.col(slope) * F.ln(c / (1 - c)) + F.col(intercept)))))
 
 
 def block_bootstrap(blocks: DataFrame, block: str, numerator: str, denominator: str, replicates: int, seed: int) -> DataFrame:
@@ -146,14 +178,18 @@ def analytic_chance(width: int, tolerance: int) -> Column:
 
 
 def oracle_threshold(df: DataFrame, by: list[str], y: str, p: str, steps: int = 199) -> DataFrame:
-    """by, threshold, f1: among quantiles of p and 0.5 the threshold of highest F1, ties to the higher. Scores are folded
-    to one row per distinct value first, so a threshold costs a look at a cumulative sum."""
+    """by, threshold, f1: among quantiles of p and 0.5 the threshold of highest F1, ties to the higher. Each row counts
+    once, under the highest threshold that it reaches; windows run over these counts, some 200 of a group."""
     probs = F.array(*[F.lit(0.005 + 0.99 * i / (steps - 1)) for i in range(steps)])
-    cand = df.groupBy(*by).agg(F.array_distinct(F.array_append(F.percentile(p, probs), F.lit(0.5))).alias("c")).select(*by, F.explode("c").alias("t"))
-    tied = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("a"), F.count("*").alias("n"))
-    scored = cand.join(tied, by).groupBy(*by, "t").agg(F.sum(F.when(F.col(p) >= F.col("t"), F.col("a")).otherwise(0)).alias("tp"), F.sum(F.when(F.col(p) >= F.col("t"), F.col("n")).otherwise(0)).alias("pp"), F.sum("a").alias("pos"))
-    f1 = F.try_divide(2.0 * F.col("tp"), F.col("pp") + F.col("pos"))
-    return scored.withColumn("f1", f1).where("f1 IS NOT NULL").groupBy(*by).agg(F.max(F.struct("f1", "t")).alias("x")).select(*by, F.col("x.t").alias("threshold"), F.col("x.f1").alias("f1"))
+    cand = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.array_append(F.percentile(p, probs), F.lit(0.5)))).alias("__c"))
+    rank = F.size(F.filter("__c", lambda t: t <= F.col(p)))
+    counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("__y"), F.count("*").alias("__n")).join(cand, by).groupBy(*by, rank.alias("__r")).agg(F.sum("__y").alias("__y"), F.sum("__n").alias("__n"))
+    every = cand.select(*by, F.posexplode("__c").alias("__i", "t")).withColumn("__r", F.col("__i") + 1).drop("__i")
+    every = every.unionByName(cand.select(*by, F.lit(None).cast("double").alias("t"), F.lit(0).alias("__r")))
+    down = Window.partitionBy(*by).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+    summed = every.join(counts, [*by, "__r"], "left").withColumn("tp", F.sum(F.coalesce("__y", F.lit(0))).over(down)).withColumn("pp", F.sum(F.coalesce("__n", F.lit(0))).over(down)).withColumn("pos", F.sum("__y").over(Window.partitionBy(*by)))
+    scored = summed.withColumn("f1", F.try_divide(2.0 * F.col("tp"), F.col("pp") + F.col("pos"))).where("f1 IS NOT NULL AND t IS NOT NULL")
+    return scored.groupBy(*by).agg(F.max(F.struct("f1", "t")).alias("x")).select(*by, F.col("x.t").alias("threshold"), F.col("x.f1").alias("f1"))
 
 
 def lag_verdict(df: DataFrame, by: list[str], lag: str, score: str, guard: int) -> DataFrame:

@@ -35,10 +35,11 @@ def i04(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.split_part("url", F.lit("://"), F.lit(2)).alias("path")).withColumn("safe", X.safe_relative(F.col("path")))
 
 
-@query("i05_strict_json", "SELECT event_id, CASE WHEN event_id % 3 > 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
+@query("i05_strict_json", "SELECT event_id, CASE WHEN event_id % 5 > 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def i05(spark, sf):
-    """A third of the rows is cut short and so is no JSON."""
-    text = F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    """Of five rows one is cut short, one has a text after the object and one a key too many."""
+    n = F.col("event_id") % 5
+    text = F.when(n == 0, F.expr("left(props, length(props) - 1)")).when(n == 1, F.concat("props", F.lit(" trailing"))).when(n == 2, F.expr("concat(left(props, length(props) - 1), ', \"z\": 1}')")).otherwise(F.col("props"))
     return table(spark, sf, "events").select("event_id", X.strict_json(text, {"k": "bigint"})["k"].alias("k"))
 
 
@@ -100,6 +101,18 @@ def c19(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", X.contrast_bit(F.lit(25), F.col("l_linenumber"), F.col("l_quantity"), 10).alias("bit"))
 
 
+@query("c08_embargoed", "SELECT o_orderkey, o_orderpriority IN ('1-URGENT', '5-LOW') OR contains(lower(o_orderpriority), 'med') AS embargoed FROM orders")
+def c08(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", X.embargoed(F.col("o_orderpriority"), ["1-URGENT", "5-LOW"], "MED").alias("embargoed"))
+
+
+@query("i15_ring_contrast", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity > l_linenumber THEN round(l_quantity * 4 - (l_quantity * 2 * l_quantity - l_quantity * l_linenumber) / (l_quantity - l_linenumber), 6) END AS contrast FROM lineitem")
+def i15(spark, sf):
+    """Quantity and line number stand for the areas of a box and of the cell in it, and multiples of the quantity for means."""
+    c = X.ring_contrast(F.col("l_quantity") * 4, F.col("l_quantity"), F.col("l_linenumber").cast("double"), F.col("l_quantity") * 2, F.col("l_quantity"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(c, 6).alias("contrast"))
+
+
 @query("a11_checked_index", """WITH o AS (SELECT o_orderkey AS k, o_custkey % 16 AS c FROM orders)
 SELECT k, CASE WHEN xor(xor(xor(k & 15, (k >> 4) & 15), xor((k >> 8) & 15, (k >> 12) & 15)), xor((k >> 16) & 15, (k >> 20) & 15)) = c THEN k END AS idx FROM o""")
 def a11(spark, sf):
