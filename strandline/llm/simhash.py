@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, cut, texts
+from .common import LOWER_BYTES, cut, texts, unused, without_rows
 from .components import components
 
 SHINGLE = 3
@@ -190,8 +190,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of docs that stay, all columns as they are: of each component the row with the smallest id,
     and where that id repeats in it one of its rows. A component of null ids only keeps one row too. Rows
     are told apart by a number, not by id, so what shares an id in another component stays."""
-    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rank = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    classes = _classes(fingerprints(numbered.select(rank.alias("__rank"), text_col), "__rank", text_col), DISTANCE)
-    keep = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("__row"))
-    return numbered.join(keep, "__row", "left_semi").drop("__row")
+    row = unused("__row", docs)
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    rank = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    rows = cut(fingerprints(numbered.select(rank.alias("rank"), F.col(text_col).alias("text")), "rank", "text"))
+    classes = _classes(rows, DISTANCE)
+    keep = classes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    gone = cut(rows.select(F.col("id.row").alias(row)).join(keep, row, "left_anti"))
+    return without_rows(numbered, gone, row)
