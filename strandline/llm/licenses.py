@@ -87,9 +87,11 @@ def _matches(rows: DataFrame, templates: DataFrame, known: list[int], share: flo
     cut_up = templates.withColumn("z", z)
     signed = _signed(_windows(cut_up, F.sequence(F.lit(0), F.size("sh") - F.col("z")), F.col("z"), ["template_id"]), ["template_id", "z"]).distinct()
     known_array = F.array(*[F.lit(k) for k in known])
-    # The template shingles that a text holds, by hashing; its positions are held against these few only.
-    hits = rows.where(F.arrays_overlap("sh", known_array)).withColumn("shared", F.array_intersect("sh", known_array))
-    hits = hits.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains("shared", F.get("sh", i)))).drop("shared")
+    # The template shingles that a text holds, by hashing, once (as an argument of a lambda they are not computed again
+    # at each position); its positions are held against these few only.
+    shared = F.array(F.array_intersect("sh", known_array))
+    at = F.flatten(F.transform(shared, lambda own: F.filter(F.sequence(F.lit(0), F.size("sh") - 1), lambda i: F.array_contains(own, F.get("sh", i)))))
+    hits = cut(rows.where(F.arrays_overlap("sh", known_array)).withColumn("at", at))
     found = None
     for size in SIZES:
         step = max(1, size // 4)
