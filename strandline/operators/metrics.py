@@ -6,6 +6,8 @@ until the last division, and divisions are try_divide.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,6 +228,30 @@ def mean_pair_cosine(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     return out.select(*by, "n", ratio(F.col("q") - F.col("n"), F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1))).alias("cosine"))
 
 
+def effective_rank(df: DataFrame, vector: str) -> DataFrame:
+    """n, rank: the squared trace of the covariance over the sum of its squared entries; 0 if nothing varies. Each task adds up
+    one matrix of products of dimensions (with a column of ones, for sums and count), so what is shuffled
+    doesn't grow with the rows. NULL vectors are passed over."""
+
+    def products(frames):
+        total = None
+        for frame in frames:
+            if len(frame):
+                x = np.vstack(frame[vector].to_numpy()).astype("float64")
+                x = np.hstack([x, np.ones((len(x), 1))])
+                total = x.T @ x + (0 if total is None else total)
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "ones": len(total) - 1, "v": total.ravel()})
+
+    g = df.where(F.col(vector).isNotNull()).select(vector).mapInPandas(products, "i long, j long, ones long, v double").groupBy("i", "j", "ones").agg(F.sum("v").alias("v"))
+    sums = g.where("j = ones AND i < ones")
+    n = g.where("i = ones AND j = ones").select(F.col("v").alias("n"))
+    cov = g.where("i < ones AND j < ones").join(F.broadcast(sums.select("i", F.col("v").alias("a"))), "i").join(F.broadcast(sums.select(F.col("i").alias("j"), F.col("v").alias("b"))), "j").crossJoin(F.broadcast(n)).withColumn("c", F.col("v") / F.col("n") - F.col("a") * F.col("b") / F.col("n") ** 2)
+    trace = F.sum(F.when(F.col("i") == F.col("j"), F.col("c")))
+    return cov.agg(F.max("n").cast("long").alias("n"), F.coalesce(ratio(trace**2, F.sum(F.col("c") ** 2)), F.lit(0.0)).alias("rank"))
+
+
 def counts_as_map(df: DataFrame, by: list[str], key: str) -> DataFrame:
     """by, counts: 'key=n' of each key in order, comma-joined (a map in one string)."""
     c = df.groupBy(*by, key).agg(F.count("*").alias("n"))

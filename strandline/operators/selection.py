@@ -1,13 +1,20 @@
 """Filters, top rows, set checks, samples and allocations.
 
-Sequential ones (balanced, mixed_sequence) fold over one ordered array a group, so a group is a pool of
+Sequential ones (balanced, mixed_sequence, nearest_sum) fold over a whole group, so a group is a pool of
 units to be dealt (files, sources), not of rows; all others work row by row, by shuffle or by window.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
+from functools import reduce
+from math import gcd
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.scalars import salted_key
 
@@ -130,21 +137,39 @@ def partition_proof(whole: DataFrame, parts: list[DataFrame], key: str) -> DataF
     return seen.agg(F.count(F.when(F.col("n") > 1, one)).alias("shared"), F.count(F.when(F.col("n") == 0, one)).alias("lost"), F.count(F.when(~F.col("w"), one)).alias("foreign"))
 
 
-def balanced(df: DataFrame, pool: list[str], ident: str, weight: str, shards: int) -> DataFrame:
-    """pool, ident, shard: units dealt longest first to the least loaded shard, the lowest one on ties. A pool is
-    folded in one task: it lists units to schedule. Weights are numbers without NULLs."""
-    kind = df.schema[weight].dataType.simpleString()
-    units = df.groupBy(*pool).agg(F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(ident).alias("id")))).alias("units"))
-    empty = F.array().cast(f"array<struct<id:{df.schema[ident].dataType.simpleString()},shard:int>>")
-    begin = F.struct(F.array_repeat(F.lit(0).cast(kind), shards).alias("loads"), empty.alias("out"))
-
-    def deal(acc: Column, unit: Column) -> Column:
-        shard = F.array_position(acc["loads"], F.array_min(acc["loads"])).cast("int") - 1
-        loads = F.transform(acc["loads"], lambda load, i: F.when(i == shard, load - unit["w"]).otherwise(load))
-        return F.struct(loads.alias("loads"), F.array_append(acc["out"], F.struct(unit["id"].alias("id"), shard.alias("shard"))).alias("out"))
-
-    done = units.select(*pool, F.explode(F.aggregate("units", begin, deal, lambda acc: acc["out"])).alias("x"))
-    return done.select(*pool, F.col("x.id").alias(ident), F.col("x.shard").alias("shard"))
+def balanced(df: DataFrame, pool: list[str], ident: str, weight: str, shards: int, retry: str | None = None, loads: DataFrame | None = None) -> DataFrame:
+    """pool, ident, shard: units dealt longest first to the least loaded shard, the lowest one on ties.
+
+    Units with a retry (an order) come last, in that order, each to another shard: a pool with more of them than shards
+    raises. loads (pool, shard, weight) are what shards hold before; a pool is folded in one task by a heap, in
+    time n log n: it lists units to schedule. Weights are numbers without NULLs."""
+    columns = [F.col(ident).alias("id"), F.col(weight).alias("w"), (F.col(retry).cast("long") if retry else F.lit(None).cast("long")).alias("retry"), F.lit(None).cast("int").alias("held")]
+    units = df.select(*pool, *columns)
+    if loads is not None:
+        held = loads.select(*pool, F.lit(None).cast(df.schema[ident].dataType).alias("id"), F.col(weight).cast(df.schema[weight].dataType).alias("w"), F.lit(None).cast("long").alias("retry"), F.col("shard").cast("int").alias("held"))
+        units = units.unionByName(held)
+    keys = StructType([df.schema[k] for k in pool])
+    out = StructType([*keys.fields, StructField(ident, df.schema[ident].dataType), StructField("shard", IntegerType())])
+
+    def deal(frame):
+        given, load = frame["held"].notna(), [0] * shards
+        for shard, w in zip(frame.loc[given, "held"].astype(int), frame.loc[given, "w"], strict=True):
+            load[shard] += w
+        rows, again = frame[~given & frame["retry"].isna()], frame[~given & frame["retry"].notna()]
+        rows, again = rows.sort_values(["w", "id"], ascending=[False, True]), again.sort_values(["retry", "id"])
+        if len(again) > shards:
+            raise ValueError("more retries than shards")
+        heap, picks = [(w, s) for s, w in enumerate(load)], []
+        heapq.heapify(heap)
+        for w in rows["w"]:
+            held, shard = heap[0]
+            heapq.heapreplace(heap, (held + w, shard))
+            picks.append(shard)
+        picks += [heapq.heappop(heap)[1] for _ in range(len(again))]
+        done = pd.concat([rows, again])
+        return pd.DataFrame({**{k: done[k] for k in pool}, ident: done["id"], "shard": pd.Series(picks, index=done.index, dtype="int32")})
+
+    return units.groupBy(*pool).applyInPandas(deal, out)
 
 
 def proportional(df: DataFrame, by: list[str], count: str, total: int) -> DataFrame:
@@ -226,3 +251,74 @@ def cycled(df: DataFrame, pool: list[str], ident: str, salt: str, draws: int) ->
     order = Window.partitionBy(*pool, "pass").orderBy(F.sha2(F.concat(F.lit(salt), F.char(F.lit(0)), F.col("pass").cast("string"), F.char(F.lit(0)), F.col(ident).cast("string")), 256), ident)
     dealt = df.select(*pool, ident).join(passes, pool).withColumn("draw", F.row_number().over(order) - 1 + F.col("pass") * F.col("__n"))
     return dealt.where(F.col("draw") < draws).select(*pool, "draw", "pass", ident)
+
+
+def eligible(df: DataFrame, count: str, rate: str, floors: dict[str, tuple[int, float]], shapes: dict[str, Column]) -> DataFrame:
+    """df and action: a row for each action that the candidate may serve: its count and its hourly rate reach the action's
+    floors and its shape, where the action has one, holds (NULL doesn't)."""
+    tests = [F.when((F.col(count) >= n) & (F.col(rate) >= r) & shapes.get(a, F.lit(True)), F.lit(a)) for a, (n, r) in floors.items()]
+    return df.withColumn("action", F.explode(F.array_compact(F.array(*tests))))
+
+
+def systematic_windows(runs: DataFrame, by: list[str], order: list[str], length: str, count: str, phase: float) -> DataFrame:
+    """by, order, draw, offset: count evenly spaced places, from a phase in [0, 1), over the runs of a group laid end to end.
+    Each run finds its own draws from the length before it, so nothing is joined by range. A count over the length
+    raises: places would repeat."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    laid = runs.where(F.col(length) > 0).withColumn("__end", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum(length).over(Window.partitionBy(*by)))
+    n = F.when(F.col(count) > F.col("__all"), F.raise_error(F.lit("more places than rows")).cast("long")).otherwise(F.col(count).cast("long"))
+    laid = laid.withColumn("__n", n).withColumn("__start", F.col("__end") - F.col(length)).where("__n > 0")
+    draw = lambda at: F.floor(at * F.col("__n") / F.col("__all") - phase)
+    first, last = F.greatest(draw(F.col("__start")) - 1, F.lit(0)).cast("long"), F.least(draw(F.col("__end")) + 1, F.col("__n") - 1).cast("long")
+    drawn = laid.withColumn("draw", F.explode(F.sequence(first, F.greatest(first, last))))
+    place = F.floor((F.col("draw") + F.lit(phase)) * F.col("__all") / F.col("__n")).cast("long")
+    drawn = drawn.withColumn("__place", place).where("draw < __n AND __place >= __start AND __place < __end")
+    return drawn.select(*by, *order, "draw", (F.col("__place") - F.col("__start")).cast("long").alias("offset"))
+
+
+def epoch_batches(df: DataFrame, ident: str, salt: str, epoch: int, batch: int, ranks: int) -> DataFrame:
+    """df, step, rank: an epoch in hashed order of its own, padded from its start to whole batches, each dealt in equal
+    slices to the ranks. Places are numbered inside 4,096 ranges of the hash, so no task sorts all rows."""
+    if batch % ranks:
+        raise ValueError("a batch must be a multiple of the ranks")
+    x = df.withColumn("__h", salted_key(F.col(ident), f"{salt}:{epoch}")).withColumn("__b", F.substring("__h", 1, 3))
+    counts = x.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    at = F.row_number().over(Window.partitionBy("__b").orderBy("__h", ident)) - 1 + F.col("__before")
+    placed = x.join(F.broadcast(before), "__b").withColumn("__at", at.cast("long"))
+    most = F.ceil(F.col("__all") / batch).cast("long") * batch - 1
+    copies = placed.withColumn("__p", F.explode(F.sequence(F.col("__at"), most, F.col("__all"))))
+    return copies.select(*df.columns, F.floor(F.col("__p") / batch).cast("long").alias("step"), F.floor(F.col("__p") % batch / (batch // ranks)).cast("int").alias("rank"))
+
+
+def nearest_sum(df: DataFrame, by: list[str], ident: str, weight: str, target: str, salt: str) -> DataFrame:
+    """by, ident: the whole items of each group whose positive integer weights add up nearest to its target. Items enter in
+    salted order and the first way to reach a sum stays; of two sums as near, the smaller hash of the chosen ids
+    wins. A group is a pool of items, folded in one task with one number for each reachable multiple of the
+    weights' common divisor."""
+    keys = StructType([df.schema[k] for k in by])
+    out = StructType([*keys.fields, df.schema[ident]])
+    items = df.select(*by, F.col(ident).alias("id"), F.col(weight).cast("long").alias("w"), F.col(target).cast("double").alias("t"), salted_key(F.col(ident), salt).alias("h"))
+
+    def choose(frame):
+        frame = frame.sort_values(["h", "id"], ignore_index=True)
+        unit = reduce(gcd, (int(w) for w in frame["w"]))
+        units = [int(w) // unit for w in frame["w"]]
+        entered = {0: -1}  # sum -> the item that first reached it
+        for item, w in enumerate(units):
+            for total in [s + w for s in entered]:
+                entered.setdefault(total, item)
+
+        def members(total):
+            while total:
+                yield entered[total]
+                total -= units[entered[total]]
+
+        goal = float(frame["t"].iloc[0])
+        least = min(abs(s * unit - goal) for s in entered)
+        sets = [sorted(str(frame["id"].iloc[i]) for i in members(s)) for s in entered if abs(s * unit - goal) == least]
+        best = set(min(sets, key=lambda ids: hashlib.sha256("\0".join([salt, *ids]).encode()).hexdigest()))
+        chosen = frame[frame["id"].astype(str).isin(best)]
+        return pd.DataFrame({**{k: chosen[k] for k in by}, ident: chosen["id"]})
+
+    return items.groupBy(*by).applyInPandas(choose, out)

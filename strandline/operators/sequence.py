@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import salted_key
+
 
 def _w(part: list[str], pos: str | list[str]):
     return Window.partitionBy(*part).orderBy(*([pos] if isinstance(pos, str) else pos))
@@ -296,3 +298,20 @@ def freeze_scores(df: DataFrame, events: DataFrame, part: list[str], pos: str, m
     at = df.select(*part, F.col(pos).alias("__at"), score.alias("score")).where("score IS NOT NULL")
     asked = events.select(*part, event, F.explode(F.array(*[F.lit(x).cast("long") for x in lags])).alias("lag")).withColumn("__at", F.col(event) + F.col("lag"))
     return asked.join(at, [*part, "__at"]).select(*part, event, "lag", "score")
+
+
+def balanced_offsets(rows: DataFrame, events: DataFrame, part: list[str], run: str, pos: str, active: str, head: str, width: int, halo: int, salt: str) -> DataFrame:
+    """part, pos, head, offset, crop_start: where in a window of width rows each event is to lie. Kept are events around
+    which every window with its halo lies in one run of active rows, and that have no other event of their head
+    within a width. A stream's events of a head take its offsets in turn, both in hashed order, so the counts of
+    offsets differ by one at most."""
+    reach = width - 1 + halo
+    around = Window.partitionBy(*part, run).orderBy(pos).rowsBetween(-reach, reach)
+    safe = rows.withColumn("__n", F.count(F.when(F.col(active), 1)).over(around)).where(F.col("__n") == 2 * reach + 1).select(*part, pos)
+    near = Window.partitionBy(*part, head).orderBy(pos).rangeBetween(-(width - 1), width - 1)
+    alone = events.select(*part, pos, head).withColumn("__n", F.count("*").over(near)).where("__n = 1").drop("__n")
+    task = lambda last: salted_key(F.concat_ws(":", *[F.col(c).cast("string") for c in (*part, head)], last.cast("string")), salt)
+    turns = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda o: F.struct(task(o).alias("h"), o.cast("long").alias("o"))))
+    turn = (F.row_number().over(Window.partitionBy(*part, head).orderBy("__h", pos)) - 1) % width
+    dealt = alone.join(safe, [*part, pos]).withColumn("__h", salted_key(F.col(pos), salt)).withColumn("__t", turn).withColumn("offset", F.get(turns, F.col("__t"))["o"])
+    return dealt.select(*part, pos, head, "offset", (F.col(pos) - F.col("offset") - halo).alias("crop_start"))

@@ -22,6 +22,33 @@ def otsu_midgap(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return groups.join(spans, by, "left").join(sides, by, "left").select(*by, F.when(F.col("hi").isNull(), 0.0).when(F.col("hi") - F.col("lo") < 1e-3, F.col("hi") + 1.0).otherwise((F.col("a") + F.col("b")) / 2).alias("threshold"))
 
 
+def cell_states(df: DataFrame, by: list[str], value: str, high_pressed: str, least_rows: int, least_gap: float) -> DataFrame:
+    """by, low, high, threshold, separation, minority, pressed, changing of each cell's values.
+
+    A provisional cut is the Otsu level of 256 bins between the cell's extremes (the lowest bin on ties), so a cell of any
+    length sorts 256 counts; the threshold is the middle of the medians on both sides. minority counts the rarer state.
+    high_pressed tells whether high values are the pressed state. NULL and NaN values don't count."""
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("v"), high_pressed)
+    ends = x.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = x.join(ends, by).withColumn("bin", F.floor((F.col("v") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)) * 255).cast("long"))
+    up, whole = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    bins = x.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    cum = bins.withColumn("a", F.sum("c").over(up)).withColumn("s", F.sum(F.col("bin") * F.col("c")).over(up)).withColumn("n", F.sum("c").over(whole)).withColumn("t", F.sum(F.col("bin") * F.col("c")).over(whole))
+    rest = F.col("n") - F.col("a")
+    between = F.when(rest > 0, F.col("a") * rest * F.pow(F.col("s") / F.col("a") - F.try_divide(F.col("t") - F.col("s"), rest), F.lit(2.0))).otherwise(0.0)
+    cut = cum.groupBy(*by).agg(F.max_by("bin", F.struct(between.alias("b"), (-F.col("bin")).alias("low"))).alias("level"))
+    x = x.join(cut, by)
+    high = F.col("v") > F.col("lo") + F.col("level") / 255 * (F.col("hi") - F.col("lo"))
+    mids = x.groupBy(*by).agg(F.median(F.when(~high, F.col("v"))).alias("l"), F.median(F.when(high, F.col("v"))).alias("h"), F.median("v").alias("m"))
+    both = F.col("l").isNotNull() & F.col("h").isNotNull()
+    mids = mids.select(*by, F.when(both, F.col("l")).otherwise(F.col("m")).alias("low"), F.when(both, F.col("h")).otherwise(F.col("m")).alias("high")).withColumn("threshold", (F.col("low") + F.col("high")) / 2)
+    state = F.col("v") >= F.col("threshold")
+    on, off = F.count(F.when(state, 1)), F.count(F.when(~state, 1))
+    out = x.join(mids, by).groupBy(*by, "low", "high", "threshold").agg(F.least(on, off).alias("minority"), F.count(F.when(state == F.col(high_pressed), 1)).alias("pressed"))
+    gap = F.col("high") - F.col("low")
+    return out.select(*by, "low", "high", "threshold", gap.alias("separation"), "minority", "pressed", ((F.col("minority") >= least_rows) & (gap >= least_gap)).alias("changing"))
+
+
 def spread_threshold(df: DataFrame, by: list[str], value: str, least: float, fraction: float, least_n: int, least_share: float) -> DataFrame:
     """by, threshold, separation, bimodal: q10 + fraction (q90 - q10), at least `least`; bimodal if both sides hold
     enough rows and their medians and the quantiles are `least` apart."""

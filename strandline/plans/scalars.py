@@ -118,3 +118,22 @@ SELECT k, CASE WHEN xor(xor(xor(k & 15, (k >> 4) & 15), xor((k >> 8) & 15, (k >>
 def a11(spark, sf):
     code = F.col("o_orderkey") * 16 + F.col("o_custkey") % 16
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), X.checked_index(code).alias("idx"))
+
+
+@query("i09_splitmix64", """WITH c AS (SELECT o_orderkey AS k, (o_orderkey::UHUGEINT + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM orders),
+a AS (SELECT k, xor(z, z // 1073741824::UHUGEINT) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM c), b AS (SELECT k, xor(z, z // 134217728::UHUGEINT) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM a)
+SELECT k, CAST(xor(z, z // 2147483648::UHUGEINT) AS VARCHAR) AS mixed FROM b""")
+def i09(spark, sf):
+    """As unsigned decimal text."""
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.conv(F.hex(X.splitmix64(F.col("o_orderkey"))), 16, 10).alias("mixed"))
+
+
+@query("i14b_edge_similarity", """WITH m AS (SELECT label, CAST(embedding AS DOUBLE[]) AS b FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+c AS (SELECT vec_id, a, b, list_transform(a, lambda z: z - list_avg(a)) AS ca, list_transform(b, lambda z: z - list_avg(b)) AS cb, list_aggregate(a, 'quantile_cont', 0.85) AS qa, list_aggregate(b, 'quantile_cont', 0.85) AS qb FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, b FROM embeddings JOIN m USING (label))),
+t AS (SELECT vec_id, list_inner_product(ca, cb) / sqrt(list_inner_product(ca, ca) * list_inner_product(cb, cb)) AS r, len(list_filter(a, lambda z: z >= qa)) AS na, len(list_filter(b, lambda z: z >= qb)) AS nb, len(list_filter(list_zip(a, b), lambda z: z[1] >= qa AND z[2] >= qb)) AS shared FROM c)
+SELECT vec_id, round(round(0.7 * r + 0.3 * (2.0 * shared / (na + nb)), 8), 6) AS score, round(round(2.0 * shared / (na + nb), 8), 6) AS dice FROM t""")
+def i14b(spark, sf):
+    """Each vector against its label's first one."""
+    df = table(spark, sf, "embeddings")
+    first = df.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("b"))
+    return _r(df.join(first, "label").select("vec_id", X.edge_similarity(F.col("embedding"), F.col("b")).alias("e")).select("vec_id", "e.score", "e.dice"), "score", "dice")

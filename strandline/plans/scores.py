@@ -249,3 +249,9 @@ def c13(spark, sf):
 @query("c14_joint_code", f"WITH {EV} SELECT CAST(CASE WHEN x THEN 1 ELSE 0 END + CASE WHEN active THEN 2 ELSE 0 END + CASE WHEN k >= 50 THEN 4 ELSE 0 END AS BIGINT) AS code, count(*) AS n FROM ev GROUP BY 1")
 def c14(spark, sf):
     return streams(spark, sf).withColumn("h", F.col("k") >= 50).groupBy(M.joint_code(["x", "active", "h"]).alias("code")).agg(F.count("*").alias("n"))
+
+
+@query("e29b_effective_rank", """WITH v AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings), d AS (SELECT CAST(j AS BIGINT) AS j FROM range(1, (SELECT max(len(e)) FROM v) + 1) AS t(j)),
+c AS (SELECT a.j AS a, b.j AS b, covar_pop(e[a.j], e[b.j]) AS c FROM v, d AS a, d AS b GROUP BY ALL) SELECT (SELECT count(*) FROM v) AS n, round(sum(c) FILTER (WHERE a = b) ** 2 / sum(c * c), 6) AS rank FROM c""")
+def e29b(spark, sf):
+    return _r(M.effective_rank(table(spark, sf, "embeddings"), "embedding"), "rank")

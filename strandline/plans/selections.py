@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import selection as Z
@@ -225,3 +226,67 @@ SELECT e.s, e.pos AS e, CAST(h AS BIGINT) AS lag, round(ln((b + 0.5) / (z + 0.5)
 def f27(spark, sf):
     df = streams(spark, sf)
     return _r(S.freeze_scores(df, df.where("key = 'error'").select("s", F.col("pos").alias("e")), ["s"], "pos", "k", "e", list(range(-3, 4)), 0.5), "score")
+
+
+@query("c11_eligible", f"""WITH {EV}, c AS (SELECT s, key, count(*) FILTER (WHERE x) AS n, count(*) FILTER (WHERE x) / 24.0 AS rate, median(k) AS m, avg(active::INT) AS co FROM ev GROUP BY ALL)
+SELECT s, key, action FROM c, (VALUES ('jump', 2, 0.1), ('dash', 3, 0.1), ('grab', 1, 0.2), ('pause', 0, 0.0)) AS a(action, least, hourly)
+WHERE n >= least AND rate >= hourly AND CASE action WHEN 'jump' THEN m <= 50 WHEN 'dash' THEN m <= 60 AND co >= 0.5 WHEN 'grab' THEN m >= 40 ELSE true END""")
+def c11(spark, sf):
+    """Each stream's event types as candidates, with a floor of presses, one of presses an hour, and a shape."""
+    c = streams(spark, sf).groupBy("s", "key").agg(F.count(F.when(F.col("x"), 1)).alias("n"), F.median("k").alias("m"), F.avg(F.col("active").cast("int")).alias("co")).withColumn("rate", F.col("n") / 24)
+    floors = {"jump": (2, 0.1), "dash": (3, 0.1), "grab": (1, 0.2), "pause": (0, 0.0)}
+    shapes = {"jump": F.col("m") <= 50, "dash": (F.col("m") <= 60) & (F.col("co") >= 0.5), "grab": F.col("m") >= 40}
+    return Z.eligible(c, "n", "rate", floors, shapes).select("s", "key", "action")
+
+
+@query("j05b_systematic_windows", f"""WITH {EV}, l AS (SELECT key, s, count(*) AS len FROM ev GROUP BY ALL), c AS (SELECT *, sum(len) OVER (PARTITION BY key ORDER BY s) AS e, sum(len) OVER (PARTITION BY key) AS total FROM l),
+d AS (SELECT key, CAST(j AS BIGINT) AS draw, CAST(floor((j + 0.25::DOUBLE) * total / (total // 3)) AS BIGINT) AS place FROM (SELECT DISTINCT key, total FROM c), LATERAL (SELECT unnest(range(CAST(total // 3 AS BIGINT))) AS j))
+SELECT c.key, c.s, draw, CAST(place - (e - len) AS BIGINT) AS "offset" FROM d JOIN c ON c.key = d.key AND place >= e - len AND place < e""")
+def j05b(spark, sf):
+    """A third of each event type's rows, evenly over its streams laid end to end."""
+    runs = streams(spark, sf).groupBy("key", "s").agg(F.count("*").alias("len"))
+    totals = runs.groupBy("key").agg(F.floor(F.sum("len") / 3).cast("long").alias("n"))
+    return Z.systematic_windows(runs.join(totals, "key"), ["key"], ["s"], "len", "n", 0.25)
+
+
+@query("j08b_epoch_batches", """WITH r AS (SELECT event_id AS i, row_number() OVER (ORDER BY sha256('a:3' || chr(0) || event_id), event_id) - 1 AS place, count(*) OVER () AS n FROM events),
+p AS (SELECT i, place FROM r UNION ALL SELECT i, place + n FROM r WHERE place + n < ceil(n / 96.0) * 96) SELECT i, CAST(place // 96 AS BIGINT) AS step, CAST(place % 96 // 24 AS INT) AS rank FROM p""")
+def j08b(spark, sf):
+    return Z.epoch_batches(streams(spark, sf), "i", "a", 3, 96, 4).select("i", "step", "rank")
+
+
+DEALT = """WITH RECURSIVE o AS (SELECT s_nationkey AS r, s_suppkey AS id, w, again, row_number() OVER (PARTITION BY s_nationkey ORDER BY again, CASE WHEN again THEN 0 ELSE -w END, s_suppkey) AS k
+FROM (SELECT *, CAST(floor(s_acctbal) AS BIGINT) + 2000 AS w, {again} AS again FROM supplier WHERE {rows})),
+l AS (SELECT r, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS id, 0 AS shard, {start} AS loads, [0, 0, 0] AS taken FROM (SELECT DISTINCT r FROM o) UNION ALL
+SELECT r, k, id, pick, list_transform(loads, lambda v, j: CASE WHEN j = pick + 1 THEN v + w ELSE v END), list_transform(taken, lambda v, j: CASE WHEN again AND j = pick + 1 THEN 1 ELSE v END)
+FROM (SELECT o.*, l.loads, l.taken, list_position(list_zip(l.taken, l.loads), list_min(list_zip(l.taken, l.loads))) - 1 AS pick FROM l JOIN o ON o.r = l.r AND o.k = l.k + 1))
+SELECT r, id, shard FROM l WHERE k > 0"""
+#: Of each nation, its two suppliers of smallest key are to be retried.
+AGAIN = "row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 2"
+
+
+def _units(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("r"), F.col("s_suppkey").alias("id"), (F.floor("s_acctbal") + 2000).cast("long").alias("w"))
+
+
+@query("j02_retries_spread", DEALT.format(again=AGAIN, rows="true", start="[CAST(0 AS BIGINT), 0, 0]"))
+def j02(spark, sf):
+    at = F.row_number().over(Window.partitionBy("r").orderBy("id"))
+    return Z.balanced(_units(spark, sf).withColumn("at", at).withColumn("again", F.when(F.col("at") <= 2, F.col("at"))), ["r"], "id", "w", 3, retry="again")
+
+
+@query("j03_recovery_partition", DEALT.format(again="false", rows="s_suppkey % 4 = 3", start="(SELECT [CAST(coalesce(sum(w) FILTER (WHERE h = 0), 0) AS BIGINT), CAST(coalesce(sum(w) FILTER (WHERE h = 1), 0) AS BIGINT), CAST(coalesce(sum(w) FILTER (WHERE h = 2), 0) AS BIGINT)] FROM (SELECT s_nationkey AS q, s_suppkey % 4 AS h, CAST(floor(s_acctbal) AS BIGINT) + 2000 AS w FROM supplier WHERE s_suppkey % 4 < 3 AND s_suppkey NOT IN (SELECT ps FROM (SELECT s_suppkey AS ps FROM supplier WHERE s_suppkey % 10 = 1))) WHERE q = r)").replace("WHERE s_suppkey % 4 = 3)", "WHERE s_suppkey % 4 = 3 AND s_suppkey % 10 <> 1)"))
+def j03(spark, sf):
+    """Shards keep what they held, less what is completed; what was queued for recovery is dealt on top."""
+    units = _units(spark, sf)
+    open_ = units.join(units.where("id % 10 = 1").select("id"), "id", "left_anti")
+    held = open_.where("id % 4 < 3").withColumn("shard", (F.col("id") % 4).cast("int"))
+    return Z.balanced(open_.where("id % 4 = 3"), ["r"], "id", "w", 3, loads=held.select("r", "shard", "w"))
+
+
+@query("j10_nearest_sum")
+def j10(spark, sf):
+    """Of each nation's suppliers, those whose balances add up nearest to two thirds of all."""
+    df = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("r"), F.col("s_suppkey").alias("id"), (F.floor(F.col("s_acctbal") / 100) + 20).cast("long").alias("w"))
+    target = df.groupBy("r").agg((F.sum("w") * 2 / 3).alias("t"))
+    return Z.nearest_sum(df.join(target, "r"), ["r"], "id", "w", "t", "n")

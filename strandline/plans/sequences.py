@@ -220,3 +220,15 @@ def f35(spark, sf):
 @query("f36_order_check", f"WITH {EV}, w AS (SELECT s, g, lag(g) OVER (PARTITION BY s ORDER BY pos) AS b FROM ev) SELECT s, count(*) AS n, count(*) FILTER (WHERE g < b) AS decreasing, count(*) FILTER (WHERE g = b) AS equal FROM w GROUP BY s")
 def f36(spark, sf):
     return S.order_check(streams(spark, sf), ["s"], "pos", "g")
+
+
+@query("f28_balanced_offsets", f"""WITH {EV}, t AS (SELECT s, pos, CASE WHEN x THEN 'onset' ELSE 'release' END AS head FROM (SELECT s, pos, x, lag(x, 1, false) OVER (PARTITION BY s ORDER BY pos) AS b FROM ev) WHERE x <> b),
+a AS (SELECT *, count(*) OVER (PARTITION BY s, head ORDER BY pos RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM t),
+z AS (SELECT a.s, a.pos, a.head, sha256('o' || chr(0) || a.pos) AS h FROM a WHERE c = 1 AND 5 = (SELECT count(*) FROM ev e WHERE e.s = a.s AND e.pos BETWEEN a.pos - 2 AND a.pos + 2 AND e.pos // 50 = a.pos // 50 AND e.active)),
+o AS (SELECT s, head, o, row_number() OVER (PARTITION BY s, head ORDER BY sha256('o' || chr(0) || concat_ws(':', s, head, o))) - 1 AS turn FROM (SELECT DISTINCT s, head FROM t), (SELECT unnest([0, 1]::BIGINT[]) AS o)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY s, head ORDER BY h, pos) - 1) % 2 AS turn FROM z) SELECT s, pos, head, o AS "offset", pos - o - 1 AS crop_start FROM r JOIN o USING (s, head, turn)""")
+def f28(spark, sf):
+    """Onsets and releases in windows of two rows with a halo of one; runs break every 50 rows."""
+    df = streams(spark, sf).withColumn("run", F.floor(F.col("pos") / 50))
+    events = S.transitions(df, ["s"], "pos", "x").select("s", "pos", F.col("kind").alias("head"))
+    return S.balanced_offsets(df, events, ["s"], "run", "pos", "active", "head", 2, 1, "o")

@@ -204,3 +204,16 @@ SELECT s, key, round(support * (0.65 * score + 0.35 * (score - nx)), 6) AS confi
 def m17(spark, sf):
     units = streams(spark, sf).groupBy("s", "key").agg(F.least(F.lit(1.0), F.count("*") / 20.0).alias("support"), F.round(F.avg("p"), 9).alias("score"))
     return _r(T.bind_confidence(units, ["s"], "key", "support", "score", 0.2), "confidence")
+
+
+@query("e38_cell_states", f"""WITH {EV}, x AS (SELECT key AS cell, CAST(v AS DOUBLE) AS v, key < 'm' AS hp FROM ev WHERE v IS NOT NULL AND NOT isnan(v)), e AS (SELECT cell, min(v) AS lo, max(v) AS hi FROM x GROUP BY 1),
+b AS (SELECT x.*, lo, hi, CAST(floor((v - lo) / greatest(hi - lo, 1e-9) * 255) AS BIGINT) AS bin FROM x JOIN e USING (cell)), h AS (SELECT cell, bin, count(*) AS c FROM b GROUP BY ALL),
+u AS (SELECT cell, bin, sum(c) OVER w AS a, sum(bin * c) OVER w AS s, sum(c) OVER (PARTITION BY cell) AS n, sum(bin * c) OVER (PARTITION BY cell) AS t FROM h WINDOW w AS (PARTITION BY cell ORDER BY bin)),
+o AS (SELECT cell, bin AS level FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY CASE WHEN a < n THEN a * (n - a) * (s / a - (t - s) / (n - a)) ** 2 ELSE 0 END DESC, bin) AS r FROM u) WHERE r = 1),
+m AS (SELECT cell, median(v) FILTER (WHERE v <= lo + level / 255 * (hi - lo)) AS l, median(v) FILTER (WHERE v > lo + level / 255 * (hi - lo)) AS h, median(v) AS m FROM b JOIN o USING (cell) GROUP BY 1),
+t AS (SELECT cell, CASE WHEN h IS NULL THEN m ELSE l END AS low, CASE WHEN h IS NULL THEN m ELSE h END AS high FROM m)
+SELECT cell, round(low, 6) AS low, round(high, 6) AS high, round((low + high) / 2, 6) AS threshold, round(high - low, 6) AS separation, least(count(*) FILTER (WHERE v >= (low + high) / 2), count(*) FILTER (WHERE v < (low + high) / 2)) AS minority,
+count(*) FILTER (WHERE (v >= (low + high) / 2) = hp) AS pressed, minority >= 30 AND high - low >= 5 AS changing FROM x JOIN t USING (cell) GROUP BY cell, low, high""")
+def e38(spark, sf):
+    df = streams(spark, sf).select(F.col("key").alias("cell"), "v", (F.col("key") < "m").alias("hp"))
+    return _r(T.cell_states(df, ["cell"], "v", "hp", 30, 5.0), "low", "high", "threshold", "separation")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -82,3 +87,61 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.split_part(F.col("path"), F.lit(path.rstrip("/") + "/"), F.lit(2))
     return df.select(name.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+
+def array_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, array, shape, dtype, columnar (Fortran order) of all arrays of all .npz files under a folder. Only the headers are
+    decompressed; a broken file raises when it is read."""
+
+    def headers(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                rows = []
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for member in archive.namelist():
+                        with archive.open(member) as file:
+                            version = np.lib.format.read_magic(file)
+                            read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
+                            if read is None:
+                                raise ValueError(f"{name}: unknown version {version} of {member}")
+                            shape, columnar, dtype = read(file)
+                            rows.append((name, member.removesuffix(".npy"), list(shape), dtype.str, columnar))
+                yield pd.DataFrame(rows, columns=["path", "array", "shape", "dtype", "columnar"])
+
+    return _archives(spark, path).mapInPandas(headers, "path string, array string, shape array<long>, dtype string, columnar boolean")
+
+
+def array_archives(spark: SparkSession, path: str, ident: str, arrays: dict[str, tuple[list[str], tuple[int | None, ...]]], rows: int = 4096) -> DataFrame:
+    """id, pos and each array's row as an array of doubles, of all .npz files under a folder.
+
+    arrays: name -> (dtypes, shape), None standing for any size; the first axis is the row, and all arrays are equally long.
+    A file without one of these, of another type or shape, or whose one-string array ident isn't its own name raises when it
+    is read. A file is decoded by one task, `rows` rows at a time; objects are never unpickled."""
+
+    def decoded(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
+                    lacking = sorted({ident, *arrays} - set(archive.files))
+                    if lacking:
+                        raise ValueError(f"{name}: missing arrays {lacking}")
+                    own, data = archive[ident], {k: archive[k] for k in arrays}
+                stem = name.rsplit("/", 1)[-1].removesuffix(".npz")
+                if own.size != 1 or str(own.reshape(()).item()) != stem:
+                    raise ValueError(f"{name}: {ident} isn't the file's name")
+                n = {len(v) if v.ndim else -1 for v in data.values()}
+                for k, (dtypes, shape) in arrays.items():
+                    v = data[k]
+                    if v.dtype.name not in dtypes or v.ndim != len(shape) or any(b not in (None, a) for a, b in zip(v.shape, shape)) or len(n) != 1:
+                        raise ValueError(f"{name}: {k} is {v.dtype.name} {v.shape}")
+                for start in range(0, max(n), rows):
+                    part = {k: list(v[start : start + rows].reshape(len(v[start : start + rows]), -1).astype("float64")) for k, v in data.items()}
+                    at = np.arange(start, min(start + rows, max(n)))
+                    yield pd.DataFrame({"id": stem, "pos": at, **part})
+
+    columns = ", ".join(f"`{k}` array<double>" for k in arrays)
+    return _archives(spark, path).mapInPandas(decoded, f"id string, pos long, {columns}")

@@ -52,3 +52,8 @@ def parts(df: DataFrame, part: list[str], pos: str, size: int, least: int) -> Da
 def upserted(manifest: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     """The manifest with rows in place of those of the same key."""
     return manifest.join(rows, key, "left_anti").unionByName(rows)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Adds one JSON line a row to a log folder; what it holds stays as it is."""
+    df.write.mode("append").json(path)
