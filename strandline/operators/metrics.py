@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_totals, tiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
@@ -32,16 +34,14 @@ def joint_code(keys: list[str]) -> Column:
 def average_precision(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
     """by, positives, ap: tied scores enter together. One row per score is what is sorted, not one per row."""
     tied = df.groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    cum = tied.withColumn("ctp", F.sum("tp").over(down)).withColumn("cn", F.sum("n").over(down))
+    cum = running_totals(tied, by, p, {"ctp": F.col("tp"), "cn": F.col("n")}, down=True)
     out = cum.groupBy(*by).agg(F.sum("tp").alias("positives"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("s"))
     return out.select(*by, "positives", ratio(F.col("s"), F.when(F.col("positives") > 0, F.col("positives"))).alias("ap"))
 
 
 def ordered_precision(df: DataFrame, by: list[str], y: str, p: str, pos: str) -> DataFrame:
     """by, ap, prevalence, skill: ties stay in stable order of pos; skill is (ap - prevalence) / (1 - prevalence)."""
-    w = Window.partitionBy(*by).orderBy(F.desc(p), pos)
-    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", F.sum(F.col(y).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running_totals(df.select(*dict.fromkeys([*by, y, p, pos])), by, p, {"__r": F.lit(1), "__c": F.col(y).cast("long")}, ties=pos, down=True)
     out = ranked.groupBy(*by).agg(F.sum(F.when(F.col(y), F.col("__c") / F.col("__r"))).alias("s"), F.sum(F.col(y).cast("long")).alias("k"), F.count("*").alias("n"))
     ap, prev = ratio(F.col("s"), F.when(F.col("k") > 0, F.col("k"))), ratio(F.col("k"), F.col("n"))
     return out.select(*by, ap.alias("ap"), prev.alias("prevalence"), ratio(ap - prev, F.when(prev < 1, 1 - prev)).alias("skill"))
@@ -78,8 +78,8 @@ def expected_calibration_error(bins: DataFrame, by: list[str]) -> DataFrame:
 
 def equal_mass_bins(df: DataFrame, by: list[str], y: str, p: str, pos: str, k: int) -> DataFrame:
     """by, bin, n, mean_p, rate of k bins of equal size, in order of (p, pos)."""
-    w = Window.partitionBy(*by).orderBy(p, pos)
-    return df.withColumn("bin", F.ntile(k).over(w).cast("long")).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"))
+    ranked = running_totals(df.select(*dict.fromkeys([*by, y, p, pos])), by, p, {"__r": F.lit(1)}, ties=pos)
+    return ranked.withColumn("bin", tiles(F.col("__r"), F.col("__r_all"), k)).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("rate"))
 
 
 def clipped(p: str | Column, eps: float = 1e-7) -> Column:
@@ -132,9 +132,14 @@ def accuracy(df: DataFrame, part: list[str], pos: str, keys: list[str], predicte
 
 
 def rank_auc(df: DataFrame, by: list[str], y: str, score: str, pos: str) -> DataFrame:
-    """by, auc by ordinal ranks without averaging ties: equal scores rank positives first, then by pos."""
-    w = Window.partitionBy(*by).orderBy(score, F.desc(F.col(y).cast("int")), pos)
-    out = df.withColumn("__r", F.row_number().over(w)).groupBy(*by).agg(F.sum(F.when(F.col(y), F.col("__r"))).alias("r"), F.count(F.when(F.col(y), 1)).alias("a"), F.count(F.when(~F.col(y), 1)).alias("b"))
+    """by, auc by ordinal ranks without averaging ties: equal scores rank positives first, then by pos.
+
+    Only the sum of the positives' ranks counts, which their order among themselves doesn't change: of a tie with a
+    positives and n rows before it, it is a * n + a * (a + 1) / 2, so one row per score is what is sorted."""
+    tied = df.groupBy(*by, score).agg(F.count(F.when(F.col(y), 1)).alias("a"), F.count(F.when(~F.col(y), 1)).alias("b"), F.count("*").alias("n"))
+    ranks = running_totals(tied, by, score, {"upto": F.col("n")})
+    rank_sum = F.col("a") * (F.col("upto") - F.col("n")) + F.col("a") * (F.col("a") + 1) / 2
+    out = ranks.groupBy(*by).agg(F.sum(rank_sum).alias("r"), F.sum("a").alias("a"), F.sum("b").alias("b"))
     return out.select(*by, ratio(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("a") * F.col("b"))).alias("auc"))
 
 
@@ -210,7 +215,8 @@ def offset_summary(df: DataFrame, probabilities: str, true_offset: str) -> DataF
 
 def quartiles(df: DataFrame, by: list[str], order: str, pos: str, value: str) -> DataFrame:
     """by, quartile, n, mean_order, mean_value of four parts of equal size."""
-    return df.withColumn("quartile", F.ntile(4).over(Window.partitionBy(*by).orderBy(order, pos)).cast("long")).groupBy(*by, "quartile").agg(F.count("*").alias("n"), F.avg(order).alias("mean_order"), F.avg(value).alias("mean_value"))
+    ranked = running_totals(df.select(*dict.fromkeys([*by, order, pos, value])), by, order, {"__r": F.lit(1)}, ties=pos)
+    return ranked.withColumn("quartile", tiles(F.col("__r"), F.col("__r_all"), 4)).groupBy(*by, "quartile").agg(F.count("*").alias("n"), F.avg(order).alias("mean_order"), F.avg(value).alias("mean_value"))
 
 
 def dimension_scales(df: DataFrame, vector: str) -> DataFrame:

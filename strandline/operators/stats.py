@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_totals
+
 
 def otsu_midgap(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, threshold: the two-cluster split of largest between-class variance over boundaries of distinct values
     (ties: the lowest), then the middle of the cluster medians. No finite value: 0; a range under 1e-3: max + 1."""
     x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("v"))
     tied = x.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    up = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    cum = tied.withColumn("lo", F.sum("c").over(up)).withColumn("ls", F.sum(F.col("v") * F.col("c")).over(up)).withColumn("n", F.sum("c").over(whole)).withColumn("t", F.sum(F.col("v") * F.col("c")).over(whole))
+    cum = running_totals(tied, by, "v", {"lo": F.col("c"), "ls": F.col("v") * F.col("c")}).withColumnsRenamed({"lo_all": "n", "ls_all": "t"})
     cut = cum.where("lo < n").withColumn("between", F.col("lo") * (F.col("n") - F.col("lo")) * F.pow(F.col("ls") / F.col("lo") - (F.col("t") - F.col("ls")) / (F.col("n") - F.col("lo")), F.lit(2.0)))
     best = cut.groupBy(*by).agg(F.max_by("v", F.struct("between", (-F.col("v")).alias("low"))).alias("split"))
     sides = x.join(best, by).groupBy(*by).agg(F.median(F.when(F.col("v") <= F.col("split"), F.col("v"))).alias("a"), F.median(F.when(F.col("v") > F.col("split"), F.col("v"))).alias("b"))
@@ -163,18 +163,11 @@ def upper_tail(null: DataFrame, by: list[str], value: str, observed: str) -> Dat
 def fdr(df: DataFrame, p: str, family: int, q: float, parts: int = 256) -> DataFrame:
     """Adds passed: Benjamini-Hochberg over a frozen family size; null p-values fail and stay in the family.
 
-    Ranks are prefix sums of counts over the distinct p: within each of at most parts + 1 ranges, and over
-    the ranges' totals, so no task sees all p-values. The ranges' edges are quantiles, read by the driver."""
+    Ranks are running totals of counts over the distinct p, split by ranges, so no task sees all p-values."""
     ok = F.col(p).isNotNull() & ~F.isnan(F.col(p))
     counts = df.where(ok).groupBy(F.col(p).cast("double").alias("__p")).agg(F.count("*").alias("__n"))
-    edges = sorted(set(counts.approxQuantile("__p", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    above = F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < F.col("__p"))
-    counts = counts.withColumn("__part", F.size(above))
-    totals = counts.groupBy("__part").agg(F.sum("__n").alias("__t"))
-    before = totals.select("__part", (F.sum("__t").over(Window.orderBy("__part")) - F.col("__t")).alias("__before"))
-    own = F.sum("__n").over(Window.partitionBy("__part").orderBy("__p"))
-    ranked = counts.withColumn("__own", own).join(F.broadcast(before), "__part")
-    ranks = ranked.where(F.col("__p") <= q * (F.col("__before") + F.col("__own")) / family).agg(F.max("__p").alias("__cut"))
+    ranked = running_totals(counts, [], "__p", {"__rank": F.col("__n")}, parts=parts)
+    ranks = ranked.where(F.col("__p") <= q * F.col("__rank") / family).agg(F.max("__p").alias("__cut"))
     return df.crossJoin(F.broadcast(ranks)).withColumn("passed", F.coalesce(ok & (F.col(p) <= F.col("__cut")), F.lit(False))).drop("__cut")
 
 
