@@ -1,14 +1,17 @@
 """Joins by index, shift, nearness, interval and vicinity.
 
 No join here pairs all rows of two tables: each has an equality (an index, a bucket, a stream) or one side
-that the caller declares small. References and interval lists are such sides; broadcast is left to Spark,
-which checks sizes.
+that the caller states (a query set, an interval list); broadcast is left to Spark, which checks sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import deque
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def matched_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,26 +61,38 @@ def nearest_in_reach(true: DataFrame, predicted: DataFrame, part: list[str], t:
 def matched_events(true: DataFrame, predicted: DataFrame, part: list[str], t: str, collar: int) -> DataFrame:
     """part, n_true, n_pred, n_matched: one-to-one matches within ±collar, greedy in time order.
 
-    Collar 0 is an equi-join. Else a fold over each stream's united, sorted events keeps the two queues of
-    unmatched times within reach, so it costs a pass, not a search per event."""
+    Collar 0 is an equi-join. Else both event lists are dealt by stream and sorted by Spark (which spills) and pass
+    through their task batch by batch; what is carried is the unmatched times within reach, however long the
+    stream is. A NULL time counts as an event but matches nothing."""
     counts = true.groupBy(*part).agg(F.count("*").alias("n_true")).join(predicted.groupBy(*part).agg(F.count("*").alias("n_pred")), part, "full")
     if collar == 0:
         met = true.select(*part, t).join(predicted.select(*part, t), [*part, t]).groupBy(*part).agg(F.count("*").alias("n_matched"))
     else:
-        rows = true.select(*part, F.col(t).cast("long").alias("t"), F.lit(0).alias("side")).unionByName(predicted.select(*part, F.col(t).cast("long").alias("t"), F.lit(1).alias("side")))
-        lists = rows.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("t", "side"))).alias("rows"))
-        empty = F.array().cast("array<bigint>")
-        start = F.struct(F.lit(0).cast("long").alias("n"), empty.alias("a"), empty.alias("b"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a, b = (F.filter(acc[q], lambda u: x["t"] - u <= collar) for q in ("a", "b"))
-            other, own = F.when(x["side"] == 0, b).otherwise(a), F.when(x["side"] == 0, a).otherwise(b)
-            met_ = F.size(other) > 0
-            other = F.when(met_, F.slice(other, 2, F.greatest(F.size(other), F.lit(1)))).otherwise(other)
-            own = F.when(met_, own).otherwise(F.array_append(own, x["t"]))
-            return F.struct((acc["n"] + met_.cast("long")).alias("n"), F.when(x["side"] == 0, own).otherwise(other).alias("a"), F.when(x["side"] == 0, other).otherwise(own).alias("b"))
-
-        met = lists.select(*part, F.aggregate("rows", start, step, lambda acc: acc["n"]).alias("n_matched"))
+        both = true.select(*part, F.col(t).cast("long").alias("__t"), F.lit(0).alias("__side")).unionByName(predicted.select(*part, F.col(t).cast("long").alias("__t"), F.lit(1).alias("__side")))
+        ordered = both.where("__t IS NOT NULL").repartition(*part).sortWithinPartitions(*part, "__t", "__side")
+
+        def run(batches):
+            stream, waiting = None, (deque(), deque())
+            for batch in batches:
+                keys = zip(*[batch.column(n).to_pylist() for n in range(len(part))], strict=True)
+                out = []
+                for key, at, side in zip(keys, *[batch.column(n).to_pylist() for n in (-2, -1)], strict=True):
+                    if key != stream:
+                        stream, waiting = key, (deque(), deque())
+                    for queue in waiting:
+                        while queue and at - queue[0] > collar:
+                            queue.popleft()
+                    met_here = bool(waiting[1 - side])
+                    if met_here:
+                        waiting[1 - side].popleft()
+                    else:
+                        waiting[side].append(at)
+                    out.append(met_here)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(part)], pa.array(out, pa.bool_())], names=[*part, "__met"])
+
+        fields = [both.schema[c] for c in part]
+        flags = ordered.mapInArrow(run, T.StructType([*fields, T.StructField("__met", T.BooleanType())]))
+        met = flags.groupBy(*part).agg(F.sum(F.col("__met").cast("long")).alias("n_matched"))
     zero = F.lit(0)
     return counts.join(met, part, "left").select(*part, *[F.coalesce(c, zero).cast("long").alias(c) for c in ("n_true", "n_pred", "n_matched")])
 
@@ -128,13 +143,16 @@ def common_support(df: DataFrame, part: list[str], pos: str, active: str, low: i
 
 
 def ranked_references(candidates: DataFrame, references: DataFrame, cid: str, rid: str, vector: str, top: int) -> DataFrame:
-    """cid, rid, similarity, rank: the top references of each candidate by cosine, ties by rid. references is a
-    declared small set; Spark broadcasts it if its size allows, else streams candidates past its blocks."""
+    """cid, rid, similarity, rank: the top references of each candidate by cosine (6 digits), ties by rid, its own id apart.
+
+    candidates is a stated query set, references any table. Spark broadcasts the smaller one if its size allows, else
+    its parts meet in blocks; each task keeps its own top of a candidate, so that few of the pairs are shuffled."""
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    pairs = candidates.select(cid, F.col(vector).alias("__a")).join(references.select(rid, F.col(vector).alias("__b")), F.col(cid) != F.col(rid))
-    scored = pairs.select(cid, rid, F.round(dot("__a", "__b") / F.sqrt(dot("__a", "__a") * dot("__b", "__b")), 6).alias("similarity"))
+    left = candidates.select(cid, F.col(vector).alias("__a"), dot(vector, vector).alias("__aa"))
+    right = references.select(rid, F.col(vector).alias("__b"), dot(vector, vector).alias("__bb"))
+    scored = left.join(right, F.col(cid) != F.col(rid)).select(cid, rid, F.round(dot("__a", "__b") / F.sqrt(F.col("__aa") * F.col("__bb")), 6).alias("similarity"))
     w = Window.partitionBy(cid).orderBy(F.desc("similarity"), rid)
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import sequence as S
@@ -175,11 +176,11 @@ def f25(spark, sf):
     return S.gated_windows(streams(spark, sf).withColumn("c", F.col("k") < 90), ["s"], "pos", "c", "active", 4, 2, 3)
 
 
-@query("f26_lag_energy", f"""WITH {EV}, e AS (SELECT s, pos FROM ev WHERE key = 'click' AND pos > 2), l AS (SELECT e.s, e.pos, CAST(t.lag AS BIGINT) AS lag FROM e, (VALUES (-2), (-1), (0), (1)) AS t(lag)),
+@query("f26_lag_energy", f"""WITH {EV}, e AS (SELECT s, pos FROM ev WHERE key = 'click'), l AS (SELECT e.s, e.pos, CAST(t.lag AS BIGINT) AS lag FROM e, (VALUES (-2), (-1), (0), (1)) AS t(lag)),
 j AS (SELECT l.lag, ev.k FROM l LEFT JOIN ev ON ev.s = l.s AND ev.pos = l.pos + l.lag) SELECT lag, count(*) AS n, round(avg(k), 6) AS energy FROM j GROUP BY lag HAVING count(*) = count(k)""")
 def f26(spark, sf):
     df = streams(spark, sf)
-    return S.lag_energy(df.where("key = 'click' AND pos > 2"), df, ["s"], "pos", "k", [-2, -1, 0, 1]).withColumn("energy", F.round("energy", 6))
+    return S.lag_energy(df.where("key = 'click'"), df, ["s"], "pos", "k", [-2, -1, 0, 1]).withColumn("energy", F.round("energy", 6))
 
 
 @query("f29_eligible_anchors", f"WITH {EV}, {RUNS} SELECT CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS anchors FROM (SELECT count(*) AS n FROM ru GROUP BY s, run_id)")
@@ -187,10 +188,12 @@ def f29(spark, sf):
     return S.eligible_anchors(_runs(spark, sf).groupBy("s", "run_id").agg(F.count("*").alias("n")), "n", 1)
 
 
-@query("f30_dense_violations", """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations WHERE turn <> 1), m AS (SELECT conv_id, min(turn) AS t FROM t WHERE turn <> e GROUP BY conv_id)
-SELECT conv_id, t AS "at", t AS found FROM m""")
+@query("f30_dense_violations", """WITH t AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS e FROM orders),
+m AS (SELECT o_custkey, min(o_orderkey) AS "at" FROM t WHERE r <> e GROUP BY o_custkey) SELECT m.o_custkey, m."at", t.r AS found FROM m JOIN t ON m."at" = t.o_orderkey""")
 def f30(spark, sf):
-    return S.dense_violations(table(spark, sf, "conversations").where("turn <> 1").withColumn("idx", F.col("turn")), ["conv_id"], "turn", "idx")
+    """The first order of a customer whose place by date isn't its place by number."""
+    dated = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return S.dense_violations(table(spark, sf, "orders").withColumn("idx", dated.cast("long")), ["o_custkey"], "o_orderkey", "idx", 1)
 
 
 @query("f31_change_weights", f"WITH {EV} SELECT s, pos, CAST(CASE WHEN x <> lag(x) OVER (PARTITION BY s ORDER BY pos) THEN 5 ELSE 1 END AS DOUBLE) AS weight FROM ev")

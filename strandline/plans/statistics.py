@@ -172,10 +172,11 @@ def l06(spark, sf):
     return I.resampled(streams(spark, sf), ["s"], "i", "k", 500.0, 1)
 
 
-@query("l07_bounded_parts", f"WITH {EV}, {HELD}, c AS (SELECT s, a, least(b, 50) AS b FROM held WHERE a < 50), p AS (SELECT s, b, unnest(range(a, b, 3)) AS q FROM c) SELECT s, q AS part_start, least(q + 3, b) AS part_end FROM p WHERE least(q + 3, b) - q >= 2")
+@query("l07_bounded_parts", f"WITH {EV}, {HELD}, m AS (SELECT s, max(pos) AS m FROM ev GROUP BY s), c AS (SELECT s, a, least(b, m) AS b FROM held JOIN m USING (s) WHERE a < m), p AS (SELECT s, b, unnest(range(a, b, 3)) AS q FROM c) SELECT s, q AS part_start, least(q + 3, b) AS part_end FROM p WHERE least(q + 3, b) - q >= 2")
 def l07(spark, sf):
-    """With b04: parts of a bounded number of rows, short ones dropped."""
-    runs = S.flag_runs(streams(spark, sf), ["s"], "pos", "x").withColumn("m", F.lit(50).cast("long"))
+    """With b04: parts of a bounded number of rows, short ones dropped. The media ends before a stream's last row."""
+    df = streams(spark, sf)
+    runs = S.flag_runs(df, ["s"], "pos", "x").join(df.groupBy("s").agg(F.max("pos").alias("m")), "s")
     return I.bounded_parts(runs, ["s"], "start", "end", "m", 3, 2)
 
 

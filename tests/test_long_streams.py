@@ -61,3 +61,45 @@ def test_scalar_rules(spark):
     ids = [("one", True), ("Untouched-3", True), ("two", False), (None, False)]
     got = spark.createDataFrame([(t,) for t, _ in ids], "t string").select("t", scalars.embargoed(F.col("t"), ["one"], "untouched").alias("x")).collect()
     assert {r.t: r.x for r in got} == dict(ids)
+
+
+def test_matched_events_of_a_long_stream(spark):
+    """A million events of one stream; every true event at 10 i meets the predicted one at 10 i + 2."""
+    n = 500_000
+    true = spark.range(n).select(F.lit("a").alias("s"), (F.col("id") * 10).alias("t"))
+    predicted = true.select("s", (F.col("t") + 2).alias("t"))
+    began = time.time()
+    assert [tuple(r) for r in align.matched_events(true, predicted, ["s"], "t", 3).collect()] == [("a", n, n, n)]
+    assert [tuple(r) for r in align.matched_events(true, predicted, ["s"], "t", 1).collect()] == [("a", n, n, 0)]
+    assert time.time() - began < 60
+
+
+def test_matched_events_against_two_pointers(spark):
+    draw = random.Random(9)
+    streams = {f"s{i}": [sorted(draw.sample(range(60), draw.randrange(1, 30))) for _ in range(2)] for i in range(40)}
+    true, predicted = (spark.createDataFrame([(s, t) for s, lists in streams.items() for t in lists[side]] + [("s0", None)], "s string, t long") for side in (0, 1))
+    for collar in (1, 2, 5):
+        want = {}
+        for s, (a, b) in streams.items():
+            i = j = met = 0
+            while i < len(a) and j < len(b):
+                if abs(a[i] - b[j]) <= collar:
+                    i, j, met = i + 1, j + 1, met + 1
+                elif a[i] < b[j]:
+                    i += 1
+                else:
+                    j += 1
+            want[s] = (len(a) + (s == "s0"), len(b) + (s == "s0"), met)
+        found = align.matched_events(true, predicted, ["s"], "t", collar).collect()
+        assert {r["s"]: (r["n_true"], r["n_pred"], r["n_matched"]) for r in found} == want
+
+
+def test_ranked_references_against_a_loop(spark):
+    draw = random.Random(10)
+    vectors = {i: [draw.choice([-1.0, 0.5, 2.0]) for _ in range(4)] for i in range(60)}
+    df = spark.createDataFrame(list(vectors.items()), "i long, v array<double>")
+    found = align.ranked_references(df.where("i % 10 = 0").withColumnRenamed("i", "c"), df.withColumnRenamed("i", "r"), "c", "r", "v", 5)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    for c in range(0, 60, 10):
+        near = sorted((-round(dot(vectors[c], v) / (dot(v, v) * dot(vectors[c], vectors[c])) ** 0.5, 6), r) for r, v in vectors.items() if r != c)[:5]
+        assert [(-r["similarity"], r["r"]) for r in found.where(F.col("c") == c).orderBy("rank").collect()] == near
