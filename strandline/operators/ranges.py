@@ -1,11 +1,19 @@
-"""Running totals and ranks within groups, split by ranges of the order so that no group is one task's work."""
+"""Running totals, ranks and folds within groups, split by ranges of the order so that no group is one task's work; components by rounds."""
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _below(edges: Column, x: Column, width: int = 16) -> Column:
@@ -54,3 +62,102 @@ def tiles(rank: Column, n: Column, k: int) -> Column:
     size, longer = F.floor(n / k).cast("long"), (n % k).cast("long")
     head = longer * (size + 1)
     return F.when(rank <= head, F.floor((rank - 1) / (size + 1)) + 1).otherwise(longer + F.floor((rank - 1 - head) / F.greatest(size, F.lit(1))) + 1).cast("long")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; without that setting a temporary folder, in a single JVM only, as no other machine would see it."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return folder or tempfile.mkdtemp(prefix="strandline-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
+    """df and out: the number of a row, from 0, in its group in order of a number."""
+    return running_totals(df, by, order, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1).drop(f"{out}_all")
+
+
+def over_ranges(df: DataFrame, part: list[str], order: list[str], values: list[str], fresh: Any, summarise: Callable, advance: Callable, run: Callable, out: StructType) -> DataFrame:
+    """A fold over each group's rows in order, of which the ranges of a long group are read in parallel.
+
+    The table is dealt by ranges of (part, order), written once, and read twice. First every range is summed up:
+    summarise(rows) tells of the rows of one group in one range what advance(state, summary) needs to pass a state
+    over them. One summary a range comes to the driver, of the group that reaches its end, and is chained there.
+    Then run(key, state, rows) yields the output rows of a group in a range from the state at its start, which is `fresh`
+    for the group's first rows. Rows are tuples of part, order and values, passed one by one; summaries must be small.
+    A group is the work of as many tasks as it has ranges. Rows of equal (part, order) lie in one range."""
+    names = list(dict.fromkeys([*part, *order, *values]))
+    width = len(part)
+    spread = cut(df.select(*names).repartitionByRange(*part, *order).sortWithinPartitions(*part, *order).withColumn("__range", F.spark_partition_id()))
+
+    def groups(batches, seen):
+        def rows():
+            for batch in batches:
+                if batch.num_rows:
+                    seen.append(batch.column(len(names))[0].as_py())
+                    yield from zip(*[batch.column(i).to_pylist() for i in range(len(names))], strict=True)
+
+        return groupby(rows(), lambda r: r[:width])
+
+    def sum_up(batches):
+        seen, first, last, many, summary = [], None, None, 0, None
+        for key, rows in groups(batches, seen):
+            many, last, summary = many + 1, key, summarise(rows)
+            first = key if first is None else first
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([seen[0]], pa.int32()), pa.array([pickle.dumps((first, last, many, summary))], pa.binary())], names=["range", "told"])
+
+    states, state, reached = {}, fresh, None
+    for row in sorted(spread.mapInArrow(sum_up, "range int, told binary").collect()):
+        first, last, many, summary = pickle.loads(row.told)
+        if first == reached:
+            states[row.range] = state
+        state, reached = advance(state if first == reached and many == 1 else fresh, summary), last
+    told = df.sparkSession.sparkContext.broadcast(states)
+    schema = to_arrow_schema(out)
+
+    def passed(batches):
+        seen, ready = [], []
+        for number, (key, rows) in enumerate(groups(batches, seen)):
+            for row in run(key, fresh if number else told.value.get(seen[0], fresh), rows):
+                ready.append(row)
+                if len(ready) == 8192:
+                    yield _batch(ready, schema)
+                    ready = []
+        yield _batch(ready, schema)
+
+    return spread.mapInArrow(passed, out)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node, smallest: for every node of the links (a, b) that isn't the smallest of its component that smallest one.
+
+    Rounds of large-star and small-star: every node gives its larger neighbours, then its smaller ones, to the least node
+    it knows, until all links are stars; a round only needs minima by node and joins on a node."""
+    ordered = lambda df, u, v: df.select(F.greatest(u, v).alias("node"), F.least(u, v).alias("smallest")).where("node <> smallest").distinct()
+    edges = cut(ordered(links, a, b))
+    while True:
+        tops = edges.select("node").distinct()
+        settled = edges.groupBy().agg(F.count("*").alias("n"), F.count_distinct("node").alias("nodes")).first()
+        if settled.n == settled.nodes and edges.join(tops.withColumnRenamed("node", "smallest"), "smallest", "left_semi").isEmpty():
+            return edges
+        both = edges.select(F.col("node").alias("u"), F.col("smallest").alias("v")).unionByName(edges.select(F.col("smallest").alias("u"), F.col("node").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ordered(both.join(least, "u").where("v > u"), "v", "m")
+        lower = large.groupBy("node").agg(F.min("smallest").alias("m"))
+        small = large.join(lower, "node")
+        edges = cut(ordered(small.select(F.col("smallest").alias("v"), "m").unionByName(small.select(F.col("node").alias("v"), "m")), "v", "m"))

@@ -7,12 +7,15 @@ long streams by a block column in part.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import salted_key
+from .ranges import over_ranges
 
 
 def _w(part: list[str], pos: str | list[str]):
@@ -168,15 +171,8 @@ def decimation_loss(runs: DataFrame, start: str, end: str, every: int) -> DataFr
     return counted.groupBy("phase").agg(F.count("*").alias("runs"), F.sum((F.col("kept") == 0).cast("long")).alias("lost"), F.sum((F.col("kept") == 1).cast("long")).alias("single"))
 
 
-def latch(df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str, release_p: str, on: float = 0.5, off: float = 0.5, start: float = 0.5, resync_on: float = 0.9, resync_off: float = 0.1, patience: int = 3) -> DataFrame:
-    """part, pos, held: a hysteresis latch. The first row takes the state's threshold; then an onset while
-    released or a release while held switches it, and patience rows in a row of confident disagreement
-    without an event resynchronise it.
-
-    Each state needs the one before, so a stream is read in order: streams are dealt and sorted by Spark (which spills),
-    and pass through their task batch by batch with two values carried, however long they are."""
-    fields = [df.schema[c] for c in (*part, pos)]
-    ordered = df.select(*part, pos, *[F.col(c).cast("double").alias(f"__{n}") for n, c in enumerate((state_p, onset_p, release_p))]).repartition(*part).sortWithinPartitions(*part, pos, "__0", "__1", "__2")
+def latch_step(on: float, off: float, start: float, resync_on: float, resync_off: float, patience: int) -> Callable:
+    """step(held, against, state, onset, release) of the hysteresis latch: the next held and count of rows against it."""
 
     def step(held, against, p, o, r):
         if held is None:
@@ -188,6 +184,21 @@ def latch(df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str,
         against = against + 1 if contrary else 0
         return (p >= resync_on, 0) if against >= patience else (held, against)
 
+    return step
+
+
+def latch(df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str, release_p: str, on: float = 0.5, off: float = 0.5, start: float = 0.5, resync_on: float = 0.9, resync_off: float = 0.1, patience: int = 3) -> DataFrame:
+    """part, pos, held: a hysteresis latch. The first row takes the state's threshold; then an onset while
+    released or a release while held switches it, and patience rows in a row of confident disagreement
+    without an event resynchronise it.
+
+    Each state needs the one before, so a stream is read in order: streams are dealt and sorted by Spark (which spills),
+    and pass through their task batch by batch with two values carried, however long they are."""
+    fields = [df.schema[c] for c in (*part, pos)]
+    ordered = df.select(*part, pos, *[F.col(c).cast("double").alias(f"__{n}") for n, c in enumerate((state_p, onset_p, release_p))]).repartition(*part).sortWithinPartitions(*part, pos, "__0", "__1", "__2")
+
+    step = latch_step(on, off, start, resync_on, resync_off, patience)
+
     def run(batches):
         stream, held, against = None, None, 0
         for batch in batches:
@@ -203,6 +214,52 @@ def latch(df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str,
     return ordered.mapInArrow(run, T.StructType([*fields, T.StructField("held", T.BooleanType())]))
 
 
+def split_latch(
+    df: DataFrame, part: list[str], pos: str, state_p: str, onset_p: str, release_p: str, on: float = 0.5, off: float = 0.5, start: float = 0.5, resync_on: float = 0.9, resync_off: float = 0.1, patience: int = 3, carry: DataFrame | None = None
+) -> DataFrame:
+    """part, pos, held, against: latch() with a long stream cut into ranges that are read in parallel, from a carried state.
+
+    A latch has 2 * patience + 2 states (no row read, none known; held or released with fewer than patience rows against it), so a
+    range is a map from its entry state to its exit state; rows quickly send most states to one. Maps of ranges are
+    combined in order and give every range its entry state. `against` beside the last row of a stream is, with `held`, what the
+    next segment of that stream needs. carry (part, held, against): states at the end of the segments before; a stream without one begins anew."""
+    step = latch_step(on, off, start, resync_on, resync_off, patience)
+    begun = [(held, against) for held in (False, True) for against in range(patience)]
+    inputs = df.select(*part, pos, *[F.col(c).cast("double").alias(f"__{n}") for n, c in enumerate((state_p, onset_p, release_p))])
+    none = {"__held": F.lit(None).cast("boolean"), "__against": F.lit(0)}
+    if carry is None:
+        inputs = inputs.withColumns(none)
+    else:
+        known = carry.select(*part, F.col("held").alias("__held"), F.col("against").cast("int").alias("__against"))
+        inputs = inputs.join(known, part, "left").withColumn("__against", F.coalesce("__against", F.lit(0)))
+    at = len(part) + 1
+
+    def summarise(rows):
+        images, carried = {s: s for s in (None, (None, 0), *begun)}, None
+        for row in rows:
+            p, o, r, held, against = row[at:]
+            if carried is None:
+                carried = (held, against)
+            after = {s: step(*(carried if s is None else s), p, o, r) for s in set(images.values())}
+            images = {s: after[t] for s, t in images.items()}
+        return images
+
+    def run(key, state, rows):
+        for row in rows:
+            p, o, r, held, against = row[at:]
+            state = step(*((held, against) if state is None else state), p, o, r)
+            yield (*key, row[at - 1], *state)
+
+    out = T.StructType([*(df.schema[c] for c in (*part, pos)), T.StructField("held", T.BooleanType()), T.StructField("against", T.IntegerType())])
+    return over_ranges(inputs, part, [pos, "__0", "__1", "__2"], ["__held", "__against"], None, summarise, lambda state, images: images[state], run, out)
+
+
+def carried_states(latched: DataFrame, part: list[str], pos: str) -> DataFrame:
+    """part, held, against: the states at the end of split_latch()'s streams, to carry into the next segment."""
+    last = latched.groupBy(*part).agg(F.max_by(F.struct("held", "against"), pos).alias("__s"))
+    return last.select(*part, "__s.held", "__s.against")
+
+
 def bridged(df: DataFrame, part: list[str], pos: str, flag: str, most_gap: int, least_run: int) -> DataFrame:
     """part, start, end: runs of flag after gaps of up to most_gap rows inside a stream are bridged and runs under
     least_run rows dropped; pos must be dense."""

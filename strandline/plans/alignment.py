@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import align as A
+from ..operators import boxes as B
 from ..operators import sequence as S
 from .base import EV, RUNS, query, streams, table
 
@@ -134,6 +135,29 @@ def d17(spark, sf):
     return A.linked_clusters(spans, ["s"], "pos", "e").select("s", "pos", "cluster")
 
 
+#: A box of each order: price against day.
+BOXES = """bx AS (SELECT o_custkey % 100 AS p, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS x0, CAST(floor(o_totalprice) AS BIGINT) + 4000 + o_orderkey % 8000 AS x1,
+    date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS y0, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) + 60 + o_orderkey % 150 AS y1 FROM orders),
+lk AS (SELECT p, a.id AS a, b.id AS b FROM bx a JOIN bx b USING (p) WHERE a.id < b.id AND a.x0 < b.x1 + 30 AND b.x0 < a.x1 + 30 AND a.y0 < b.y1 + 30 AND b.y0 < a.y1 + 30)"""
+
+
+def _boxes(spark, sf):
+    x, y = F.floor("o_totalprice").cast("long"), F.datediff("o_orderdate", F.lit("1995-01-01")).cast("long")
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select((F.col("o_custkey") % 100).alias("p"), k.alias("id"), x.alias("x0"), (x + 4000 + k % 8000).alias("x1"), y.alias("y0"), (y + 60 + k % 150).alias("y1"))
+
+
+@query("d17b_overlap_pairs", f"WITH {BOXES} SELECT p, a, b FROM lk")
+def d17b(spark, sf):
+    return B.overlap_pairs(_boxes(spark, sf), ["p"], "id", "x0", "x1", "y0", "y1", 30, 4000)
+
+
+@query("d17c_linked_boxes", f"""WITH RECURSIVE {BOXES}, both_ AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+r AS (SELECT id, id AS cluster FROM bx UNION SELECT b, cluster FROM r JOIN both_ ON a = id WHERE cluster < b) SELECT p, id, min(cluster) AS cluster FROM r JOIN bx USING (id) GROUP BY ALL""")
+def d17c(spark, sf):
+    return B.linked_boxes(_boxes(spark, sf), ["p"], "id", "x0", "x1", "y0", "y1", 30, 600).select("p", "id", "cluster")
+
+
 @query("d18_intersected", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN greatest(l_quantity, 10) < least(l_quantity + 20, 40) THEN greatest(l_quantity, 10) END AS low, CASE WHEN greatest(l_quantity, 10) < least(l_quantity + 20, 40) THEN least(l_quantity + 20, 40) END AS high FROM lineitem")
 def d18(spark, sf):
     df = table(spark, sf, "lineitem").withColumn("a1", F.col("l_quantity") + 20).withColumn("b0", F.lit(10.0)).withColumn("b1", F.lit(40.0))

@@ -136,14 +136,40 @@ def f19(spark, sf):
     return S.decimation_loss(_held(spark, sf), "start", "end", 3)
 
 
-@query("f20_latch", f"""WITH RECURSIVE {EV}, e AS (SELECT s, pos, p, ((i * 37) % 100) / 100.0 AS o, ((i * 53) % 100) / 100.0 AS r FROM ev),
+F20_SQL = f"""WITH RECURSIVE {EV}, e AS (SELECT s, pos, p, ((i * 37) % 100) / 100.0 AS o, ((i * 53) % 100) / 100.0 AS r FROM ev),
 l(s, pos, held, n) AS (SELECT s, pos, p >= 0.5, 0 FROM e WHERE pos = 1 UNION ALL
 SELECT s, pos, CASE WHEN c >= 3 THEN p >= 0.9 ELSE h END, CASE WHEN c >= 3 THEN 0 ELSE c END FROM (SELECT s, pos, p, h, CASE WHEN NOT ev AND ((NOT h AND p >= 0.9) OR (h AND p <= 0.1)) THEN n + 1 ELSE 0 END AS c FROM
 (SELECT e.s, e.pos, e.p, l.n, (NOT l.held AND e.o >= 0.8) OR (l.held AND e.r >= 0.8) AS ev, CASE WHEN (NOT l.held AND e.o >= 0.8) OR (l.held AND e.r >= 0.8) THEN NOT l.held ELSE l.held END AS h FROM l JOIN e ON e.s = l.s AND e.pos = l.pos + 1)))
-SELECT s, pos, held FROM l""")
+SELECT s, pos, held FROM l"""
+
+
+@query("f20_latch", F20_SQL)
 def f20(spark, sf):
-    df = streams(spark, sf).withColumn("o", ((F.col("i") * 37) % 100) / 100).withColumn("r", ((F.col("i") * 53) % 100) / 100)
-    return S.latch(df, ["s"], "pos", "p", "o", "r", on=0.8, off=0.8)
+    return S.latch(_signals(spark, sf), ["s"], "pos", "p", "o", "r", on=0.8, off=0.8)
+
+
+def _signals(spark, sf):
+    return streams(spark, sf).withColumn("o", ((F.col("i") * 37) % 100) / 100).withColumn("r", ((F.col("i") * 53) % 100) / 100)
+
+
+@query("f20b_split_latch", F20_SQL)
+def f20b(spark, sf):
+    return S.split_latch(_signals(spark, sf), ["s"], "pos", "p", "o", "r", on=0.8, off=0.8).select("s", "pos", "held")
+
+
+@query("k03_carried_latch", F20_SQL)
+def k03(spark, sf):
+    """Three segments of every stream, each from the states at the end of the one before."""
+    df = _signals(spark, sf)
+    out, carry = None, None
+    for low, high in ((0, 20), (20, 45), (45, None)):
+        segment = df.where((F.col("pos") > low) & (F.lit(True) if high is None else F.col("pos") <= high))
+        latched = S.split_latch(segment, ["s"], "pos", "p", "o", "r", on=0.8, off=0.8, carry=carry)
+        out = latched if out is None else out.unionByName(latched)
+        ended = S.carried_states(latched, ["s"], "pos")
+        # A stream without a row in this segment keeps the state it had.
+        carry = ended if carry is None else ended.unionByName(carry.join(ended, "s", "left_anti"))
+    return out.select("s", "pos", "held")
 
 
 @query("f21_bridged", f"""WITH {EV}, {HELD}, j AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY s ORDER BY a) <= 1 THEN 0 ELSE 1 END AS n FROM held), q AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY a) AS q FROM j)

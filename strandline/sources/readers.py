@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
+
+from .arrays import PARTITION_BYTES, ArrayArchives
 
 
 def columns_where(spark: SparkSession, path: str, columns: list[str], condition: Column | None = None) -> DataFrame:
@@ -43,10 +42,10 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     return ids.select(F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.col("id")).alias("id"))
 
 
-def json_tree(spark: SparkSession, path: str, schema: StructType, pattern: str, part_names: list[str]) -> DataFrame:
-    """All JSON files under a folder whose names fit the pattern, with their last folders as columns. The rows come
+def json_tree(spark: SparkSession, path: str, schema: StructType, pattern: str, part_names: list[str], lines: bool = False) -> DataFrame:
+    """All JSON files under a folder whose names fit the pattern (one object or list each, or JSON lines), with their last folders as columns. The rows come
     in no order; the columns sort them."""
-    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    df = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("multiLine", str(not lines).lower()).option("mode", "FAILFAST").json(path)
     folders = F.split(F.col("_metadata.file_path"), "/")
     return df.select(*[F.element_at(folders, -1 - len(part_names) + i).alias(n) for i, n in enumerate(part_names)], *schema.names)
 
@@ -89,59 +88,39 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     return df.select(name.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-def _archives(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+def _arrays(spark: SparkSession, path: str, **options: str):
+    spark.dataSource.register(ArrayArchives)
+    return spark.read.format("array_archives").options(path=path, **options)
 
 
 def array_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, array, shape, dtype, columnar (Fortran order) of all arrays of all .npz files under a folder. Only the headers are
-    decompressed; a broken file raises when it is read."""
-
-    def headers(frames):
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for member in archive.namelist():
-                        with archive.open(member) as file:
-                            version = np.lib.format.read_magic(file)
-                            read = {(1, 0): np.lib.format.read_array_header_1_0, (2, 0): np.lib.format.read_array_header_2_0}.get(version)
-                            if read is None:
-                                raise ValueError(f"{name}: unknown version {version} of {member}")
-                            shape, columnar, dtype = read(file)
-                            rows.append((name, member.removesuffix(".npy"), list(shape), dtype.str, columnar))
-                yield pd.DataFrame(rows, columns=["path", "array", "shape", "dtype", "columnar"])
-
-    return _archives(spark, path).mapInPandas(headers, "path string, array string, shape array<long>, dtype string, columnar boolean")
-
-
-def array_archives(spark: SparkSession, path: str, ident: str, arrays: dict[str, tuple[list[str], tuple[int | None, ...]]], rows: int = 4096) -> DataFrame:
-    """id, pos and each array's row as an array of doubles, of all .npz files under a folder.
-
-    arrays: name -> (dtypes, shape), None standing for any size; the first axis is the row, and all arrays are equally long.
-    A file without one of these, of another type or shape, or whose one-string array ident isn't its own name raises when it
-    is read. A file is decoded by one task, `rows` rows at a time; objects are never unpickled."""
-
-    def decoded(frames):
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                with np.load(io.BytesIO(content), allow_pickle=False) as archive:
-                    lacking = sorted({ident, *arrays} - set(archive.files))
-                    if lacking:
-                        raise ValueError(f"{name}: missing arrays {lacking}")
-                    own, data = archive[ident], {k: archive[k] for k in arrays}
-                stem = name.rsplit("/", 1)[-1].removesuffix(".npz")
-                if own.size != 1 or str(own.reshape(()).item()) != stem:
-                    raise ValueError(f"{name}: {ident} isn't the file's name")
-                n = {len(v) if v.ndim else -1 for v in data.values()}
-                for k, (dtypes, shape) in arrays.items():
-                    v = data[k]
-                    if v.dtype.name not in dtypes or v.ndim != len(shape) or any(b not in (None, a) for a, b in zip(v.shape, shape)) or len(n) != 1:
-                        raise ValueError(f"{name}: {k} is {v.dtype.name} {v.shape}")
-                for start in range(0, max(n), rows):
-                    part = {k: list(v[start : start + rows].reshape(len(v[start : start + rows]), -1).astype("float64")) for k, v in data.items()}
-                    at = np.arange(start, min(start + rows, max(n)))
-                    yield pd.DataFrame({"id": stem, "pos": at, **part})
-
-    columns = ", ".join(f"`{k}` array<double>" for k in arrays)
-    return _archives(spark, path).mapInPandas(decoded, f"id string, pos long, {columns}")
+    """path, array, shape, dtype, columnar (Fortran order) of all arrays of all .npz files under a folder. Only directories
+    and headers are read, by seeking; a broken file raises when it is read."""
+    return _arrays(spark, path, what="headers").load().select(F.col("file").alias("path"), "array", "shape", "dtype", "columnar")
+
+
+def array_rows(spark: SparkSession, path: str, schema: str | None = None, partition_bytes: int = PARTITION_BYTES, ident: str | None = None, arrays: dict[str, tuple[list[str], tuple[int | None, ...]]] | None = None, rows: int | None = None, names: str = "*") -> DataFrame:
+    """file, row and a column for each array of all .npz files under a folder, with types and nested shapes as they are.
+
+    schema: the columns to read (file and row among them if wanted), by default those of the first file. arrays: name -> (dtypes,
+    shape), None standing for any size. A file without one of these, of another type or shape, or whose one-string array
+    ident isn't its own name raises when the scan is laid out. A task reads a range of rows (of partition_bytes, and `rows` rows at most). Only files whose names fit the pattern `names` are opened."""
+    options = {"bytes": str(partition_bytes), "contract": json.dumps(arrays or {}), "pathGlobFilter": names} | ({"ident": ident} if ident else {}) | ({"rows": str(rows)} if rows else {})
+    reader = _arrays(spark, path, **options)
+    return (reader.schema(schema) if schema else reader).load()
+
+
+def array_archives(spark: SparkSession, path: str, ident: str, arrays: dict[str, tuple[list[str], tuple[int | None, ...]]], rows: int | None = None) -> DataFrame:
+    """id (the file's name), pos and each array's row as a flat array of doubles: array_rows() for numeric vectors, at most `rows` rows to a task."""
+    df = array_rows(spark, path, None, PARTITION_BYTES, ident, arrays, rows)
+
+    def flat(name: str) -> Column:
+        column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+        if not isinstance(kind, ArrayType):
+            return F.array(column.cast("double"))
+        while isinstance(kind.elementType, ArrayType):
+            column, kind = F.flatten(column), kind.elementType
+        return column.cast("array<double>")
+
+    name = F.regexp_extract("file", r"([^/]+)\.npz$", 1)
+    return df.select(name.alias("id"), F.col("row").alias("pos"), *[flat(k).alias(k) for k in arrays])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,3 +62,36 @@ def upserted(manifest: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
 def append_log(df: DataFrame, path: str) -> None:
     """Adds one JSON line a row to a log folder; what it holds stays as it is."""
     df.write.mode("append").json(path)
+
+
+def write_archives(df: DataFrame, path: str, part: str, order: str, columns: list[str]) -> int:
+    """Writes folder/<part>.npz for every value of part, with its rows in order, one array a column and the array `session` (the
+    part); returns the number of files. A part is one archive and so one task's work: cut long streams into bounded parts
+    first. A file takes its name when it is whole, so a task that runs again leaves one."""
+    names = list(dict.fromkeys([order, *columns]))
+
+    def save(frames):
+        held = None
+
+        def out(frame):
+            name = str(frame[part].iloc[0])
+            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+            system.create_dir(inner, recursive=True)
+            whole = f"{inner}/.{name}-{uuid.uuid4().hex}"
+            with system.open_output_stream(whole) as file:
+                np.savez(file, session=np.array(name), **{c: np.stack(frame[c].to_list()) if frame[c].dtype == object else frame[c].to_numpy() for c in names})
+            system.move(whole, f"{inner}/{name}.npz")
+            return pd.DataFrame({"name": [name]})
+
+        for frame in frames:
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            values = frame[part]
+            last = values == values.iloc[-1] if len(frame) else values.isna()
+            for _, some in frame[~last].groupby(part, sort=False):
+                yield out(some)
+            held = frame[last]
+        if held is not None and len(held):
+            yield out(held)
+
+    spread = df.select(part, *names).repartition(part).sortWithinPartitions(part, order)
+    return spread.mapInPandas(save, "name string").distinct().count()

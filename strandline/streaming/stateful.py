@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def _fresh(batches: Iterator[pd.DataFrame], last: int | None, pos: str) -> pd.DataFrame:
@@ -82,3 +84,66 @@ def run_stream(df: DataFrame, part: str, pos: str, index: str) -> DataFrame:
         yield pd.DataFrame({part: [key[0]] * len(rows), pos: rows[pos].to_numpy(), "run_id": ids.to_numpy("int64")})
 
     return df.groupBy(part).applyInPandasWithState(step, f"{_fields(df, part, pos)}, run_id long", "last long, before long, run long", "append", GroupStateTimeout.NoTimeout)
+
+
+class _FrameRepeats(StatefulProcessor):
+    """The state of frame_repeats(): one row of counts and the last frame, and a map of frames that came early."""
+
+    COUNTS = ("frames", "pairs", "exact_pairs", "near_pairs", "run", "longest_exact_run")
+
+    def __init__(self, part: str, pos: str, vector: str, near: float, first: int):
+        self.names, self.near, self.first = (part, pos, vector), near, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counted = handle.getValueState("counted", ", ".join(f"{c} long" for c in self.COUNTS) + ", frame array<double>")
+        self.early = handle.getMapState("early", "pos long", "frame array<double>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        part, pos, vector = self.names
+        known = self.counted.get()
+        counts = dict(zip((*self.COUNTS, "frame"), known, strict=True)) if known else {**dict.fromkeys(self.COUNTS, 0), "frame": None}
+        before = counts["frames"]
+        for batch in rows:
+            for at, frame in zip(batch[pos], batch[vector], strict=True):
+                place = int(at) - self.first
+                if place == counts["frames"]:
+                    self._take(counts, frame)
+                    while self.early.containsKey((counts["frames"],)):
+                        place = counts["frames"]
+                        self._take(counts, self.early.getValue((place,))[0])
+                        self.early.removeKey((place,))
+                elif place > counts["frames"]:
+                    self.early.updateValue((place,), ([float(x) for x in frame],))
+        if counts["frames"] > before:
+            self.counted.update((*(counts[c] for c in self.COUNTS), [float(x) for x in counts["frame"]]))
+            shown = [c for c in self.COUNTS if c != "run"]
+            yield pd.DataFrame({part: [key[0]], **{c: [counts[c]] for c in shown}})
+
+    def _take(self, counts: dict[str, Any], frame: Any) -> None:
+        now = np.asarray(frame, float)
+        if counts["frame"] is not None:
+            gap = np.abs(now - np.asarray(counts["frame"], float))
+            exact = not gap.any()
+            counts["pairs"] += 1
+            counts["exact_pairs"] += exact
+            counts["near_pairs"] += bool(gap.mean() <= self.near) if len(gap) else True
+            counts["run"] = counts["run"] + 1 if exact else 0
+            counts["longest_exact_run"] = max(counts["longest_exact_run"], counts["run"])
+        counts["frames"] += 1
+        counts["frame"] = now
+
+    def close(self) -> None:
+        pass
+
+
+def frame_repeats(df: DataFrame, part: str, pos: str, vector: str, near: float, first: int = 0) -> DataFrame:
+    """part, frames, pairs, exact_pairs, near_pairs, longest_exact_run: how often a frame (a vector) equals the one before it, or
+    differs by at most `near` on average, over the frames of a stream from position `first` on without a hole so far.
+
+    Frames come in chunks of any size, in any order, and may come again. The last frame is carried over chunks in keyed state; a frame that
+    comes before its predecessors waits in a map of its own, so that state is read by position and never whole. A row is put out
+    for a stream whenever its count of frames has grown (update mode); the one with the most frames is the
+    latest. The result doesn't depend on how frames are cut into chunks. Needs the RocksDB state store."""
+    kind = df.schema[part].dataType.simpleString()
+    schema = f"`{part}` {kind}, frames long, pairs long, exact_pairs long, near_pairs long, longest_exact_run long"
+    return df.select(part, pos, vector).groupBy(part).transformWithStateInPandas(_FrameRepeats(part, pos, vector, near, first), schema, "Update", "None")

@@ -1,6 +1,8 @@
 """Archives, logs, pools and inventories: edge cases beside the registered queries."""
 
+import io
 import itertools
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from strandline.functions import scalars as X
 from strandline.operators import inventory as V
 from strandline.operators import metrics as M
 from strandline.operators import selection as Z
-from strandline.sources import readers, writers
+from strandline.sources import arrays, readers, writers
 
 
 def save(folder, name, own=None, n=5, dtype="uint8"):
@@ -88,3 +90,82 @@ def test_splitmix64_at_the_ends(spark):
     ends = [0, 1, -1, 2**63 - 1, -(2**63), 0x0123456789ABCDEF]
     got = spark.createDataFrame([(x,) for x in ends], "x long").select("x", X.splitmix64(F.col("x")).alias("y")).collect()
     assert all(r.y % 2**64 == plain(r.x % 2**64) for r in got)
+
+
+def all_types(path, n, saver=np.savez, start=0):
+    at = np.arange(start, start + n)
+    saver(
+        path, frames=(at[:, None, None] + np.arange(6).reshape(2, 3)).astype(np.uint8), index=at + (1 << 60), keys=(at[:, None] + np.arange(4)) % 2 == 0, half=at.astype(np.float16), big=at.astype(np.uint64) + np.uint64(1 << 63),
+        name=np.array([f"n{i}" for i in at], dtype="U12"), columnar=np.asfortranarray(np.stack([at, -at], 1).astype(np.int16)), session=np.array(path.stem), rate=np.array(59.5),
+    )
+
+
+@pytest.mark.parametrize("saver", [np.savez, np.savez_compressed])
+def test_array_rows_keep_types_and_shapes(spark, tmp_path, saver):
+    all_types(tmp_path / "a.npz", 50, saver)
+    all_types(tmp_path / "b.npz", 0, saver)
+    all_types(tmp_path / "c.npz", 7, saver, 50)
+    df = readers.array_rows(spark, str(tmp_path), partition_bytes=900)
+    assert dict(df.dtypes) == {
+        "file": "string", "row": "bigint", "frames": "array<array<smallint>>", "index": "bigint", "keys": "array<boolean>", "half": "float", "big": "decimal(20,0)", "name": "string", "columnar": "array<smallint>", "session": "string", "rate": "double",
+    }
+    assert df.rdd.getNumPartitions() > 3
+    got = sorted(df.collect(), key=lambda r: r["index"])
+    assert [r.row for r in got] == [*range(50), *range(7)]
+    for i, r in enumerate(got):
+        assert r.frames == [[i, i + 1, i + 2], [i + 3, i + 4, i + 5]] and r["index"] == i + (1 << 60) and r.keys == [(i + j) % 2 == 0 for j in range(4)]
+        assert (r.half, int(r.big), r.name, r.columnar, r.session, r.rate) == (i, i + (1 << 63), f"n{i}", [i, -i], "a" if i < 50 else "c", 59.5)
+    raw = readers.array_rows(spark, str(tmp_path), "row long, frames binary").where("row = 6").collect()
+    assert sorted(bytes(r.frames) for r in raw) == sorted(bytes((i + j) % 256 for j in range(6)) for i in (6, 56))
+
+
+def test_array_rows_choose_files(spark, tmp_path):
+    """Files of other names aren't opened (one is broken), and filters on one DataFrame don't stick to it."""
+    for name in "ac":
+        all_types(tmp_path / f"{name}.npz", 5)
+    (tmp_path / "b.npz").write_bytes(b"no archive")
+    df = readers.array_rows(spark, str(tmp_path), "file string, row long, index long", names="[ac].npz")
+    assert [df.where(F.col("file") == str(tmp_path / "a.npz")).count(), df.count(), df.where(F.col("file").endswith("c.npz")).count()] == [5, 10, 5]
+    with pytest.raises(Exception, match="zip"):
+        readers.array_rows(spark, str(tmp_path), "file string, row long, index long").count()
+
+
+@pytest.mark.parametrize("schema, match", [("row long, index int", "index is bigint instead of int"), ("row long, other long", "missing arrays"), ("row long, frames array<array<int>>", "instead of")])
+def test_array_rows_refuse(spark, tmp_path, schema, match):
+    all_types(tmp_path / "a.npz", 5)
+    with pytest.raises(Exception, match=match):
+        readers.array_rows(spark, str(tmp_path), schema).collect()
+
+
+def test_headers_read_a_small_part_of_a_file(tmp_path):
+    """Under 1 % of the bytes of a large archive are read for its headers, and a row range reads little more than itself."""
+    np.savez(tmp_path / "a.npz", big=np.zeros((2000, 1000)), small=np.arange(2000))
+
+    class Counted(io.FileIO):
+        seen = 0
+
+        def readinto(self, buffer):
+            got = super().readinto(buffer)
+            Counted.seen += got
+            return got
+
+        def read(self, size=-1):
+            out = super().read(size)
+            Counted.seen += len(out)
+            return out
+
+    size = (tmp_path / "a.npz").stat().st_size
+    with Counted(tmp_path / "a.npz") as file, zipfile.ZipFile(file) as archive:
+        found = arrays.members(archive)
+        assert [(m.name, m.shape, m.dtype.str) for m in found] == [("big", (2000, 1000), "<f8"), ("small", (2000,), "<i8")]
+        assert Counted.seen < size / 100
+        Counted.seen = 0
+        assert arrays._rows(archive, found[0], 500, 510).shape == (10, 1000)
+        assert Counted.seen < 2 * 80_000
+
+
+def test_archives_round_trip(spark, tmp_path):
+    df = spark.range(40).select((F.col("id") % 3).cast("string").alias("part"), "id", F.array("id", F.col("id") * 2).alias("v"), (F.col("id") / 2).alias("x"))
+    assert writers.write_archives(df, str(tmp_path / "out"), "part", "id", ["v", "x"]) == 3
+    back = readers.array_rows(spark, str(tmp_path / "out"), ident="session")
+    assert sorted(tuple(r) for r in back.select(F.regexp_extract("file", "([^/]+).npz", 1).alias("part"), "id", "v", "x").collect()) == sorted(tuple(r) for r in df.collect())

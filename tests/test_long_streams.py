@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 from strandline.functions import scalars
@@ -103,3 +104,37 @@ def test_ranked_references_against_a_loop(spark):
     for c in range(0, 60, 10):
         near = sorted((-round(dot(vectors[c], v) / (dot(v, v) * dot(vectors[c], vectors[c])) ** 0.5, 6), r) for r, v in vectors.items() if r != c)[:5]
         assert [(-r["similarity"], r["r"]) for r in found.where(F.col("c") == c).orderBy("rank").collect()] == near
+
+
+def test_split_latch_equals_latch(spark):
+    """Ranges of long streams, cut anywhere, and segments with carried states, give the latch of the whole stream."""
+    draw = random.Random(5)
+    level = [None, 0.0, 0.05, 0.3, 0.5, 0.7, 0.95, 1.0]
+    rows = [(s, i, *(draw.choice(level) for _ in range(3))) for s, n in (("a", 3000), ("b", 40), (None, 500), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "s string, pos int, p double, o double, r double")
+    want = Counter(tuple(x) for x in sequence.latch(df, ["s"], "pos", "p", "o", "r", patience=2).collect())
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 13)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sequence.split_latch(df, ["s"], "pos", "p", "o", "r", patience=2)
+        assert Counter((x.s, x.pos, x.held) for x in got.collect()) == want
+        first = sequence.split_latch(df.where("pos < 777 AND s IS NOT NULL"), ["s"], "pos", "p", "o", "r", patience=2)
+        second = sequence.split_latch(df.where("pos >= 777 AND s IS NOT NULL"), ["s"], "pos", "p", "o", "r", patience=2, carry=sequence.carried_states(first, ["s"], "pos"))
+        assert Counter((x.s, x.pos, x.held) for x in first.union(second).collect()) == Counter({k: n for k, n in want.items() if k[0] is not None})
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_split_latch_deals_one_stream_to_many_tasks(spark):
+    n = 300_000
+    df = spark.range(n).select(F.lit("a").alias("s"), F.col("id").alias("pos"), F.lit(0.5).alias("p"), (F.col("id") % 10 == 3).cast("double").alias("o"), (F.col("id") % 10 == 7).cast("double").alias("r"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sequence.split_latch(df, ["s"], "pos", "p", "o", "r")
+        tasks = got.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.sum(F.col("held").cast("int")).alias("held")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(tasks) >= 4 and max(t.n for t in tasks) < n / 2 and sum(t.held for t in tasks) == 7 + (n // 10 - 1) * 4
