@@ -3,11 +3,13 @@
 import html.parser
 import math
 import random
+import re
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from strandline.llm import html_main as h
+from strandline.llm.common import table
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -32,6 +34,19 @@ def text_of(page, drop=()):
         ('<a href="x>y">in</a> <b title=">">out</b>', "in out"),
         ("<article></article><p>body</p>", "body"),
         ("", ""),
+        # No name empties a page, and inside an article names are hints.
+        ('<body><div class="top"><p>Text of a page.', "Text of a page."),
+        ('<div class="legal">Law</div>', "Law"),
+        ('<div id="search">Found</div>', "Found"),
+        ('<div class="sidebar">a b</div><p>one two three four', "one two three four"),
+        ('<article><p>a</p><section class="related">Related work text</section><div class="sharing">How it works</div><div class="side">s</div><div class="ad">no</div></article>', "a Related work text How it works s"),
+        ('<article><p>a b</p><section class="comments-area">nice!</section><div class="comment-list">x</div><ol id="comments">y</ol></article>', "a b"),
+        ('<body class="comments-open"><div class="has-comments"><p>T u v</p></div><div class="post-comments">no</div>', "T u v"),
+        ("<body><form id=aspnetForm><div><p>Body text", "Body text"),
+        ("<form><article>in form</article></form>", "in form"),
+        ("<article><p>some text</p><form><p>Name</p><input></form></article>", "some text"),
+        ('<div class="body"><p>Long lead outside.</p><article>card</article><p>More text', "Long lead outside. card More text"),
+        ("<span hidden>x" + "<b>" * 70 + "</span>kept text", "kept text"),
     ],
 )
 def test_markup(page, want):
@@ -91,30 +106,35 @@ def test_against_the_standard_parser():
         assert text_of(page) == " ".join(" ".join(x.split()) for x in peer.out if x.split()), page
 
 
-def brute_removed(rows):
-    """The maximal branches of low importance of each host, node by node, page by page."""
+def brute_choices(rows):
+    """The maximal branches of low importance and the body of each host, node by node, page by page."""
     sites = defaultdict(dict)
     for _, url, page in rows:
         elements, found = h.parse(page or "")
-        looks, reads, inside = defaultdict(list), defaultdict(set), {}
+        looks, reads, sort, words = defaultdict(list), defaultdict(set), {}, defaultdict(int)
         for e in elements:
             looks[e.line].append(tuple(e.kids))
-            inside[e.line] = e.inside
-        for e, text in found:
-            reads[e.line].add(text)
-        any_inside = any(e.inside for e, _ in found)
-        key = tuple(text for e, text in found if e.inside or not any_inside)
-        at = sites[url.split("/")[2]].setdefault(key, defaultdict(lambda: (set(), set())))
+            sort.setdefault(e.line, (e.inside, e.hint, e.tag in h.HOLDERS))
+        for e, text, free in found:
+            words[e.line] += free
+            reads[e.line] |= set(text.split()) if len(text.split()) <= h.SHORT else {(text,)}
+        any_inside = any(e.inside for e, _, _ in found)
+        key = tuple(text for e, text, _ in found if e.inside or not any_inside)
+        at = sites[url.split("/")[2]].setdefault(key, defaultdict(lambda: (set(), set(), set())))
         for line, x in looks.items():
             at[line][0].add(tuple(x))
             at[line][1].update(reads[line])
-        sites[url.split("/")[2]].setdefault("inside", {}).update(inside)
+            at[line][2].add(words[line])
+        known = sites[url.split("/")[2]].setdefault("sort", {})
+        for line, x in sort.items():
+            known[line] = min(known.get(line, x), x, key=lambda t: t[0] + 2 * t[1] + 4 * t[2])
     out = {}
     for site, pages in sites.items():
-        inside = pages.pop("inside")
-        pairs = {line: [look for p in pages.values() for look in (p[line][0] if line in p else ())] for line in inside}
-        k = h.PRIOR + len(pairs[(h.ROOT,)]) / h.SPREAD
-        own = {}
+        sort = pages.pop("sort")
+        pairs = {line: [look for p in pages.values() for look in (p[line][0] if line in p else ())] for line in sort}
+        n = len(pairs[(h.ROOT,)])
+        k = h.PRIOR + n / h.SPREAD
+        own, mass = {}, {}
         for line, looks in pairs.items():
             m = len(looks)
             imp = 1.0
@@ -123,11 +143,15 @@ def brute_removed(rows):
                 contents = [sum(line in p and t in p[line][1] for p in pages.values()) for t in {t for p in pages.values() if line in p for t in p[line][1]}]
                 imp = max(-sum(c / m * math.log(c / m, m) for c in spread), 1 - sum(math.log(c, m) for c in contents) / len(contents) if contents else 0)
             own[line] = (m * imp + k) / (m + k)
+            mass[line] = own[line] * sum(sum(p[line][2]) for p in pages.values() if line in p)
         branch = {line: max(v for x, v in own.items() if x[: len(line)] == line) for line in own}
-        poor = {line for line in own if len(line) > 1 and branch[line] < (h.LOW_IN_ARTICLE if inside[line] else h.LOW) - 1e-9}
+        bound = {line: h.LOW_HINTED if hint else h.LOW_IN_ARTICLE if inside else h.LOW for line, (inside, hint, _) in sort.items()}
+        poor = {line for line in own if len(line) > 1 and branch[line] < bound[line] - 1e-9}
         nodes = sorted(line[-1] for line in poor if line[:-1] not in poor)
-        if nodes:
-            out[site] = nodes
+        masses = {line: sum(v for x, v in mass.items() if x[: len(line)] == line) for line in own}
+        heavy = [line for line in own if masses[line] >= (1 - (1 - h.BODY) * n / (n + h.BODY_PRIOR)) * masses[(h.ROOT,)] > 0 and sort[line][2] and 2 * len(pairs[line]) >= n]
+        if nodes or heavy:
+            out[site] = nodes, max(heavy, key=lambda x: (len(x), x[-1]))[-1] if heavy else None
     return out
 
 
@@ -161,8 +185,9 @@ def test_the_tree_alone_removes_neutral_templates(spark, hosts):
 
 def test_the_tree_is_the_brute_force_one(spark, hosts):
     pages = spark.createDataFrame(hosts, SCHEMA)
-    want = brute_removed(hosts)
-    assert {r.host: sorted(r.nodes) for r in h.removed_branches(pages).collect()} == want and len(want) == 3
+    want = brute_choices(hosts)
+    assert {r.host: (sorted(r.nodes or []), r.body) for r in h.site_choices(pages).collect()} == want
+    assert sum(bool(nodes) for nodes, _ in want.values()) == 3 and sum(body is not None for _, body in want.values()) >= 3
 
 
 def test_defined_cases(spark):
@@ -174,3 +199,25 @@ def test_defined_cases(spark):
         assert sorted(len(r.text) for r in got) == [0, 0, 1, 1, len("word & more ") * 60_000 - 1]
         assert sorted((str(r.page_id), r.n_chars) for r in got) == sorted((str(r[0]), len(x)) for r, x in zip(rows, (" ".join(["word & more"] * 60_000), "x", "x", "", ""), strict=True))
     assert h.main_text(pages.limit(0)).count() == 0
+
+
+RENAMED = ("article", "nav", "footer")
+
+
+def without_roles(page):
+    """The page with its articles, menus and footers as plain div elements, and without classes."""
+    page = re.sub(rf"<(/?)(?:{'|'.join(RENAMED)})\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"""<([a-z0-9]+)\s+(?:class|id)=("[^"]*"|'[^']*'|[^\s>]+)""", r"<\1", page)
+
+
+def test_the_tree_finds_the_body_without_any_role(spark):
+    """On hosts of ten or more pages the text is the same when no tag and no name states a role."""
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html").collect()]
+    want = {r.page_id: r.text for r in h.main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    bare = spark.createDataFrame([(i, u, without_roles(p)) for i, u, p in rows], SCHEMA)
+    got = {r.page_id: r.text for r in h.main_text(bare).collect()}
+    many = Counter(u.split("/")[2] for _, u, _ in rows)
+    large = [i for i, u, _ in rows if many[u.split("/")[2]] >= 10]
+    same = sum(got[i] == want[i] for i in large)
+    print(f"{same} of {len(large)}, {sum(got[i] == want[i] for i in want)} of {len(want)}")
+    assert len(large) > 500 and same >= 0.95 * len(large)
