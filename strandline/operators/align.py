@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import cut
+
 
 def matched_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """n_left, n_right, n_matched, n_unmatched of an equi-join on unique keys."""
@@ -99,12 +101,44 @@ def matched_events(true: DataFrame, predicted: DataFrame, part: list[str], t: st
 
 def close_states(df: DataFrame, equal: list[str], x: str, y: str, pos: str, action: str, radius: float, least_gap: int) -> DataFrame:
     """pos, ambiguous: rows with a neighbour within radius in (x, y), equal keys and at least least_gap apart, and
-    whether any such neighbour acts differently. Grid cells of one radius; each row meets nine of them."""
-    cell = df.select(*equal, x, y, pos, action, F.floor(F.col(x) / radius).alias("__i"), F.floor(F.col(y) / radius).alias("__j"))
-    near = F.explode(F.array(*[F.struct((F.col("__i") + a).alias("i"), (F.col("__j") + b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("c")
-    others = cell.select(*equal, F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(pos).alias("__p"), F.col(action).alias("__a"), near).select("*", F.col("c.i").alias("__i"), F.col("c.j").alias("__j")).drop("c")
-    met = cell.join(others, [*equal, "__i", "__j"]).where((F.abs(F.col(pos) - F.col("__p")) >= least_gap) & ((F.col(x) - F.col("__x")) ** 2 + (F.col(y) - F.col("__y")) ** 2 <= radius * radius))
-    return met.groupBy(*equal, pos).agg(F.max(F.col(action) != F.col("__a")).alias("ambiguous"))
+    whether any such neighbour acts differently.
+
+    Cells are a radius wide. Of every quarter of a cell and action (of which there are few) the box of its rows and their first and
+    last position are known, and each row gets those of the nine cells around it. Boxes wholly within the radius settle what they
+    can. A box on the border meets a row, row by row, only while the row isn't known to be ambiguous and the box's positions and
+    action could still tell. So a dense cell is read once, however many pairs it has."""
+    side = radius / 2
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*equal, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"), F.col(pos).alias("__p"), F.col(action).alias("__a"))
+    rows = rows.withColumn("__i", F.floor(F.col("__x") / side)).withColumn("__j", F.floor(F.col("__y") / side))
+    rows = cut(rows.withColumn("__k", F.floor(F.col("__i") / 2)).withColumn("__l", F.floor(F.col("__j") / 2)))
+    cell, whole = [*equal, "__i", "__j"], [*equal, "__k", "__l"]
+    ends = [f(c).alias(n) for f, c, n in ((F.min, "__p", "lo"), (F.max, "__p", "hi"), (F.min, "__x", "x0"), (F.max, "__x", "x1"), (F.min, "__y", "y0"), (F.max, "__y", "y1"))]
+    boxes = rows.groupBy(*whole, F.col("__i").alias("i"), F.col("__j").alias("j"), F.col("__a").alias("a")).agg(*ends)
+    lists = boxes.groupBy(*whole).agg(F.collect_list(F.struct("i", "j", "a", "lo", "hi", "x0", "x1", "y0", "y1")).alias("boxes"))
+    steps = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(b).alias("l")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    spread = lists.withColumn("at", F.explode(steps)).select(*equal, (F.col("__k") + F.col("at.k")).alias("__k"), (F.col("__l") + F.col("at.l")).alias("__l"), "boxes")
+    told = spread.groupBy(*whole).agg(F.flatten(F.collect_list("boxes")).alias("__boxes"))
+
+    def reach(b, far):
+        def away(c, low, high):
+            return F.greatest(F.abs(c - low), F.abs(c - high)) if far else F.greatest(low - c, c - high, F.lit(0.0))
+
+        dx, dy = away(F.col("__x"), b["x0"], b["x1"]), away(F.col("__y"), b["y0"], b["y1"])
+        return dx * dx + dy * dy <= radius * radius
+
+    def apart(b):
+        return (b["lo"] <= F.col("__p") - least_gap) | (b["hi"] >= F.col("__p") + least_gap)
+
+    seen = rows.join(told, whole).withColumn("__boxes", F.filter("__boxes", lambda b: apart(b) & reach(b, False)))
+    seen = seen.withColumn("__in", F.filter("__boxes", lambda b: reach(b, True)))
+    seen = seen.withColumn("__known", F.size("__in") > 0).withColumn("ambiguous", F.exists("__in", lambda b: b["a"] != F.col("__a")))
+    border = F.filter("__boxes", lambda b: ~F.col("ambiguous") & ~reach(b, True) & (~F.col("__known") | (b["a"] != F.col("__a"))))
+    seen = cut(seen.select(*equal, "__p", "__x", "__y", "__a", "__known", "ambiguous", F.transform(border, lambda b: F.struct(b["i"].alias("i"), b["j"].alias("j"), b["a"].alias("a"))).alias("__border")))
+    asked = seen.select(*equal, "__p", "__x", "__y", "__a", F.explode("__border").alias("c")).select("*", F.col("c.i").alias("__i"), F.col("c.j").alias("__j"), F.col("c.a").alias("__b")).drop("c")
+    there = rows.select(*cell, F.col("__x").alias("__u"), F.col("__y").alias("__v"), F.col("__p").alias("__q"), F.col("__a").alias("__b"))
+    near = (F.col("__x") - F.col("__u")) ** 2 + (F.col("__y") - F.col("__v")) ** 2 <= radius * radius
+    met = asked.join(there, [*cell, "__b"]).where((F.abs(F.col("__p") - F.col("__q")) >= least_gap) & near).select(*equal, "__p", (F.col("__a") != F.col("__b")).alias("ambiguous"))
+    return seen.where("__known").select(*equal, "__p", "ambiguous").unionByName(met).groupBy(*equal, F.col("__p").alias(pos)).agg(F.max("ambiguous").alias("ambiguous"))
 
 
 def future_values(df: DataFrame, part: list[str], idx: str, value: str, horizons: list[int]) -> DataFrame:

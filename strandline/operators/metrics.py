@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running_totals, tiles
+from .ranges import exact_quantiles, running_totals, tiles
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -164,8 +164,10 @@ def duty(df: DataFrame, part: list[str], pos: str, state: str) -> DataFrame:
 
 def robust_separation(df: DataFrame, by: list[str], state: str, value: str) -> DataFrame:
     """by, low, high, spread, separation: medians of the two states, the larger 1.4826 MAD, and their ratio."""
-    mids = df.groupBy(*by, state).agg(F.median(value).alias("__m"))
-    mads = df.join(mids, [*by, state]).groupBy(*by, state, "__m").agg((F.median(F.abs(F.col(value) - F.col("__m"))) * 1.4826).alias("__d"))
+    group = [*by, state]
+    mids = exact_quantiles(df, group, value, {"__m": 0.5})
+    away = exact_quantiles(df.join(mids, group), group, F.abs(F.col(value) - F.col("__m")), {"__d": 0.5})
+    mads = mids.join(away.withColumn("__d", F.col("__d") * 1.4826), group)
     out = mads.groupBy(*by).agg(F.max(F.when(~F.col(state), F.col("__m"))).alias("low"), F.max(F.when(F.col(state), F.col("__m"))).alias("high"), F.max("__d").alias("spread"))
     return out.withColumn("separation", ratio(F.col("high") - F.col("low"), F.when(F.col("spread") > 0, F.col("spread"))))
 

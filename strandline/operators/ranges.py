@@ -86,6 +86,40 @@ def numbered(df: DataFrame, by: list[str], order: str, out: str) -> DataFrame:
     return running_totals(df, by, order, {out: F.lit(1).cast("long")}).withColumn(out, F.col(out) - 1).drop(f"{out}_all")
 
 
+def ranked_values(df: DataFrame, by: list[str], value: Column | str, also: dict[str, Column] | None = None) -> DataFrame:
+    """by, v, c, upto, n: the distinct values of each group as doubles, how often each comes, how many rows up to it and in all.
+    also: further columns to sum, as name (of the value), name_upto and name_all. NULLs are left out."""
+    also = also or {}
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    tied = df.select(*by, v.alias("v"), *[c.alias(k) for k, c in also.items()]).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("c"), *[F.sum(k).alias(k) for k in also])
+    out = running_totals(tied, by, "v", {"upto": F.col("c")} | {f"{k}_upto": F.col(k) for k in also})
+    return out.withColumnsRenamed({"upto_all": "n"} | {f"{k}_upto_all": f"{k}_all" for k in also})
+
+
+def at_positions(ranked: DataFrame, by: list[str], positions: dict[str, Column]) -> DataFrame:
+    """by and each name: the value at a position (from 0, between two rows in proportion) of ranked_values(), which
+    may hold more columns for the positions to use; NULL where the position is NULL or beyond the rows."""
+    aggs, out = [], []
+    for i, (name, at) in enumerate(positions.items()):
+        low, high = F.floor(at), F.ceil(at)
+        of = lambda k: F.max(F.when((F.col("upto") - F.col("c") <= k) & (k < F.col("upto")), F.col("v")))
+        aggs += [of(low).alias(f"__l{i}"), of(high).alias(f"__h{i}"), F.max(at).alias(f"__p{i}")]
+        a, b, q = (F.col(f"__{x}{i}") for x in "lhp")
+        out.append(F.when(a == b, a).otherwise((F.ceil(q) - q) * a + (q - F.floor(q)) * b).alias(name))
+    return (ranked.groupBy(*by) if by else ranked).agg(*aggs).select(*by, *out)
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: Column | str, probs: dict[str, float]) -> DataFrame:
+    """by and each name: percentile() of a group's values, found by rank among ranges of the values, so that no group's values
+    lie in one task's memory."""
+    return at_positions(ranked_values(df, by, value), by, {name: (F.col("n") - 1) * F.lit(float(p)) for name, p in probs.items()})
+
+
+def joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """left with the columns of right (a row a group, groups without NULLs), also if there is but one group."""
+    return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
+
+
 def over_ranges(df: DataFrame, part: list[str], order: list[str], values: list[str], fresh: Any, summarise: Callable, advance: Callable, run: Callable, out: StructType) -> DataFrame:
     """A fold over each group's rows in order, of which the ranges of a long group are read in parallel.
 

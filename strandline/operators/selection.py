@@ -14,9 +14,10 @@ from math import gcd
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.scalars import salted_key
+from .ranges import exact_quantiles, over_ranges
 
 
 def four_directions(x: Column, y: Column, pads: dict[str, Column], limit: float) -> dict[str, Column]:
@@ -90,7 +91,7 @@ def until_weight(df: DataFrame, part: list[str], order: list[Column], weight: st
 
 def typical_rows(df: DataFrame, by: list[str], value: str, ident: str) -> DataFrame:
     """by, ident: the row nearest to its group's median, the smallest id on ties."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("__m"))
+    middle = exact_quantiles(df, by, value, {"__m": 0.5})
     near = F.struct(F.abs(F.col(value) - F.col("__m")).alias("d"), F.col(ident))
     return df.join(middle, by).groupBy(*by).agg(F.min_by(ident, near).alias(ident))
 
@@ -177,9 +178,19 @@ def proportional(df: DataFrame, by: list[str], count: str, total: int) -> DataFr
     everything = df.crossJoin(F.broadcast(df.agg(F.sum(count).alias("__all"))))
     share = F.lit(total).cast("decimal(38,0)") * F.col(count)
     floors = everything.withColumn("__f", F.floor(share / F.col("__all")).cast("long")).withColumn("__rest", (share - F.col("__f") * F.col("__all")).cast("decimal(38,0)"))
-    ranked = floors.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("__rest"), *by)))
-    left = F.lit(total) - F.sum("__f").over(Window.partitionBy())
-    return ranked.withColumn("__left", left).select(*by, (F.col("__f") + F.when(F.col("__r") <= F.col("__left"), 1).otherwise(0)).alias("allocated"))
+    left = floors.agg((F.lit(total) - F.sum("__f")).alias("__left"))
+
+    def count(rows):
+        return sum(1 for _ in rows)
+
+    def number(key, state, rows):
+        for at, row in enumerate(rows, (state or 0) + 1):
+            yield (*row[1 : 1 + len(by)], row[-1], at)
+
+    # Remainders are ranked in ranges, each counted first, so no task sorts all groups.
+    fields = [df.schema[c] for c in by] + [StructField("__f", LongType()), StructField("__r", LongType())]
+    ranked = over_ranges(floors.withColumn("__least", -F.col("__rest")), [], ["__least", *by], ["__f"], None, count, lambda state, n: (state or 0) + n, number, StructType(fields))
+    return ranked.crossJoin(F.broadcast(left)).select(*by, (F.col("__f") + F.when(F.col("__r") <= F.col("__left"), 1).otherwise(0)).alias("allocated"))
 
 
 def systematic(df: DataFrame, by: list[str], order: str, every: int, phase: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import salted_key
-from .ranges import over_ranges
+from .ranges import cut, exact_quantiles, over_ranges
 
 
 def _w(part: list[str], pos: str | list[str]):
@@ -325,7 +325,8 @@ def horizon_pairs(df: DataFrame, part: list[str], pos: str, value: str, horizons
     absolute change is above the median of all pairs."""
     left = df.select(*part, pos, F.col(value).alias("__v"), F.explode(F.array(*[F.lit(h).cast("long") for h in horizons])).alias("horizon")).withColumn("__at", F.col(pos) + F.col("horizon"))
     pairs = left.join(df.select(*part, F.col(pos).alias("__at"), F.col(value).alias("__u")), [*part, "__at"]).withColumn("change", F.abs(F.col("__u") - F.col("__v")))
-    middle = pairs.agg(F.median("change").alias("__m"))
+    pairs = cut(pairs.select(*part, pos, "horizon", "change"))
+    middle = exact_quantiles(pairs, [], "change", {"__m": 0.5})
     return pairs.crossJoin(F.broadcast(middle)).select(*part, pos, "horizon", "change", (F.col("change") > F.col("__m")).alias("moving"))
 
 

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import running_totals
+from .ranges import at_positions, cut, joined, ranked_values, running_totals
 
 
 def otsu_midgap(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, threshold: the two-cluster split of largest between-class variance over boundaries of distinct values
     (ties: the lowest), then the middle of the cluster medians. No finite value: 0; a range under 1e-3: max + 1."""
-    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("v"))
-    tied = x.groupBy(*by, "v").agg(F.count("*").alias("c"))
-    cum = running_totals(tied, by, "v", {"lo": F.col("c"), "ls": F.col("v") * F.col("c")}).withColumnsRenamed({"lo_all": "n", "ls_all": "t"})
-    cut = cum.where("lo < n").withColumn("between", F.col("lo") * (F.col("n") - F.col("lo")) * F.pow(F.col("ls") / F.col("lo") - (F.col("t") - F.col("ls")) / (F.col("n") - F.col("lo")), F.lit(2.0)))
-    best = cut.groupBy(*by).agg(F.max_by("v", F.struct("between", (-F.col("v")).alias("low"))).alias("split"))
-    sides = x.join(best, by).groupBy(*by).agg(F.median(F.when(F.col("v") <= F.col("split"), F.col("v"))).alias("a"), F.median(F.when(F.col("v") > F.col("split"), F.col("v"))).alias("b"))
-    spans = x.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    v = F.col("v")
+    ranked = cut(ranked_values(x, by, value, {"s": F.col(value).cast("double")}))
+    rest = F.col("n") - F.col("upto")
+    gap = F.try_divide(F.col("s_upto"), F.col("upto")) - F.try_divide(F.col("s_all") - F.col("s_upto"), rest)
+    between = F.when(rest > 0, F.col("upto") * rest * F.pow(gap, F.lit(2.0)))
+    best = ranked.groupBy(*by).agg(F.max_by("upto", F.when(rest > 0, F.struct(between.alias("b"), (-v).alias("low")))).alias("below"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    mids = at_positions(joined(ranked, best, by), by, {"a": (F.col("below") - 1) / 2, "b": F.col("below") + (F.col("n") - F.col("below") - 1) / 2})
     groups = df.select(*by).distinct()
-    return groups.join(spans, by, "left").join(sides, by, "left").select(*by, F.when(F.col("hi").isNull(), 0.0).when(F.col("hi") - F.col("lo") < 1e-3, F.col("hi") + 1.0).otherwise((F.col("a") + F.col("b")) / 2).alias("threshold"))
+    out = groups.join(best, by, "left").join(mids, by, "left")
+    return out.select(*by, F.when(F.col("hi").isNull(), 0.0).when(F.col("hi") - F.col("lo") < 1e-3, F.col("hi") + 1.0).otherwise((F.col("a") + F.col("b")) / 2).alias("threshold"))
 
 
 def cell_states(df: DataFrame, by: list[str], value: str, high_pressed: str, least_rows: int, least_gap: float) -> DataFrame:
@@ -36,10 +38,13 @@ def cell_states(df: DataFrame, by: list[str], value: str, high_pressed: str, lea
     cum = bins.withColumn("a", F.sum("c").over(up)).withColumn("s", F.sum(F.col("bin") * F.col("c")).over(up)).withColumn("n", F.sum("c").over(whole)).withColumn("t", F.sum(F.col("bin") * F.col("c")).over(whole))
     rest = F.col("n") - F.col("a")
     between = F.when(rest > 0, F.col("a") * rest * F.pow(F.col("s") / F.col("a") - F.try_divide(F.col("t") - F.col("s"), rest), F.lit(2.0))).otherwise(0.0)
-    cut = cum.groupBy(*by).agg(F.max_by("bin", F.struct(between.alias("b"), (-F.col("bin")).alias("low"))).alias("level"))
-    x = x.join(cut, by)
+    level = cum.groupBy(*by).agg(F.max_by("bin", F.struct(between.alias("b"), (-F.col("bin")).alias("low"))).alias("level"))
+    x = x.join(level, by)
     high = F.col("v") > F.col("lo") + F.col("level") / 255 * (F.col("hi") - F.col("lo"))
-    mids = x.groupBy(*by).agg(F.median(F.when(~high, F.col("v"))).alias("l"), F.median(F.when(high, F.col("v"))).alias("h"), F.median("v").alias("m"))
+    ranked = ranked_values(x, by, "v")
+    lows = x.groupBy(*by).agg(F.count(F.when(~high, 1)).alias("nl"))
+    nl, nh = F.when(F.col("nl") > 0, F.col("nl")), F.when(F.col("n") > F.col("nl"), F.col("n") - F.col("nl"))
+    mids = at_positions(joined(ranked, lows, by), by, {"l": (nl - 1) / 2, "h": F.col("nl") + (nh - 1) / 2, "m": (F.col("n") - 1) / 2})
     both = F.col("l").isNotNull() & F.col("h").isNotNull()
     mids = mids.select(*by, F.when(both, F.col("l")).otherwise(F.col("m")).alias("low"), F.when(both, F.col("h")).otherwise(F.col("m")).alias("high")).withColumn("threshold", (F.col("low") + F.col("high")) / 2)
     state = F.col("v") >= F.col("threshold")
@@ -53,14 +58,19 @@ def spread_threshold(df: DataFrame, by: list[str], value: str, least: float, fra
     """by, threshold, separation, bimodal: q10 + fraction (q90 - q10), at least `least`; bimodal if both sides hold
     enough rows and their medians and the quantiles are `least` apart."""
     v = F.col(value).cast("double")
-    q = df.groupBy(*by).agg(F.percentile(v, F.lit(0.1)).alias("q10"), F.percentile(v, F.lit(0.9)).alias("q90"), F.count("*").alias("n"))
+    ranked = cut(ranked_values(df, by, v))
+    n = F.col("n") - 1
+    q = at_positions(ranked, by, {"q10": n * F.lit(0.1), "q90": n * F.lit(0.9)})
     spread = F.col("q90") - F.col("q10")
     q = q.withColumn("threshold", F.greatest(F.lit(least), F.when(spread <= 1e-12, F.col("q90")).otherwise(F.col("q10") + fraction * spread)))
-    low, high = F.when(v < F.col("threshold"), v), F.when(v >= F.col("threshold"), v)
-    sides = df.join(q, by).groupBy(*by, "q10", "q90", "n", "threshold").agg(F.count(low).alias("nl"), F.count(high).alias("nh"), F.median(low).alias("ml"), F.median(high).alias("mh"))
+    sides = joined(ranked, q, by).groupBy(*by).agg(F.coalesce(F.sum(F.when(F.col("v") < F.col("threshold"), F.col("c"))), F.lit(0)).alias("nl"), F.coalesce(F.sum(F.when(F.col("v") >= F.col("threshold"), F.col("c"))), F.lit(0)).alias("nh"))
+    nl, nh = F.when(F.col("nl") > 0, F.col("nl")), F.when(F.col("nh") > 0, F.col("nh"))
+    mids = at_positions(joined(ranked, sides, by), by, {"ml": (nl - 1) / 2, "mh": F.col("nl") + (nh - 1) / 2})
+    rows = df.groupBy(*by).agg(F.count("*").alias("n"))
     need = F.greatest(F.lit(least_n), F.ceil(least_share * F.col("n")))
     sep = F.coalesce(F.col("mh") - F.col("ml"), F.lit(0.0))
-    return sides.select(*by, "threshold", sep.alias("separation"), ((F.col("nl") >= need) & (F.col("nh") >= need) & (spread >= least) & (sep >= least)).alias("bimodal"))
+    told = joined(joined(joined(rows, q, by), sides, by), mids, by)
+    return told.select(*by, "threshold", sep.alias("separation"), ((F.col("nl") >= need) & (F.col("nh") >= need) & (spread >= least) & (sep >= least)).alias("bimodal"))
 
 
 def bimodal_static(df: DataFrame, by: list[str], value: str, least_range: float, margin: float, purity: float, duty: tuple[float, float]) -> DataFrame:
@@ -142,8 +152,7 @@ def block_bootstrap(blocks: DataFrame, block: str, numerator: str, denominator:
 
 def block_ap_parts(df: DataFrame, by: list[str], block: str, y: str, p: str, pos: str) -> DataFrame:
     """by, block, positives, precision_sum: each group's average precision as a sum of contributions of its blocks."""
-    w = Window.partitionBy(*by).orderBy(F.desc(p), pos)
-    ranked = df.withColumn("__r", F.row_number().over(w)).withColumn("__c", F.sum(F.col(y).cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = running_totals(df, by, p, {"__r": F.lit(1).cast("long"), "__c": F.col(y).cast("long")}, ties=pos, down=True)
     return ranked.groupBy(*by, block).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.coalesce(F.sum(F.when(F.col(y), F.col("__c") / F.col("__r"))), F.lit(0.0)).alias("precision_sum"))
 
 
@@ -200,8 +209,17 @@ def analytic_chance(width: int, tolerance: int) -> Column:
 def oracle_threshold(df: DataFrame, by: list[str], y: str, p: str, steps: int = 199) -> DataFrame:
     """by, threshold, f1: among quantiles of p and 0.5 the threshold of highest F1, ties to the higher. Each row counts
     once, under the highest threshold that it reaches; windows run over these counts, some 200 of a group."""
-    probs = F.array(*[F.lit(0.005 + 0.99 * i / (steps - 1)) for i in range(steps)])
-    cand = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.array_append(F.percentile(p, probs), F.lit(0.5)))).alias("__c"))
+    # Each distinct value tells which of the wanted ranks it holds, of which only those near its own share are tried.
+    share = lambda rank: (rank / F.greatest(F.col("n") - 1, F.lit(1)) - 0.005) / 0.99 * (steps - 1)
+    first, last = F.floor(share(F.col("upto") - F.col("c") - 1)) - 1, F.ceil(share(F.col("upto"))) + 1
+    tried = F.sequence(F.greatest(F.least(first, F.lit(steps - 1)), F.lit(0)), F.greatest(F.least(last, F.lit(steps - 1)), F.lit(0)))
+    asked = F.transform(tried, lambda i: F.struct(i.alias("i"), ((F.col("n") - 1) * (F.lit(0.005) + F.lit(0.99) * i / F.lit(float(steps - 1)))).alias("at")))
+    holds = lambda rank: (rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto"))
+    held = F.filter(asked, lambda a: holds(F.floor(a["at"])) | holds(F.ceil(a["at"])))
+    found = ranked_values(df, by, p).select(*by, "v", F.explode(held).alias("a")).groupBy(*by, "a.i").agg(F.max("a.at").alias("at"), F.min("v").alias("l"), F.max("v").alias("h"))
+    quantile = F.when(F.col("l") == F.col("h"), F.col("l")).otherwise((F.ceil("at") - F.col("at")) * F.col("l") + (F.col("at") - F.floor("at")) * F.col("h"))
+    cand = found.groupBy(*by).agg(F.collect_list(quantile).alias("__q"))
+    cand = cut(df.select(*by).distinct().join(cand, by, "left").select(*by, F.array_sort(F.array_distinct(F.array_append(F.coalesce("__q", F.array().cast("array<double>")), F.lit(0.5)))).alias("__c")))
     rank = F.size(F.filter("__c", lambda t: t <= F.col(p)))
     counts = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.sum(F.col(y).cast("long")).alias("__y"), F.count("*").alias("__n")).join(cand, by).groupBy(*by, rank.alias("__r")).agg(F.sum("__y").alias("__y"), F.sum("__n").alias("__n"))
     every = cand.select(*by, F.posexplode("__c").alias("__i", "t")).withColumn("__r", F.col("__i") + 1).drop("__i")
