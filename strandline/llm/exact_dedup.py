@@ -8,7 +8,9 @@ doc_id orders after all others. Rows that repeat a doc_id are rows of their own:
 class has kept = true. Ids may be of any type that has an order. A very long text is hashed and compared
 whole. Extra columns, whatever their names, are not read. An empty table gives no rows.
 
-Plan: copies collapse in each map task before anything is shuffled (partial aggregation on hash and
+Plan: only texts whose hash another row has are compared, so all others stay where they are: the hashes
+of two or more rows are counted, and up to BROADCAST_ROWS are broadcast (beyond that every text moves once).
+Copies collapse in each map task before anything is shuffled (partial aggregation on hash and
 bytes, and on hash and digest), so a group that holds a third of the rows sends one row a task. The join
 that brings the class back to its rows carries no text, and adaptive execution may split it.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, unused, without_rows
+from .common import BROADCAST_ROWS, cut, unused, without_rows
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -45,8 +47,11 @@ def _classes(docs: DataFrame, rows: DataFrame, text_col: str, hash128) -> DataFr
     """h, tag, group_size, best: a row for each class. tag is empty unless different bytes share the hash h."""
     best = F.min(F.struct((-F.col("points")).alias("short"), F.col("id").isNull().alias("none"), "id", "row"))
     digests = rows.groupBy("h", "text_sha256").agg(F.count("*").alias("n"), best.alias("best"))
-    # The comparison of bytes: the text itself is a grouping key, beside its hash.
-    bodies = docs.select(normalised(text_col).alias("norm")).select(hash128(F.col("norm")).alias("h"), "norm").groupBy("h", "norm").agg(F.lit(1).alias("one"))
+    # The comparison of bytes, for hashes of more than one row: the text itself is a grouping key, beside its hash.
+    repeated = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    few = repeated.count() <= BROADCAST_ROWS
+    hashed = docs.select(normalised(text_col).alias("norm")).select(hash128(F.col("norm")).alias("h"), "norm")
+    bodies = hashed.join(F.broadcast(repeated) if few else repeated.hint("shuffle_merge"), "h", "left_semi").groupBy("h", "norm").agg(F.lit(1).alias("one"))
     shared = bodies.groupBy("h").agg(F.count("*").alias("bodies")).where("bodies > 1").select("h", F.lit(True).alias("split"))
     # Where different bytes share a hash, the second digest tells them apart; elsewhere the hash is the class.
     tag = F.when(F.col("split"), F.col("text_sha256")).otherwise("")

@@ -140,3 +140,18 @@ def test_the_shared_folder_is_no_local_one(spark):
 
     with pytest.raises(ValueError):
         common.shared_folder(Session())
+
+
+@pytest.mark.parametrize("most", [common.BROADCAST_ROWS, 0])
+def test_bytes_are_compared_where_a_hash_repeats(spark, monkeypatch, most):
+    """With a hash of one byte different texts collide; whether repeated hashes are broadcast or shuffled changes nothing."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", most)
+    draw = random.Random(9)
+    rows = [(i, draw.choice(["", " ", "a", "b", "ab", " a b ", "abc", None, f"text {draw.randrange(40)}", f"own {i}"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    weak = exact_dedup.exact_classes(docs, hash128=lambda text: F.substring(F.md5(text), 1, 1).cast("binary"))
+    sizes = Counter(re.sub(r"[ \t\n\x0b\x0c\r]", "", t or "") for _, t in rows)
+    for df in (weak, exact_dedup.exact_classes(docs)):
+        got = {r.doc_id: r for r in df.collect()}
+        assert len(got) == len(rows) and all(got[i].group_size == sizes[re.sub(r"[ \t\n\x0b\x0c\r]", "", t or "")] for i, t in rows)
+        assert sum(r.kept for r in got.values()) == len(sizes)
