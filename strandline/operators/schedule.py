@@ -54,6 +54,15 @@ def weighted_plan(weights: dict[str, int], salt: str) -> list[tuple[str, int, in
     return plan
 
 
+def dealt_sequence(items: DataFrame, order: str, weights: dict[str, int], salt: str, source: str = "source") -> DataFrame:
+    """items, turn and source: rows in order of a number take the draws of weighted_plan(), period after period. Each turn finds its
+    source by its place in the period, so a sequence of any length is made by as many tasks as its rows fill."""
+    total = sum(weights.values())
+    plan = items.sparkSession.createDataFrame([(i, s) for i, (s, _, _) in enumerate(weighted_plan(weights, salt))], f"__turn long, `{source}` string")
+    turns = numbered(items, [], order, "turn").withColumn("__turn", F.col("turn") % total)
+    return turns.join(F.broadcast(plan), "__turn").drop("__turn")
+
+
 def counter_schedule(items: DataFrame, cell: str, source: str, ident: str, weights: dict[str, int], quota: int, first: int, last: int, salt: str) -> DataFrame:
     """step, cell, slot, source, draw, ident for steps first .. last - 1: quota draws of every cell in every step, sources in
     each cell by weighted_plan(), items of each (cell, source) by a permutation with coprime stride, again and again.

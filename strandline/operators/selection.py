@@ -40,6 +40,12 @@ def above_thresholds(df: DataFrame, thresholds: DataFrame, key: str, p: str, thr
     return df.join(thresholds.select(key, F.col(threshold).alias("__t")), key, "left").withColumn("predicted", F.col(p) >= F.coalesce("__t", F.lit(default))).drop("__t")
 
 
+def usable_rows(df: DataFrame, status: str, duplicate: str, numbers: list[str]) -> DataFrame:
+    """The rows of status ok that repeat no other and hold none of the sentinels (NULL or NaN) in their numbers."""
+    whole = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in numbers]
+    return df.where(reduce(lambda a, b: a & b, whole, (F.col(status) == "ok") & ~F.coalesce(F.col(duplicate), F.lit(False))))
+
+
 def near_activity(df: DataFrame, part: list[str], pos: str, flag: str, radius: int) -> DataFrame:
     """df and near: whether a row within radius rows has the flag."""
     w = Window.partitionBy(*part).orderBy(pos).rowsBetween(-radius, radius)

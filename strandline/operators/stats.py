@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import at_positions, cut, joined, ranked_values, running_totals
+from .align import matched_events
+from .ranges import at_positions, cut, joined, numbered, ranked_values, running_totals
+from .schedule import seed_column
 
 
 def otsu_midgap(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -194,16 +196,36 @@ def shuffled_events(df: DataFrame, part: list[str], pos: str, event: str, seed:
     return df.withColumn("__r", F.row_number().over(w)).withColumn("__n", n).where("__r <= __n").select(*part, pos)
 
 
+def shuffled_places(events: DataFrame, rows: DataFrame, part: list[str], pos: str, kind: str, seeds: list[int]) -> DataFrame:
+    """seed, part, kind, pos: for every seed as many places as a stream has events of a kind, drawn from the rows of
+    that stream without repeats, each kind on its own. Places are the first in a salted order, so they repeat on any
+    cluster; they are ranked by ranges of that order, so a stream is no single task's work."""
+    wanted = events.groupBy(*part, kind).agg(F.count("*").alias("__n"))
+    places = rows.select(*part, pos).join(wanted, part).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    order = seed_column(F.col("seed"), F.col(kind), *[F.col(c) for c in part], F.col(pos))
+    ranked = numbered(places.withColumn("__h", order), [*part, kind, "seed"], "__h", "__r")
+    return ranked.where("__r < __n").select("seed", *part, kind, pos)
+
+
+def shuffled_scores(events: DataFrame, places: DataFrame, part: list[str], pos: str, kind: str, collar: int) -> DataFrame:
+    """seed, kind, f1: how well places of each seed match the events one to one within the collar and their own stream, over
+    all streams."""
+    seeds = F.broadcast(places.select("seed").distinct())
+    met = matched_events(events.select(*part, kind, pos).crossJoin(seeds), places, [*part, kind, "seed"], pos, collar)
+    sums = met.groupBy("seed", kind).agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "n_matched")])
+    return sums.select("seed", kind, F.try_divide(2.0 * F.col("n_matched"), F.col("n_true") + F.col("n_pred")).alias("f1"))
+
+
 def rate_gate(df: DataFrame, by: list[str], y: str, predicted: Column, low: float = 0.5, high: float = 2.0) -> DataFrame:
     """by, ratio of predicted to true positive rate, and whether it lies in [low, high]."""
     r = F.try_divide(F.avg(predicted.cast("double")), F.avg(F.col(y).cast("double")))
     return df.groupBy(*by).agg(r.alias("ratio")).withColumn("within", F.coalesce(F.col("ratio").between(low, high), F.lit(False)))
 
 
-def analytic_chance(width: int, tolerance: int) -> Column:
+def analytic_chance(width: Column, tolerance: int) -> Column:
     """Chance that a uniform guess of an offset in width places is within tolerance of a uniform truth."""
-    hits = sum(min(width - 1, i + tolerance) - max(0, i - tolerance) + 1 for i in range(width))
-    return F.lit(hits / width**2)
+    near = width * (2 * tolerance + 1) - tolerance * (tolerance + 1)
+    return F.when(width > tolerance, near / (width * width)).when(width > 0, 1.0)
 
 
 def oracle_threshold(df: DataFrame, by: list[str], y: str, p: str, steps: int = 199) -> DataFrame:

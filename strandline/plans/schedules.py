@@ -105,3 +105,16 @@ CAST(sum(n) // count(*) AS BIGINT) AS passes, min(n) AS "least", max(n) AS most,
 def j07c(spark, sf):
     customers, draws, steps = _mixed(spark, sf)
     return K.mixture_receipt(customers, draws, "c_mktsegment", "c_custkey", CYCLE, steps)
+
+
+@query("j06b_dealt_sequence", f"""
+WITH RECURSIVE src AS (SELECT list(r_name ORDER BY r_name) AS ss, list(CAST(r_regionkey + 1 AS BIGINT) ORDER BY r_name) AS ws, list({_seed("'deal:tie:' || r_name")} ORDER BY r_name) AS ts, CAST(sum(r_regionkey + 1) AS BIGINT) AS total FROM region),
+pl AS (SELECT CAST(0 AS BIGINT) AS n, list_transform(ss, lambda x: CAST(0 AS BIGINT)) AS counts, CAST(NULL AS VARCHAR) AS s FROM src
+  UNION ALL SELECT n + 1, list_transform(counts, lambda c, i: c + CASE WHEN i = j THEN 1 ELSE 0 END), ss[j] FROM (SELECT n, counts, ss, total, list_position(ks, list_max(ks)) AS j FROM
+    (SELECT n, counts, ss, total, list_transform(counts, lambda c, i: CAST((n + 1) * ws[i] - total * c AS HUGEINT) * 1152921504606846976 - ts[i]) AS ks FROM pl, src WHERE n < total))),
+o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS turn FROM orders)
+SELECT o_orderkey, turn, s AS r_name FROM o, src JOIN pl ON pl.n - 1 = turn % total""")
+def j06b(spark, sf):
+    """All orders dealt to the regions in the shares of their keys plus one."""
+    weights = {r.r_name: r.r_regionkey + 1 for r in table(spark, sf, "region").collect()}  # a declared few
+    return K.dealt_sequence(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", weights, "deal", "r_name")

@@ -35,6 +35,15 @@ def c03(spark, sf):
     return streams(spark, sf).where((F.col("key") == "view") & ~F.col("x") & F.col("v").isNotNull() & ~F.isnan("v")).select("i")
 
 
+@query("c03b_usable_alignment", f"""WITH {EV}, d AS (SELECT s, pos, v, CASE WHEN key <> 'view' THEN g END AS d, CASE WHEN k >= 10 THEN k::DOUBLE WHEN k >= 5 THEN 'nan'::DOUBLE END AS w FROM ev),
+t AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY s ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM d) SELECT s, pos, w FROM t WHERE d IS NOT NULL AND d IS DISTINCT FROM b AND NOT isnan(w)""")
+def c03b(spark, sf):
+    """Rows that an alignment finds readable and new, with their number; it is NULL or NaN where the player is absent."""
+    w = F.when(F.col("k") >= 10, F.col("k").cast("double")).when(F.col("k") >= 5, F.lit(float("nan")))
+    df = streams(spark, sf).withColumn("d", F.when(F.col("key") != "view", F.col("g"))).withColumn("w", w)
+    return Z.usable_rows(S.readable_alignment(df, ["s"], "pos", "d"), "decode_status", "is_duplicate", ["w"]).select("s", "pos", "w")
+
+
 @query("c04_thresholds", f"WITH {EV} SELECT i, p >= CASE key WHEN 'view' THEN 0.7 WHEN 'click' THEN 0.2 ELSE 0.5 END AS predicted FROM ev")
 def c04(spark, sf):
     return Z.above_thresholds(streams(spark, sf), spark.createDataFrame([("view", 0.7), ("click", 0.2)], "key string, t double"), "key", "p", "t", 0.5).select("i", "predicted")

@@ -88,9 +88,32 @@ def m13(spark, sf):
     return T.shuffled_events(streams(spark, sf), ["s"], "pos", "x", 3).groupBy("s").agg(F.count("*").alias("n"))
 
 
-@query("m14_analytic_chance", "SELECT w AS width, round(list_sum([least(w - 1, i + 1) - greatest(0, i - 1) + 1 for i in range(w)]) / (w * w), 6) AS chance FROM (VALUES (3::BIGINT), (5::BIGINT), (9::BIGINT)) AS t(w)")
+PLACES = f"""{EV}, t AS (SELECT s, pos, x, lag(x, 1, false) OVER (PARTITION BY s ORDER BY pos) AS b FROM ev), e AS (SELECT s, pos, CASE WHEN x THEN 'onset' ELSE 'release' END AS kind FROM t WHERE x <> b),
+n AS (SELECT s, kind, count(*) AS n FROM e GROUP BY ALL), h AS (SELECT z.seed, ev.s, kind, pos, n, row_number() OVER (PARTITION BY ev.s, kind, z.seed ORDER BY CAST('0x' || left(sha256(z.seed || ':' || kind || ':' || ev.s || ':' || pos), 15) AS BIGINT)) AS r
+    FROM ev JOIN n ON n.s = ev.s, (VALUES (1), (2), (5)) AS z(seed)), pl AS (SELECT seed, s, kind, pos FROM h WHERE r <= n)"""
+
+
+def _changes(spark, sf):
+    return S.transitions(streams(spark, sf), ["s"], "pos", "x").select("s", "pos", "kind")
+
+
+@query("m13b_shuffled_places", f"WITH {PLACES} SELECT * FROM pl")
+def m13b(spark, sf):
+    return T.shuffled_places(_changes(spark, sf), streams(spark, sf), ["s"], "pos", "kind", [1, 2, 5])
+
+
+@query("m13c_shuffled_scores", f"""WITH {PLACES}, m AS (SELECT pl.seed, kind, count(*) AS m FROM pl JOIN e USING (s, kind, pos) GROUP BY ALL), c AS (SELECT kind, sum(n) AS n FROM n GROUP BY kind), q AS (SELECT DISTINCT seed, kind FROM pl)
+SELECT q.seed, q.kind, round(2.0 * coalesce(m, 0) / (2 * n), 6) AS f1 FROM q JOIN c USING (kind) LEFT JOIN m ON m.seed = q.seed AND m.kind = q.kind""")
+def m13c(spark, sf):
+    changes = _changes(spark, sf)
+    return _r(T.shuffled_scores(changes, T.shuffled_places(changes, streams(spark, sf), ["s"], "pos", "kind", [1, 2, 5]), ["s"], "pos", "kind", 0), "f1")
+
+
+@query("m14_analytic_chance", "SELECT conv_id, w AS width, round(list_sum([least(w - 1, i + 1) - greatest(0, i - 1) + 1 for i in range(w)]) / (w * w), 6) AS chance FROM (SELECT conv_id, count(*) AS w FROM conversations GROUP BY 1)")
 def m14(spark, sf):
-    return _r(spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(w).cast("long").alias("width"), T.analytic_chance(w, 1).alias("chance")) for w in (3, 5, 9)])).alias("x")).select("x.*"), "chance")
+    """A guess of a turn of every conversation, right within one turn."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("width"))
+    return _r(turns.withColumn("chance", T.analytic_chance(F.col("width"), 1)), "chance")
 
 
 @query("m15_decision", f"WITH {EV}, d AS (SELECT s, avg(k) - 49 AS d FROM ev GROUP BY s) SELECT round(avg(d), 6) AS mean_delta, count(*) FILTER (WHERE d > 0) AS improved, round(min(d), 6) AS worst_delta, avg(d) >= 0.1 AND count(*) FILTER (WHERE d > 0) >= 10 AND min(d) >= -20 AS adopt FROM d")

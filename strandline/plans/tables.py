@@ -32,9 +32,9 @@ def a12(spark, sf):
     return R.first_link(df, "links", "^https?://").select("page_id", "link")
 
 
-@query("a15_held_keys", "SELECT CAST(i // 200 AS BIGINT) AS session, i % 200 AS pos, (i % 200 + 7 * (i // 200)) % 90 BETWEEN 0 AND 5 AS a, (i % 200 + 7 * (i // 200)) % 90 BETWEEN 10 AND 16 AS b FROM range(600) AS t(i)")
+@query("a15_held_keys", f"WITH {EV} SELECT s AS session, pos, (pos + 7 * s) % 90 BETWEEN 0 AND 5 AS a, (pos + 7 * s) % 90 BETWEEN 10 AND 16 AS b FROM ev")
 def a15(spark, sf):
-    return R.held_keys(spark, 3, 200, ["a", "b"])
+    return R.held_keys(streams(spark, sf), "s", "pos", ["a", "b"])
 
 
 @query("a17_override_maps", "WITH o AS (SELECT o_custkey, o_orderpriority AS k, min(o_orderkey) AS v FROM orders GROUP BY ALL) SELECT o_custkey, string_agg(k || '=' || v, ';' ORDER BY k) AS overrides FROM o GROUP BY 1")

@@ -72,12 +72,11 @@ def first_link(df: DataFrame, links: str, pattern: str) -> DataFrame:
     return df.withColumn("link", F.try_element_at(F.filter(links, lambda x: x.rlike(pattern)), F.lit(1)))
 
 
-def held_keys(spark: SparkSession, sessions: int, rows: int, keys: list[str]) -> DataFrame:
-    """session, pos and a flag a key: a made stream that is the same on every run. Key j is held while
-    (pos + 7 * session) is in its own stretch of a cycle of 90 rows."""
-    df = spark.range(sessions * rows).select(F.floor(F.col("id") / rows).alias("session"), (F.col("id") % rows).alias("pos"))
-    phase = (F.col("pos") + 7 * F.col("session")) % 90
-    return df.select("session", "pos", *[phase.between(10 * j, 10 * j + 5 + j).alias(k) for j, k in enumerate(keys)])
+def held_keys(df: DataFrame, session: str, pos: str, keys: list[str]) -> DataFrame:
+    """session, pos and a flag a key for each row: made flags that are the same on every run, over streams of any table. Key j
+    is held while (pos + 7 * session) is in its own stretch of a cycle of 90 rows."""
+    phase = F.pmod(F.col(pos) + 7 * F.col(session), F.lit(90))
+    return df.select(F.col(session).alias("session"), F.col(pos).alias("pos"), *[phase.between(10 * j, 10 * j + 5 + j).alias(k) for j, k in enumerate(keys)])
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
