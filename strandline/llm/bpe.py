@@ -7,7 +7,9 @@ are merged: their bytes form a linked list, a heap holds each adjacent pair that
 by (rank, position), and pairs made stale by a merge are passed over. A table from id to bytes decodes.
 
 Defined cases: a null text is empty and has no ids; the file's special tokens do not exist here, so
-their strings are ordinary text. Any bytes can be encoded, so decoding gives back the text.
+their strings are ordinary text. Any bytes can be encoded, so decoding gives back the text. Repeated rows are encoded each, and a
+null id is an id like any other. Of equal ranks the leftmost pair is merged first. A very long text is encoded whole by one task; a
+long pre-token costs its length times the logarithm of it. Extra columns, whatever their names, are not read. An empty table gives no rows.
 
 Scale: rows stream through tasks with no shuffle. The vocabulary (some 50,000 entries) is read on the
 driver and broadcast; a worker remembers the ids of at most MEMO recent pre-tokens, then starts anew.

@@ -12,7 +12,8 @@ lang, source and doc_id are no inputs of a score.
 Defined cases: a null or empty text is a text of zero statistics and gets a score. Without any label, or
 with labels of one kind only, every score is the smoothed share of label 1. A doc_id labelled more than
 once counts with its smallest label. A null doc_id isn't held out (held_out = false) and can't be learned from.
-Repeated rows are scored each. Extra columns are not read.
+Repeated rows are scored each. Equal gains of splits go to the first feature and bin. A very long text is read whole by one task, in time that
+grows with its length. Extra columns, whatever their names, are not read. An empty table gives no rows.
 
 Scale: one pass over the text joins the bounded ids to learn from, a second scores; no shuffle of text.
 """

@@ -19,7 +19,8 @@ own; edges of the cells meet again in components().
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other. A null doc_id belongs to
 its component and never names it; a component of null ids only has a null id. Repeated rows are
-reported each. Extra columns are not read. An empty table gives no rows.
+reported each. A very long text is hashed whole by one task, in time that grows with its length. There are no ties: links
+and smallest ids decide. Extra columns, whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
