@@ -12,8 +12,8 @@ cover all of them and their whole texts. lang, source and doc_id are no inputs o
 
 Defined cases: a null text, or one without a letter, gives und with score 0. Without training rows every
 text gives und. With one language only, score is 1. A null doc_id is not held out and not learned from.
-Repeated rows count and are predicted each. Equal distances go to the language that sorts first, equal counts of n-grams to the one that sorts
-first. A very long text is read whole by one task, in time that grows with its length. Extra columns, whatever their
+Repeated rows count and are predicted each. Equal distances go to the language that sorts first, equal counts of n-grams to the smaller
+code. A very long text is read whole by one task, in time that grows with its length. Extra columns, whatever their
 names, are not read. An empty table gives no rows.
 
 Scale: a task adds up its counts before anything is shuffled, and what is shuffled is one row for each
