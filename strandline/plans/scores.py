@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators import neighbours as N
 from ..operators import sequence as S
 from ..operators import align as A
 from .base import EV, HELD, query, streams, table
@@ -255,3 +256,17 @@ def c14(spark, sf):
 c AS (SELECT a.j AS a, b.j AS b, covar_pop(e[a.j], e[b.j]) AS c FROM v, d AS a, d AS b GROUP BY ALL) SELECT (SELECT count(*) FROM v) AS n, round(sum(c) FILTER (WHERE a = b) ** 2 / sum(c * c), 6) AS rank FROM c""")
 def e29b(spark, sf):
     return _r(M.effective_rank(table(spark, sf, "embeddings"), "embedding"), "rank")
+
+
+NEAREST = """u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+nn AS (SELECT a.vec_id, max(struct_pack(s := round(list_inner_product(a.v, b.v), 9), i := -b.vec_id)) AS best FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY a.vec_id)"""
+
+
+@query("e29c_nearest_neighbours", f"WITH {NEAREST} SELECT vec_id, -best.i AS neighbour, round(best.s, 6) AS similarity FROM nn")
+def e29c(spark, sf):
+    return _r(N.nearest_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding").drop("compared"), "similarity")
+
+
+@query("e29d_neighbour_uniqueness", f"WITH {NEAREST} SELECT count(*) AS n, round(count(DISTINCT best.i) / count(*), 6) AS \"unique\" FROM nn")
+def e29d(spark, sf):
+    return _r(N.neighbour_uniqueness(N.nearest_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding")), "unique")
