@@ -3,7 +3,7 @@
 import public_tokenizers
 import pytest
 
-from strandline.llm import bpe, decontaminate, exact_dedup, html_main, language, licenses, lm, quality, queries, secrets, simhash
+from strandline.llm import bpe, decontaminate, exact_dedup, html_main, language, licenses, lm, pii, quality, queries, secrets, simhash
 from strandline.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +18,7 @@ OPERATORS = {
     "op7": lambda docs, bench, labels: bpe.round_trip(docs, queries.BPE_PATH, public_tokenizers.PATTERN),
     "op8": lambda docs, bench, labels: lm.lm_scores(docs),
     "op9": lambda docs, bench, labels: exact_dedup.exact_classes(docs),
+    "op11": lambda docs, bench, labels: pii.personal_spans(docs),
 }
 
 
@@ -37,7 +38,7 @@ def test_only_null_texts(spark, tables, name):
     docs = spark.createDataFrame([(i, None, None, None, None) for i in range(1, 8)], tables[0].schema)
     got = OPERATORS[name](docs, *tables[1:]).collect()
     assert sorted(r.doc_id for r in got) == list(range(1, 8))
-    want = {"op1": {"n_words": 0, "contaminated": False}, "op2": {"n_licenses": 0}, "op3": {"fingerprint": "0" * 16, "component_id": 1}, "op4": {}, "op5": {"spans": ""}, "op6": {"lang_pred": "und"}, "op7": {"n_tokens": 0}, "op8": {"n_tokens": 1}, "op9": {"keep_id": 1, "group_size": 7}}[name]
+    want = {"op1": {"n_words": 0, "contaminated": False}, "op2": {"n_licenses": 0}, "op3": {"fingerprint": "0" * 16, "component_id": 1}, "op4": {}, "op5": {"spans": ""}, "op6": {"lang_pred": "und"}, "op7": {"n_tokens": 0}, "op8": {"n_tokens": 1}, "op9": {"keep_id": 1, "group_size": 7}, "op11": {"spans": "", "n_email": 0, "n_added": 0}}[name]
     assert all(r[k] == v for r in got for k, v in want.items())
     if name == "op4":
         assert len({r.score for r in got}) == 1 and 0 <= got[0].score <= 1
