@@ -53,3 +53,35 @@ def manifest_windows(rows: DataFrame, manifest: DataFrame, part: list[str], pos:
     found = places.join(rows, [*part, pos])
     whole = found.groupBy(window, "__length").agg(F.count("*").alias("__n"), F.countDistinct("slot").alias("__d")).where("__n = __length AND __d = __length").select(window)
     return found.join(whole, window, "left_semi").drop("__length")
+
+
+def link_groups(inventory: DataFrame, path: str, sha: str) -> DataFrame:
+    """path, first, files: files of one content are one group, named by its smallest path, with its number of paths."""
+    groups = inventory.groupBy(sha).agg(F.min(path).alias("first"), F.count("*").alias("files"))
+    return inventory.join(groups, sha).select(path, "first", "files")
+
+
+def link_problems(links: DataFrame, inventory: DataFrame, path: str, target: str, sha: str) -> DataFrame:
+    """path, target, problem of links that don't hold: a path or its target isn't in the inventory, or they differ in content."""
+    known = inventory.groupBy(path).agg(F.min(sha).alias("__own"))
+    found = links.select(path, target).join(known, path, "left").join(known.select(F.col(path).alias(target), F.col("__own").alias("__of")), target, "left")
+    problem = F.when(F.col("__own").isNull(), "no file").when(F.col("__of").isNull(), "no target").when(F.col("__own") != F.col("__of"), "other content")
+    return found.select(path, target, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def list_problems(listed: DataFrame, manifest: DataFrame, inventory: DataFrame, name: str, key: str, sha: str) -> DataFrame:
+    """name, key, problem of lists that don't split a manifest (key, name): 'listed twice', 'not in the manifest', 'not listed', 'in
+    another list', and 'content in another list', where a file (inventory: key, sha) of the same content is in a list of another name."""
+    once = listed.groupBy(name, key).agg(F.count("*").alias("__n"))
+    stated = manifest.groupBy(key).agg(F.min(name).alias("__stated"))
+    both = once.join(stated, key, "full")
+    tests = {
+        "listed twice": F.col("__n") > 1, "not in the manifest": F.col("__stated").isNull(), "not listed": F.col(name).isNull(), "in another list": F.col(name) != F.col("__stated"),
+    }
+    reasons = F.explode(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(p)) for p, t in tests.items()]))).alias("problem")
+    plain = both.select(F.coalesce(name, "__stated").alias(name), key, reasons)
+    # One row for each list and content: a content that many files share is counted, not paired.
+    contents = once.join(inventory.select(key, sha).distinct(), key)
+    shared = contents.groupBy(sha).agg(F.count_distinct(name).alias("__lists")).where("__lists > 1").select(sha)
+    leaks = contents.join(shared, sha, "left_semi").select(name, key, F.lit("content in another list").alias("problem"))
+    return plain.unionByName(leaks)

@@ -49,3 +49,43 @@ def a13(spark, sf):
     df = streams(spark, sf).select("s", "pos", "i", "key")
     manifest = df.where("key = 'error'").select(F.col("i").alias("win"), "s", F.col("pos").alias("a"), F.lit(5).alias("n"))
     return V.manifest_windows(df, manifest, ["s"], "pos", "a", "n", "win").select("win", "slot", "i")
+
+
+FILES = "fi AS (SELECT doc_id, sha256(text) AS sha, source, lang, n_chars FROM documents)"
+
+
+def _files(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), "source", "lang", "n_chars")
+
+
+@query("o12b_link_groups", f"WITH {FILES} SELECT doc_id, min(doc_id) OVER (PARTITION BY sha) AS first, count(*) OVER (PARTITION BY sha) AS files FROM fi")
+def o12b(spark, sf):
+    return V.link_groups(_files(spark, sf), "doc_id", "sha")
+
+
+@query("o12c_link_problems", f"""WITH {FILES}, t AS (SELECT lang, n_chars, min(doc_id) AS target FROM fi GROUP BY ALL), l AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN -doc_id - 1 ELSE target END AS target FROM fi JOIN t USING (lang, n_chars) UNION ALL SELECT -doc_id - 1, doc_id FROM fi WHERE doc_id % 40 = 3),
+j AS (SELECT l.doc_id, l.target, CASE WHEN a.sha IS NULL THEN 'no file' WHEN b.sha IS NULL THEN 'no target' WHEN a.sha <> b.sha THEN 'other content' END AS problem FROM l LEFT JOIN fi a ON a.doc_id = l.doc_id LEFT JOIN fi b ON b.doc_id = l.target)
+SELECT * FROM j WHERE problem IS NOT NULL""")
+def o12c(spark, sf):
+    """Documents as links to the first of the same language and length; some targets and some files don't exist."""
+    files = _files(spark, sf)
+    targets = files.groupBy("lang", "n_chars").agg(F.min("doc_id").alias("target"))
+    links = files.join(targets, ["lang", "n_chars"]).select("doc_id", F.when(F.col("doc_id") % 50 == 7, -F.col("doc_id") - 1).otherwise(F.col("target")).alias("target"))
+    links = links.unionByName(files.where("doc_id % 40 = 3").select((-F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("target")))
+    return V.link_problems(links, files, "doc_id", "target", "sha")
+
+
+@query("o12d_list_problems", f"""WITH {FILES}, m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'held' ELSE 'train' END AS list FROM fi),
+l AS (SELECT list, doc_id FROM m WHERE doc_id % 17 <> 4 UNION ALL SELECT list, doc_id FROM m WHERE doc_id % 19 = 2 UNION ALL SELECT 'held', doc_id FROM m WHERE doc_id % 23 = 1 AND list = 'train' UNION ALL SELECT 'train', -doc_id - 1 FROM m WHERE doc_id % 29 = 5),
+o AS (SELECT list, doc_id, count(*) AS n FROM l GROUP BY ALL), b AS (SELECT coalesce(o.list, m.list) AS list, doc_id, n, o.list AS here, m.list AS stated FROM o FULL JOIN m USING (doc_id)),
+c AS (SELECT o.list, doc_id, sha FROM o JOIN fi USING (doc_id)), s AS (SELECT sha FROM c GROUP BY sha HAVING count(DISTINCT list) > 1)
+SELECT list, doc_id, 'listed twice' AS problem FROM b WHERE n > 1 UNION ALL SELECT list, doc_id, 'not in the manifest' FROM b WHERE stated IS NULL UNION ALL SELECT list, doc_id, 'not listed' FROM b WHERE here IS NULL
+UNION ALL SELECT list, doc_id, 'in another list' FROM b WHERE here <> stated UNION ALL SELECT list, doc_id, 'content in another list' FROM c JOIN s USING (sha)""")
+def o12d(spark, sf):
+    """A split of the documents into lists, some of which lack, repeat, move or invent an id."""
+    files = _files(spark, sf)
+    manifest = files.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "held").otherwise("train").alias("list"))
+    listed = manifest.where("doc_id % 17 <> 4").unionByName(manifest.where("doc_id % 19 = 2"))
+    listed = listed.unionByName(manifest.where("doc_id % 23 = 1 AND list = 'train'").withColumn("list", F.lit("held")))
+    listed = listed.unionByName(manifest.where("doc_id % 29 = 5").select((-F.col("doc_id") - 1).alias("doc_id"), F.lit("train").alias("list")))
+    return V.list_problems(listed, manifest, files, "list", "doc_id", "sha")
