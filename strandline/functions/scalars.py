@@ -219,3 +219,19 @@ def splitmix64(x: Column) -> Column:
     z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), 0xBF58476D1CE4E5B9)
     z = _times(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), 0x94D049BB133111EB)
     return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+
+
+def ratio_fit(x: Column, target: float) -> Column:
+    """1 at the target, falling by the ratio to it on both sides; 0 without a positive x."""
+    return F.when(x > 0, F.exp(-F.abs(F.ln(x / F.lit(float(target)))))).otherwise(0.0)
+
+
+def credit_fit(x: Column, full: float, tolerated: float) -> Column:
+    """1 up to `full`, falling in a line to 0.4 at `tolerated`, then 0.4 with a decay of 6; 0 without a positive x."""
+    line = 1.0 - 0.6 * (x - full) / max(tolerated - full, 1e-9)
+    return F.when(~(x > 0) | x.isNull(), 0.0).when(x <= full, 1.0).when(x <= tolerated, line).otherwise(0.4 * F.exp(-(x - tolerated) / 6.0))
+
+
+def growth_fit(x: Column, enough: float) -> Column:
+    """x as a share of `enough`, at most 1; 0 without a positive x."""
+    return F.when(x > 0, F.least(F.lit(1.0), x / F.lit(float(enough)))).otherwise(0.0)

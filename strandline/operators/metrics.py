@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import credit_fit, growth_fit, ratio_fit
 from .ranges import exact_quantiles, running_totals, tiles
 
 
@@ -302,3 +303,34 @@ def stable_positions(df: DataFrame, vector: str) -> DataFrame:
     x = df.select(F.posexplode(vector).alias("dim", "x")).groupBy(F.col("dim").cast("long").alias("dim")).agg(F.percentile(F.col("x").cast("double"), F.lit(0.25)).alias("q25"))
     top = x.agg(F.percentile("q25", F.lit(0.97)).alias("t"))
     return x.crossJoin(F.broadcast(top)).select("dim", "q25", F.when(F.col("t") > 0, F.least(F.col("q25") / F.col("t"), F.lit(1.0))).otherwise(0.0).alias("scaled"))
+
+
+#: How much each measure of a unit speaks for each action.
+BIND_WEIGHTS = {
+    "jump": {"frequency": 0.50, "jump_fit": 0.40, "burst": 0.10},
+    "dash": {"frequency": 0.25, "dash_fit": 0.30, "direction": 0.40, "burst": 0.05},
+    "grab": {"frequency": 0.15, "grab_fit": 0.45, "upward": 0.30, "sustained": 0.10},
+}
+
+
+def bind_scores(stats: DataFrame, by: list[str], unit: str, presses: str, duration: str, burst: str, direction: str, upward: str, target: float, full: float, tolerated: float, long: float, least_presses: int, priors: dict[str, list[str]] | None = None, bonus: float = 0.0) -> DataFrame:
+    """by, action, unit, score in [0, 1]: how well a unit (a button, or several pressed as one) fits each action.
+
+    stats: one row a unit of a group, with its presses, median duration and shares of bursts, of presses with a
+    direction and with up. Each action weighs curves of these (BIND_WEIGHTS); few presses (under least_presses) count in
+    proportion, and units that priors name for an action get a bonus. All measures are read in one pass; the group's
+    most pressed unit is a grouped maximum that is joined back, so a group of any size is no single task's work."""
+    most = stats.groupBy(*by).agg(F.max(presses).alias("__most"))
+    n, d = F.col(presses), F.col(duration).cast("double")
+    measures = {
+        "frequency": F.when(F.col("__most") > 0, F.least(F.lit(1.0), n / F.col("__most"))).otherwise(0.0), "jump_fit": ratio_fit(d, target), "dash_fit": credit_fit(d, full, tolerated), "grab_fit": growth_fit(d, long),
+        "burst": F.col(burst), "sustained": 1.0 - F.col(burst), "direction": F.col(direction), "upward": F.col(upward),
+    }
+    support = F.least(F.lit(1.0), n / F.lit(float(max(least_presses, 1))))
+    rows = []
+    for action, weights in BIND_WEIGHTS.items():
+        raw = sum((F.lit(w) * measures[m] for m, w in weights.items()), F.lit(0.0))
+        extra = F.when(F.col(unit).isin(*(priors or {}).get(action, [])), F.lit(float(bonus))).otherwise(0.0) if (priors or {}).get(action) else F.lit(0.0)
+        rows.append(F.struct(F.lit(action).alias("action"), F.least(F.lit(1.0), support * raw + extra).alias("score")))
+    joined_rows = stats.join(most, by) if by else stats.crossJoin(F.broadcast(most))
+    return joined_rows.select(*by, unit, F.explode(F.array(*rows)).alias("__x")).select(*by, "__x.action", unit, "__x.score")

@@ -270,3 +270,32 @@ def e29c(spark, sf):
 @query("e29d_neighbour_uniqueness", f"WITH {NEAREST} SELECT count(*) AS n, round(count(DISTINCT best.i) / count(*), 6) AS \"unique\" FROM nn")
 def e29d(spark, sf):
     return _r(N.neighbour_uniqueness(N.nearest_neighbours(table(spark, sf, "embeddings"), "vec_id", "embedding")), "unique")
+
+
+def _bind_sql(group: str) -> str:
+    """Scores of event types as units, in groups of this expression."""
+    fits = "CASE WHEN d > 0 THEN exp(-abs(ln(d / 45.0))) ELSE 0 END AS jf, CASE WHEN NOT d > 0 THEN 0 WHEN d <= 30 THEN 1 WHEN d <= 48 THEN 1 - 0.6 * (d - 30) / 18.0 ELSE 0.4 * exp(-(d - 48) / 6.0) END AS df, CASE WHEN d > 0 THEN least(1.0, d / 60.0) ELSE 0 END AS gf"
+    return f"""WITH {EV}, st AS (SELECT {group} AS q, key, count(*) AS n, median(k)::DOUBLE AS d, avg(CASE WHEN k <= 8 THEN 1.0 ELSE 0 END) AS b, avg(CASE WHEN x THEN 1.0 ELSE 0 END) AS r, avg(CASE WHEN v > 50 THEN 1.0 ELSE 0 END) AS u FROM ev GROUP BY 1, 2),
+m AS (SELECT *, n / max(n) OVER (PARTITION BY q) AS f, least(1.0, n / 12.0) AS p, {fits} FROM st),
+sc AS (SELECT q, 'jump' AS action, key, least(1.0, p * (0.50 * f + 0.40 * jf + 0.10 * b) + CASE WHEN key = 'click' THEN 0.05 ELSE 0 END) AS score FROM m
+UNION ALL SELECT q, 'dash', key, least(1.0, p * (0.25 * f + 0.30 * df + 0.40 * r + 0.05 * b)) FROM m UNION ALL SELECT q, 'grab', key, least(1.0, p * (0.15 * f + 0.45 * gf + 0.30 * u + 0.10 * (1 - b))) FROM m)"""
+
+
+def _bind_scores(spark, sf, group):
+    df = streams(spark, sf).withColumn("q", group)
+    share = lambda c: F.avg(c.cast("double"))
+    stats = df.groupBy("q", "key").agg(F.count("*").alias("n"), F.median("k").alias("d"), share(F.col("k") <= 8).alias("b"), share(F.col("x")).alias("r"), share(F.col("v") > 50).alias("u"))
+    return M.bind_scores(stats, ["q"], "key", "n", "d", "b", "r", "u", 45, 30, 48, 60, 12, {"jump": ["click"]}, 0.05)
+
+
+@query("i12_bind_scores", _bind_sql("s") + " SELECT q AS s, action, key, round(score, 6) AS score FROM sc")
+def i12(spark, sf):
+    return _r(_bind_scores(spark, sf, F.col("s")), "score").withColumnRenamed("q", "s")
+
+
+@query("i12b_best_binding", _bind_sql("0") + """ SELECT j.key AS unit_jump, d.key AS unit_dash, g.key AS unit_grab, round(j.score + d.score + g.score, 6) AS total FROM sc j, sc d, sc g
+WHERE j.action = 'jump' AND d.action = 'dash' AND g.action = 'grab' AND j.key <> d.key AND j.key <> g.key AND d.key <> g.key ORDER BY j.score + d.score + g.score DESC, 1, 2, 3 LIMIT 1""")
+def i12b(spark, sf):
+    """The assignment of event types to actions of the highest total of these scores."""
+    scores = _bind_scores(spark, sf, F.lit(0)).withColumn("members", F.array("key"))
+    return _r(A.best_assignment(scores, ["jump", "dash", "grab"], "action", "key", "members", "score"), "total")
