@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Callable
-from functools import reduce
 from itertools import groupby
 from typing import Any
 
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+#: Rows of a table, all groups together, that one task may sort: some 100 MB when narrow.
+FEW_ROWS = 1_000_000
+
 
 def _below(edges: Column, x: Column, width: int = 16) -> Column:
     """How many of the sorted edges are under x, from blocks of edges first and then in one block."""
@@ -23,37 +25,46 @@ def _below(edges: Column, x: Column, width: int = 16) -> Column:
     return full * width + F.size(F.filter(F.slice(edges, full * width + 1, F.lit(width)), lambda e: e < x))
 
 
-def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], ties: str | None = None, down: bool = False, parts: int = 256) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], ties: str | None = None, down: bool = False, parts: int = 256, few: int | None = None) -> DataFrame:
     """df with name (the total of a column over the rows of a group up to this one) and name_all (over the group)
     for each name of sums, in order of `order` (falling if down), then of `ties` (rising). Both are numbers.
 
     Ranges lie between quantiles of order over all rows; a value that is itself a quantile is a range of its own,
     cut once more at quantiles of ties. Rows are summed within each (group, range), and the ranges' totals before
     it, at most parts * 34 a group, are added. Quantiles decide only how work is split, not results. A NULL order
-    comes first if rising and last if falling."""
+    comes first if rising and last if falling.
+
+    df is written once (cut) and counted, as it is read three times; give it narrow. Up to `few` rows
+    (FEW_ROWS if None), which one task can sort, need no ranges: one window gives the same totals."""
+    kept = [f"__v{i}" for i in range(len(sums))]
+    rows = cut(df.select("*", *[c.alias(k) for k, c in zip(kept, sums.values(), strict=True)]))
+    first = [F.desc(order) if down else F.asc(order), *([ties] if ties else [])]
+    zero = F.lit(0)
+    if rows.count() <= (FEW_ROWS if few is None else few):
+        group = Window.partitionBy(*by)
+        up = group.orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select(*df.columns, *[F.coalesce(F.sum(k).over(up), zero).alias(n) for k, n in zip(kept, sums, strict=True)], *[F.sum(k).over(group).alias(f"{n}_all") for k, n in zip(kept, sums, strict=True)])
     at = [F.lit(i / parts) for i in range(1, parts)]
     quantiles = [F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(order, F.array(*at)), F.array()))).alias("__edges")]
     if ties:
         quantiles.append(F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(ties, F.array(*at[parts // 16 - 1 :: parts // 16])), F.array()))).alias("__cuts"))
-    edges = df.agg(*quantiles)
+    edges = rows.agg(*quantiles)
     x = F.col(order)
     below = _below(F.col("__edges"), x)
     own_range = F.coalesce(F.get("__edges", below) == x, F.lit(False))
     rank = F.when(x.isNull(), F.lit(-1)).otherwise(below * 2 + own_range.cast("int"))
-    cut = F.when(own_range | x.isNull(), F.coalesce(_below(F.col("__cuts"), F.col(ties)), F.lit(0))).otherwise(0) if ties else F.lit(0)
-    kept = [f"__v{i}" for i in range(len(sums))]
-    ranged = df.select("*", *[c.alias(k) for k, c in zip(kept, sums.values(), strict=True)]).crossJoin(F.broadcast(edges))
-    ranged = ranged.withColumn("__range", F.struct((-rank if down else rank).alias("a"), cut.alias("b"))).drop("__edges", "__cuts")
-    totals = ranged.groupBy(*by, "__range").agg(*[F.sum(k).alias(k) for k in kept])
-    past = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    zero = F.lit(0)
-    before = totals.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), *[F.coalesce(F.sum(k).over(past), zero).alias(f"{k}_before") for k in kept], *[F.sum(k).over(whole).alias(f"{k}_all") for k in kept])
-    first = [F.desc(order) if down else F.asc(order), *([ties] if ties else [])]
-    up = Window.partitionBy(*by, "__range").orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
+    among = F.when(own_range | x.isNull(), F.coalesce(_below(F.col("__cuts"), F.col(ties)), F.lit(0))).otherwise(0) if ties else F.lit(0)
+    ranged = rows.crossJoin(F.broadcast(edges))
+    # One key for the window and the join, so that rows move once; fields of a struct that are NULL are equal.
+    groups = [f"__key.g{i}" for i in range(len(by))]
+    ranged = ranged.withColumn("__key", F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(by)], (-rank if down else rank).alias("a"), among.alias("b"))).drop("__edges", "__cuts")
+    totals = ranged.groupBy("__key").agg(*[F.sum(k).alias(k) for k in kept])
+    whole = Window.partitionBy(*groups)
+    past = whole.orderBy("__key.a", "__key.b").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("__key").alias("__of"), *[F.coalesce(F.sum(k).over(past), zero).alias(f"{k}_before") for k in kept], *[F.sum(k).over(whole).alias(f"{k}_all") for k in kept])
+    up = Window.partitionBy("__key").orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
     own = ranged.withColumns({f"{k}_own": F.coalesce(F.sum(k).over(up), zero) for k in kept})
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate(by)], F.col("__range") == F.col("__r"))
-    out = own.join(before, same)
+    out = own.join(before, F.col("__key") == F.col("__of"))
     return out.select(*df.columns, *[(F.col(f"{k}_before") + F.col(f"{k}_own")).alias(n) for k, n in zip(kept, sums, strict=True)], *[F.col(f"{k}_all").alias(f"{n}_all") for k, n in zip(kept, sums, strict=True)])
 
 

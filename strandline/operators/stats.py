@@ -154,7 +154,7 @@ def block_bootstrap(blocks: DataFrame, block: str, numerator: str, denominator:
 
 def block_ap_parts(df: DataFrame, by: list[str], block: str, y: str, p: str, pos: str) -> DataFrame:
     """by, block, positives, precision_sum: each group's average precision as a sum of contributions of its blocks."""
-    ranked = running_totals(df, by, p, {"__r": F.lit(1).cast("long"), "__c": F.col(y).cast("long")}, ties=pos, down=True)
+    ranked = running_totals(df.select(*dict.fromkeys([*by, block, y, p, pos])), by, p, {"__r": F.lit(1).cast("long"), "__c": F.col(y).cast("long")}, ties=pos, down=True)
     return ranked.groupBy(*by, block).agg(F.sum(F.col(y).cast("long")).alias("positives"), F.coalesce(F.sum(F.when(F.col(y), F.col("__c") / F.col("__r"))), F.lit(0.0)).alias("precision_sum"))
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from strandline.operators import align, ranges, selection
 
 
+@pytest.fixture(autouse=True, params=[0, ranges.FEW_ROWS], ids=["ranges", "whole"])
+def few(request, monkeypatch):
+    """Every test by ranges, and by a whole window as small tables get it."""
+    monkeypatch.setattr(ranges, "FEW_ROWS", request.param)
+
+
 @pytest.mark.parametrize("probs", [{"a": 0.5}, {"a": 0.0, "b": 0.1, "c": 0.37, "d": 0.9, "e": 1.0}])
 def test_quantiles(spark, probs):
     draw = random.Random(3)

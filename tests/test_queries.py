@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from strandline import plans
+from strandline.operators import ranges
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +41,12 @@ def test_query_equals_its_sql(spark, sql, name):
     assert listed(df.collect(), df.columns, names) == listed(found.fetchall(), names, names)
 
 
+@pytest.mark.parametrize("name", ["e03_average_precision", "e04_ordered_precision", "e09_equal_mass_bins", "e26_rank_auc", "m01_otsu_midgap", "m07_block_ap_parts"])
+def test_query_by_ranges_equals_its_sql(spark, sql, name, monkeypatch):
+    monkeypatch.setattr(ranges, "FEW_ROWS", 0)
+    test_query_equals_its_sql(spark, sql, name)
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_query_without_sql_repeats_itself(spark, name):
     first, again = (plans.QUERIES[name](spark, SF) for _ in range(2))

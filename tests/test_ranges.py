@@ -7,9 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import metrics as M
+from strandline.operators import ranges
 from strandline.operators.ranges import running_totals, tiles
 
 
+@pytest.fixture(autouse=True, params=[0, ranges.FEW_ROWS], ids=["ranges", "whole"])
+def few(request, monkeypatch):
+    """Every test by ranges, and by a whole window as small tables get it."""
+    monkeypatch.setattr(ranges, "FEW_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def rows():
     draw = random.Random(7)
