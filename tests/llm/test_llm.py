@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import cache
 from zlib import crc32
 
 import numpy as np
@@ -12,6 +13,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
+
 from strandline.llm import bpe, components, decontaminate, exact_dedup, html_main, language, licenses, lm, quality, queries, secrets, simhash
 from strandline.llm.common import table
 
@@ -268,16 +271,16 @@ def test_op8(spark, small):
     assert lm.lm_scores(docs.limit(0), **few).count() == 0
 
 
-def trained_parts(spark, docs, **more):
+def trained_parts(spark, docs, words=2000, most=5000, own=20, **more):
     """What lm_scores() trains on docs, with little work."""
     learned = docs.select("text")
     counts = lm.word_counts(learned)
-    lexicon = lm.lexicon(counts, docs.count(), 2000, lm.heavy_words(counts, 5000))
+    lexicon = lm.lexicon(counts, docs.count(), words, lm.heavy_words(counts, most))
     context = spark.sparkContext
     seen = lm.code_counts(learned, context.broadcast((lexicon,)), lm.neighbours).toArrow()
     features = np.zeros(lexicon.size * 2 * (lm.SEEDS + 1), np.float32)
     features[seen["code"].to_numpy()] = seen["n"].to_numpy()
-    shared = context.broadcast((lexicon, lm.Classes(features.reshape(lexicon.size, -1), lexicon.unigrams, 64, 16, 20)))
+    shared = context.broadcast((lexicon, lm.Classes(features.reshape(lexicon.size, -1), lexicon.unigrams, 64, 16, own)))
     table_ = lm.code_counts(learned, shared, lm.contexts).cache()
     return lexicon, shared, table_, lm.trained(table_, shared, lexicon.size, **{"rounds": 1, "steps": 60, "word_steps": 60} | more)
 
@@ -305,6 +308,43 @@ def test_op8_probabilities_and_bounds(spark):
     assert np.array_equal(again.vectors, model.vectors) and np.allclose(again.near, model.near, atol=1e-5)
 
 
+def test_op8_score_equals_a_plain_loop(spark, monkeypatch):
+    """The score of the query against products of probabilities, each summed up over all classes and words by loops."""
+    monkeypatch.setattr(lm.Classes.__init__, "__defaults__", (50,))
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    steps = {"rounds": 2, "steps": 30, "word_steps": 30}
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+    lexicon, shared, _, model = trained_parts(spark, learned, 300, lm.HEAVY, lm.OWN, **steps)
+    classes = shared.value[1]
+    assert classes.contexts == 50 + 64
+    known = list(lexicon.index)[:300]
+    times = {w: int(n) for w, n in zip(lexicon.index, lexicon.counts, strict=True)}
+
+    @cache
+    def of_class(a, b, c):
+        at = [model.near[classes.near[b], x] + model.far[classes.group[a], x] for x in range(classes.n)]
+        return at[c] - math.log(sum(math.exp(x) for x in at))
+
+    @cache
+    def of_word(b, w):
+        c = classes.of[w]
+        at = {x: float(model.context[c % lm.SLICES, classes.near[b]].astype(float) @ model.vectors[x].astype(float)) + model.bias[x] for x in range(lexicon.size) if classes.of[x] == c}
+        return at[w] - math.log(sum(math.exp(x) for x in at.values()))
+
+    want = {}
+    for r in docs.limit(40).collect():
+        a, b, total = lexicon.start, lexicon.start, 0.0
+        for word in [*re.findall(rb"[^\x20\x09-\x0D]+", lowered(r.text).encode()), None]:
+            w = lexicon.end if word is None else known.index(word) if word in known else lexicon.rest
+            total += of_class(a, b, classes.of[w]) + of_word(b, w)
+            if w == lexicon.rest:
+                total += math.log((times.get(word, 0) + 0.5) / (lexicon.rest_tokens + 0.5 * (lexicon.rest_kinds + 1)))
+            a, b = b, w
+        want[r.doc_id] = total / math.log(10)
+    got = {r.doc_id: r.score for r in lm.lm_scores(docs, words=300, classes=64, groups=16, **steps).collect()}
+    assert want and all(abs(got[i] - x) < 1e-4 * abs(x) for i, x in want.items())
+
+
 def test_op8_learns_context(spark):
     """Held-out texts score far above their words' own frequencies."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")
@@ -329,7 +369,6 @@ def exact(rows):
 
 @pytest.mark.parametrize("weak", [False, True])
 def test_op9(spark, small, weak):
-    from pyspark.sql import functions as F
 
     rows, docs = small
     classes = exact(rows)
