@@ -5,7 +5,8 @@
     spark.read.format("array_archives").option("what", "headers").load(folder)  # one row for each array
 
 A folder is a local path that all machines share, or an address that pyarrow's file systems know. Files are read by
-seeking: the archive's directory, then the first bytes of each array, then the rows a task needs. Arrays of one file have one length, that
+seeking: the archive's directory, then the first bytes of each array, then the rows a task needs. Files of up to SMALL_BYTES
+are dealt unopened, many to a task, which checks and reads them; only of larger ones does the driver read headers, to cut them. Arrays of one file have one length, that
 of their first axis; arrays of no axis are repeated in each row. Integers and floats keep their width (unsigned ones take
 the next), booleans and text their type, and further axes become nested lists. A column that the given schema
 calls binary holds the row's bytes. Compressed arrays can't be entered in the middle, so a task
@@ -32,6 +33,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of arrays that a task reads.
 PARTITION_BYTES = 32 << 20
+#: Files of up to so many bytes are read whole by one task, among others.
+SMALL_BYTES = 1 << 20
+#: What opening a file counts for among the bytes of a task: at most 128 files of PARTITION_BYTES.
+OPEN_BYTES = 256 << 10
 #: Files whose headers the driver reads at a time to lay out partitions.
 HEADER_READERS = 32
 HEADERS = "file string, array string, shape array<long>, dtype string, columnar boolean, compressed boolean, bytes long"
@@ -72,13 +77,32 @@ def _opened(path: str):
     return system.open_input_file(inner)
 
 
-def archive_files(path: str, glob: str = "*") -> list[str]:
-    """All .npz files under a folder whose names fit a pattern, or the file itself, in order."""
+def archive_sizes(path: str, glob: str = "*") -> list[tuple[str, int]]:
+    """All .npz files under a folder whose names fit a pattern, or the file itself, in order, and their bytes."""
     system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     prefix = path[: len(path) - len(inner)] if path.endswith(inner) else ""
-    if system.get_file_info(inner).type == fs.FileType.File:
-        return [path]
-    return sorted(prefix + f.path for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.path.endswith(".npz") and fnmatchcase(f.base_name, glob))
+    own = system.get_file_info(inner)
+    if own.type == fs.FileType.File:
+        return [(path, own.size)]
+    return sorted((prefix + f.path, f.size) for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.path.endswith(".npz") and fnmatchcase(f.base_name, glob))
+
+
+def archive_files(path: str, glob: str = "*") -> list[str]:
+    """The files of archive_sizes()."""
+    return [f for f, _ in archive_sizes(path, glob)]
+
+
+def packed(files: list[tuple[str, int]], most: int) -> Iterator[list[str]]:
+    """Files in order in packs of up to `most` bytes, of which opening one takes OPEN_BYTES."""
+    pack, held = [], 0
+    for file, size in files:
+        if pack and held + size + OPEN_BYTES > most:
+            yield pack
+            pack, held = [], 0
+        pack.append(file)
+        held += size + OPEN_BYTES
+    if pack:
+        yield pack
 
 
 def members(archive: zipfile.ZipFile, name: str = "") -> list[Member]:
@@ -134,6 +158,13 @@ class _Range(InputPartition):
     end: int
 
 
+@dataclass
+class _Files(InputPartition):
+    """Whole files, unopened so far."""
+
+    files: list[str]
+
+
 class ArrayArchives(DataSource):
     """Options: what (rows or headers), bytes and rows (of a partition at most), ident (an array of one text that must be the file's name), contract
     (JSON: array -> [types, shape]; null in a shape stands for any size), pathGlobFilter."""
@@ -165,24 +196,28 @@ class _Reader(DataSourceReader):
         self.schema, self.glob = schema, options.get("pathGlobFilter", "*")
 
     def partitions(self) -> list[InputPartition]:
-        files = archive_files(self.path, self.glob)
+        files = archive_sizes(self.path, self.glob)
         if self.what == "headers":
-            return [_Range(f, 0, 0) for f in files] or [_Range("", 0, 0)]
+            return [_Files(pack) for pack in packed([(f, 0) for f, _ in files], PARTITION_BYTES)] or [_Files([])]
+        small = min(SMALL_BYTES, self.bytes)
+        out: list[InputPartition] = [_Files(pack) for pack in packed([(f, n) for f, n in files if n <= small], self.bytes)]
+        large = [f for f, n in files if n > small]
         with ThreadPoolExecutor(HEADER_READERS) as pool:
-            checked = list(pool.map(self._checked, files))
-        out = []
-        for f, found in zip(files, checked, strict=True):
-            n = max((m.shape[0] for m in found if m.shape), default=1)
-            step = min(self.rows, max(1, self.bytes // max(1, sum(m.row_bytes for m in found if m.shape))))
-            out += [_Range(f, at, min(n, at + step)) for at in range(0, n, step)]
-        return out or [_Range("", 0, 0)]
-
-    def _checked(self, name: str) -> list[Member]:
-        """The members that the schema names, as the contract wants them."""
+            out += [r for ranges in pool.map(self._ranges, large) for r in ranges]
+        return out or [_Files([])]
+
+    def _ranges(self, name: str) -> list[_Range]:
         with _opened(name) as file, zipfile.ZipFile(file) as archive:
-            return self._as_wanted(name, archive)
+            return self._cut(name, self._as_wanted(name, archive))
+
+    def _cut(self, name: str, found: list[Member]) -> list[_Range]:
+        """Ranges of rows of a file, of the partition's bytes and rows at most."""
+        n = max((m.shape[0] for m in found if m.shape), default=1)
+        step = min(self.rows, max(1, self.bytes // max(1, sum(m.row_bytes for m in found if m.shape))))
+        return [_Range(name, at, min(n, at + step)) for at in range(0, n, step)]
 
     def _as_wanted(self, name: str, archive: zipfile.ZipFile) -> list[Member]:
+        """The members that the schema names, as the contract wants them."""
         known = {m.name: m for m in members(archive, name)}
         wanted = [f.name for f in self.schema if f.name not in ("file", "row")]
         lacking = sorted({*wanted, *self.contract, *([self.ident] if self.ident else [])} - set(known))
@@ -203,23 +238,25 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{name}: {self.ident} isn't the file's name")
         return [known[k] for k in wanted]
 
-    def read(self, partition: _Range) -> Iterator[Any]:
-        if not partition.file:
-            return
-        with _opened(partition.file) as file, zipfile.ZipFile(file) as archive:
-            if self.what == "headers":
-                for m in members(archive, partition.file):
-                    size = archive.getinfo(m.name + ".npy").compress_size
-                    yield partition.file, m.name, list(m.shape), m.dtype.str, m.columnar, m.compressed, size
-                return
-            known = {m.name: m for m in members(archive, partition.file)}
-            count, columns = partition.end - partition.start, []
-            for f in self.schema:
-                if f.name == "file":
-                    columns.append(pa.array([partition.file] * count, pa.string()))
-                elif f.name == "row":
-                    columns.append(pa.array(np.arange(partition.start, partition.end)))
-                else:
-                    values = _rows(archive, known[f.name], partition.start, partition.end)
-                    columns.append(_column(values if values.ndim else np.repeat(values, count), isinstance(f.dataType, T.BinaryType)))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema])
+    def read(self, partition: _Range | _Files) -> Iterator[Any]:
+        for name in partition.files if isinstance(partition, _Files) else [partition.file]:
+            with _opened(name) as file, zipfile.ZipFile(file) as archive:
+                if self.what == "headers":
+                    for m in members(archive, name):
+                        yield name, m.name, list(m.shape), m.dtype.str, m.columnar, m.compressed, archive.getinfo(m.name + ".npy").compress_size
+                    continue
+                wanted = members(archive, name) if isinstance(partition, _Range) else self._as_wanted(name, archive)
+                for part in self._cut(name, wanted) if isinstance(partition, _Files) else [partition]:
+                    yield self._batch(archive, {m.name: m for m in wanted}, part)
+
+    def _batch(self, archive: zipfile.ZipFile, known: dict[str, Member], part: _Range) -> pa.RecordBatch:
+        count, columns = part.end - part.start, []
+        for f in self.schema:
+            if f.name == "file":
+                columns.append(pa.array([part.file] * count, pa.string()))
+            elif f.name == "row":
+                columns.append(pa.array(np.arange(part.start, part.end)))
+            else:
+                values = _rows(archive, known[f.name], part.start, part.end)
+                columns.append(_column(values if values.ndim else np.repeat(values, count), isinstance(f.dataType, T.BinaryType)))
+        return pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema])

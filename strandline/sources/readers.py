@@ -103,7 +103,8 @@ def array_rows(spark: SparkSession, path: str, schema: str | None = None, partit
 
     schema: the columns to read (file and row among them if wanted), by default those of the first file. arrays: name -> (dtypes,
     shape), None standing for any size. A file without one of these, of another type or shape, or whose one-string array
-    ident isn't its own name raises when the scan is laid out. A task reads a range of rows (of partition_bytes, and `rows` rows at most). Only files whose names fit the pattern `names` are opened."""
+    ident isn't its own name raises, a large one when the scan is laid out, a small one when it is read. A task reads a range of rows (of partition_bytes, and `rows` rows
+    at most) or several small files, in batches of such ranges. Only files whose names fit the pattern `names` are opened."""
     options = {"bytes": str(partition_bytes), "contract": json.dumps(arrays or {}), "pathGlobFilter": names} | ({"ident": ident} if ident else {}) | ({"rows": str(rows)} if rows else {})
     reader = _arrays(spark, path, **options)
     return (reader.schema(schema) if schema else reader).load()
