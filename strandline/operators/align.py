@@ -43,8 +43,9 @@ def nearest_event(true: DataFrame, predicted: DataFrame, part: list[str], t: str
     along the stream, so cost is a sort, not a product."""
     rows = true.select(*part, t, F.lit(True).alias("__true")).unionByName(predicted.select(*part, t, F.lit(False).alias("__true")))
     when_pred = F.when(~F.col("__true"), F.col(t))
-    past = F.max(when_pred).over(Window.partitionBy(*part).orderBy(t).rangeBetween(Window.unboundedPreceding, 0))
-    future = F.min(when_pred).over(Window.partitionBy(*part).orderBy(t).rangeBetween(0, Window.unboundedFollowing))
+    # Read backwards for what follows: Spark computes a frame that reaches to the end anew for every row.
+    past = F.max(when_pred).over(Window.partitionBy(*part).orderBy(F.asc(t)).rangeBetween(Window.unboundedPreceding, 0))
+    future = F.min(when_pred).over(Window.partitionBy(*part).orderBy(F.desc(t)).rangeBetween(Window.unboundedPreceding, 0))
     both = rows.withColumn("__a", past - F.col(t)).withColumn("__b", future - F.col(t)).where("__true")
     offset = F.when(F.col("__a").isNull(), F.col("__b")).when(F.col("__b").isNull(), F.col("__a")).when(-F.col("__a") <= F.col("__b"), F.col("__a")).otherwise(F.col("__b"))
     return both.withColumn("offset", offset).where(F.abs("offset") <= most).select(*part, t, "offset")

@@ -47,9 +47,9 @@ def resampled(df: DataFrame, part: list[str], t: str, value: str, step: float, m
     last = F.floor((F.col("t1") - F.col("t0")) / step).cast("long") + most_tail
     grid = bounds.select(*part, "t0", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slot")).withColumn("__t", F.col("t0") + F.col("slot") * step)
     rows = grid.select(*part, "__t", "slot", F.lit(None).cast(df.schema[value].dataType).alias("__v"), F.lit(None).cast("double").alias("__u")).unionByName(df.select(*part, F.col(t).cast("double").alias("__t"), F.lit(None).cast("long").alias("slot"), F.col(value).alias("__v"), F.col(t).cast("double").alias("__u")))
-    w = Window.partitionBy(*part).orderBy("__t")
-    back = F.last(F.when(F.col("__u").isNotNull(), F.struct("__u", "__v")), ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(F.when(F.col("__u").isNotNull(), F.struct("__u", "__v")), ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # Both frames grow: Spark computes one that reaches to the end anew for every row, so what is ahead is read backwards.
+    seen = F.last(F.when(F.col("__u").isNotNull(), F.struct("__u", "__v")), ignorenulls=True)
+    back, ahead = (seen.over(Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)) for order in (F.asc("__t"), F.desc("__t")))
     x = rows.withColumn("a", back).withColumn("b", ahead).where("slot IS NOT NULL")
     pick = F.when(F.col("b").isNull() | (F.col("__t") - F.col("a.__u") <= F.col("b.__u") - F.col("__t")), F.col("a.__v")).otherwise(F.col("b.__v"))
     return x.select(*part, "slot", pick.alias(value))
