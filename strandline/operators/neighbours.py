@@ -1,35 +1,46 @@
-"""Exact nearest neighbours by cosine in blocks, with block pairs pruned by distances to pivots.
+"""Exact nearest neighbours by cosine in blocks, of which groups meet, pruned by distances to pivots.
 
 Vectors become unit vectors. A few pivots (the rows of the smallest hashes) are known everywhere; a row's distances to
 them bound its distance to any other row from below, by the triangle inequality. Rows are dealt by ranges of (nearest pivot,
-distance to it) into blocks, so that blocks are compact. Every block finds neighbours within itself first; then a pair of blocks is
-compared only if the least distance that their ranges of pivot distances allow is within what some row still needs, and in it only
-the rows that need it. No pairs of rows are put out, only each row's best of a block.
-
-For panels and diagnostics: the list of block pairs that is tested grows with the square of the number of blocks
-(rows / block), in narrow rows of 2 * pivots numbers; what is compared depends on how well the vectors cluster.
+distance to it) into blocks, so that blocks are compact. Every block finds neighbours within itself first. Then blocks in order
+form groups, a task holds one group, and the blocks that some row of it may still need pass by; a block is compared only with
+those rows for which the least distance that its ranges of pivot distances allow is within what the row has found so far. No pairs
+of rows are put out, only each row's best of a task.
+
+What is shuffled is GROUPS + PARTS times the vectors, whatever their number, up to GROUPS * GROUP_BLOCKS * block rows (a million);
+beyond, groups stay as large as one task should hold and their number grows. What is compared depends on how well the vectors cluster, and is
+the square of their number at worst, in matrix products spread over GROUPS * PARTS tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import cut
 
 #: Slack of bounds, far above rounding; similarities are told apart by nine digits.
 SLACK, DIGITS = 1e-4, 9
+#: Groups of blocks, blocks of a group at most, and tasks that share the blocks passing by a group.
+GROUPS, GROUP_BLOCKS, PARTS = 16, 128, 4
 
 
 def _best(own: np.ndarray, ids: np.ndarray, others: np.ndarray, other_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each row of own its largest similarity and the smallest id that has it, its own id apart."""
-    similar = np.round(own @ others.T, DIGITS)
-    similar[ids[:, None] == other_ids[None, :]] = -2.0
-    top = similar.max(axis=1, initial=-2.0)
-    last = np.iinfo(np.int64).max
-    return top, np.where(similar == top[:, None], other_ids[None, :], last).min(axis=1, initial=last)
+    similar = own @ others.T
+    if ids.min() <= other_ids.max() and other_ids.min() <= ids.max():
+        similar[ids[:, None] == other_ids[None, :]] = -2.0
+    # Only what may round to the top is rounded.
+    row, at = np.nonzero(similar >= (similar.max(axis=1, initial=-2.0) - 10.0**-DIGITS)[:, None])
+    near = np.round(similar[row, at], DIGITS)
+    top = np.full(len(own), -2.0)
+    np.maximum.at(top, row, near)
+    best = near == top[row]
+    other = np.full(len(own), np.iinfo(np.int64).max)
+    np.minimum.at(other, row[best], other_ids[at[best]])
+    return top, other
 
 
 def _distance(similarity: np.ndarray) -> np.ndarray:
@@ -84,22 +95,51 @@ def nearest_neighbours(df: DataFrame, ident: str, vector: str, pivots: int = 16,
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other), pa.array(top), pa.array(np.full(len(ids), len(ids) - 1))], names=["id", "neighbour", "similarity", "compared"])
 
     def across(batches):
+        held = None  # (group, part), and what is known of the group's rows
+
+        def told():
+            if held and not held["joining"] and (asked := held["compared"] > 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(held[c][asked]) for c in ("ids", "other", "top", "compared")], names=["id", "neighbour", "similarity", "compared"])
+
         for batch in batches:
             for row in batch.to_pylist():
-                ids, v = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["v"])
-                v, far = v.reshape(len(ids), -1), np.frombuffer(row["far"]).reshape(len(ids), -1)
-                least = np.maximum(np.array(row["o_low"]) - far, far - np.array(row["o_high"])).max(axis=1)
-                asks = least <= np.frombuffer(row["need"])
-                if asks.any():
-                    other_ids = np.frombuffer(row["o_ids"], np.int64)
-                    top, other = _best(v[asks], ids[asks], np.frombuffer(row["o_v"]).reshape(len(other_ids), -1), other_ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[asks]), pa.array(other), pa.array(top), pa.array(np.full(len(top), len(other_ids)))], names=["id", "neighbour", "similarity", "compared"])
-
-    mine = blocks.select("block", "low", "high", "reach")
-    theirs = blocks.select(F.col("block").alias("o_block"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
-    gap = F.array_max(F.zip_with(F.zip_with("o_low", "high", lambda a, b: a - b), F.zip_with("low", "o_high", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
-    pairs = mine.join(theirs, (F.col("block") != F.col("o_block")) & (gap <= F.col("reach"))).select("block", "o_block", "o_low", "o_high")
-    met = pairs.join(blocks.select("block", "ids", "v", "far", "need"), "block").join(blocks.select(F.col("block").alias("o_block"), F.col("ids").alias("o_ids"), F.col("v").alias("o_v")), "o_block")
+                key, ids = (row["group"], row["part"]), np.frombuffer(row["ids"], np.int64)
+                v = np.frombuffer(row["v"]).reshape(len(ids), -1)
+                if held is None or held["key"] != key:
+                    yield from told()
+                    held = {"key": key, "joining": []}
+                if not row["passing"]:
+                    far, need = np.frombuffer(row["far"]).reshape(len(ids), -1), np.frombuffer(row["need"])
+                    held["joining"].append((ids, v, far, need, np.full(len(ids), row["block"])))
+                    continue
+                if held["joining"]:
+                    held |= {c: np.concatenate(x) for c, x in zip(("ids", "v", "far", "need", "block"), zip(*held["joining"], strict=True), strict=True)}
+                    held |= {"joining": [], "top": np.full(len(held["ids"]), -2.0), "other": np.full(len(held["ids"]), np.iinfo(np.int64).max), "compared": np.zeros(len(held["ids"]), np.int64)}
+                low, high = np.array(row["low"]), np.array(row["high"])
+                asks = np.nonzero((np.maximum(low - held["far"], held["far"] - high).max(axis=1) <= held["need"]) & (held["block"] != row["block"]))[0]
+                for at in range(0, len(asks), 4096):
+                    some = asks[at : at + 4096]
+                    top, other = _best(held["v"][some], held["ids"][some], v, ids)
+                    better = (top > held["top"][some]) | ((top == held["top"][some]) & (other < held["other"][some]))
+                    held["top"][some[better]], held["other"][some[better]] = top[better], other[better]
+                    held["need"][some] = np.minimum(held["need"][some], _distance(top) + SLACK)
+                    held["compared"][some] += len(ids)
+        yield from told()
+
+    narrow = blocks.select("block", "low", "high", "reach")
+    many = narrow.count()
+    groups = max(min(GROUPS, many), -(-many // GROUP_BLOCKS))
+    # A row a block; their order puts compact groups side by side.
+    number = (F.row_number().over(Window.orderBy("block")) - 1).cast("long")
+    grouped = narrow.withColumn("group", F.floor(number * groups / max(many, 1)).cast("int"))
+    each = range(len(chosen))
+    boxes = grouped.groupBy("group").agg(F.array(*[F.min(F.get("low", F.lit(i))) for i in each]).alias("g_low"), F.array(*[F.max(F.get("high", F.lit(i))) for i in each]).alias("g_high"), F.max("reach").alias("g_reach"))
+    gap = F.array_max(F.zip_with(F.zip_with("low", "g_high", lambda a, b: a - b), F.zip_with("g_low", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
+    sides = ["group", "part", "passing", "block", "ids", "v", "far", "need", "low", "high"]
+    holding = blocks.join(F.broadcast(grouped.select("block", "group")), "block").withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(PARTS)]))).withColumn("passing", F.lit(False))
+    passing = blocks.join(F.broadcast(boxes), gap <= F.col("g_reach")).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int")).withColumn("passing", F.lit(True))
+    none = F.lit(None).cast("binary")
+    met = holding.select(sides).unionByName(passing.withColumns({"far": none, "need": none}).select(sides)).repartition(max(groups, 1) * PARTS, "group", "part").sortWithinPartitions("group", "part", "passing", "block")
     found = blocks.mapInArrow(within, out).unionByName(met.mapInArrow(across, out))
     best = F.max_by("neighbour", F.struct("similarity", -F.col("neighbour")))
     return found.groupBy("id").agg(best.alias("neighbour"), F.max("similarity").alias("similarity"), F.sum("compared").alias("compared")).where("similarity > -2").withColumnRenamed("id", ident)

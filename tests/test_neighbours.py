@@ -40,3 +40,17 @@ def test_few_rows(spark):
     assert neighbours.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA), "id", "v").collect() == []
     got = neighbours.nearest_neighbours(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.5])], SCHEMA), "id", "v").collect()
     assert {(r.id, r.neighbour) for r in got} == {(1, 2), (2, 1)}
+
+
+def test_groups_bound_what_is_shuffled(spark, monkeypatch):
+    """More blocks than groups may hold; and each vector moves for every group and part at most, not for every pair of blocks."""
+    monkeypatch.setattr(neighbours, "GROUP_BLOCKS", 3)
+    monkeypatch.setattr(neighbours, "GROUPS", 4)
+    draw = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(draw.normal(0, 1, (600, 8)))]
+    df = neighbours.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), "id", "v", block=10)
+    assert {r.id: r.neighbour for r in df.collect()} == {i: other for i, (other, _) in brute(rows).items()}
+    monkeypatch.setattr(neighbours, "GROUP_BLOCKS", 128)
+    path = "Exchange hashpartitioning(group"
+    df = neighbours.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), "id", "v", block=10)
+    assert df.count() == 600 and path in df._jdf.queryExecution().executedPlan().toString()
