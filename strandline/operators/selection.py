@@ -11,6 +11,7 @@ import heapq
 from functools import reduce
 from math import gcd
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -308,11 +309,42 @@ def epoch_batches(df: DataFrame, ident: str, salt: str, epoch: int, batch: int,
     return copies.select(*df.columns, F.floor(F.col("__p") / batch).cast("long").alias("step"), F.floor(F.col("__p") % batch / (batch // ranks)).cast("int").alias("rank"))
 
 
+#: No item reaches a sum.
+NEVER = -2
+
+
+def first_items(units: list[int]) -> np.ndarray:
+    """For each sum of the positive whole units, which may each be taken once, the first item in order that reaches it; -1 for 0
+    and NEVER where none does.
+
+    Once there is a run of sums without a gap, longer than any unit, later items add sums only below and above it, and make it
+    longer; so an item costs what lies outside the run and its unit, not all sums so far."""
+    entered = np.full(sum(units) + 1, NEVER, np.int32)
+    entered[0] = -1
+    total, low, high, widest = 0, 0, -1, max(units, default=0)
+    for item, w in enumerate(units):
+        # The sums that are new lie from w to total + w, and outside low .. high.
+        for start, end in [(w, low), (max(w, high + 1), total + w + 1)] if high >= low else [(w, total + w + 1)]:
+            if start < end:
+                new = (entered[start - w : end - w] > NEVER) & (entered[start:end] == NEVER)
+                new = np.nonzero(new)[0] + start
+                entered[new] = item
+        total += w
+        if high >= low:
+            high += w
+        elif total >= 2 * widest:
+            gaps = np.concatenate(([-1], np.nonzero(entered[: total + 1] == NEVER)[0], [total + 1]))
+            at = int(np.diff(gaps).argmax())
+            if gaps[at + 1] - gaps[at] - 1 >= widest:
+                low, high = int(gaps[at]) + 1, int(gaps[at + 1]) - 1
+    return entered
+
+
 def nearest_sum(df: DataFrame, by: list[str], ident: str, weight: str, target: str, salt: str) -> DataFrame:
     """by, ident: the whole items of each group whose positive integer weights add up nearest to its target. Items enter in
     salted order and the first way to reach a sum stays; of two sums as near, the smaller hash of the chosen ids
     wins. A group is a pool of items, folded in one task with one number for each reachable multiple of the
-    weights' common divisor."""
+    weights' common divisor (first_items())."""
     keys = StructType([df.schema[k] for k in by])
     out = StructType([*keys.fields, df.schema[ident]])
     items = df.select(*by, F.col(ident).alias("id"), F.col(weight).cast("long").alias("w"), F.col(target).cast("double").alias("t"), salted_key(F.col(ident), salt).alias("h"))
@@ -321,10 +353,7 @@ def nearest_sum(df: DataFrame, by: list[str], ident: str, weight: str, target: s
         frame = frame.sort_values(["h", "id"], ignore_index=True)
         unit = reduce(gcd, (int(w) for w in frame["w"]))
         units = [int(w) // unit for w in frame["w"]]
-        entered = {0: -1}  # sum -> the item that first reached it
-        for item, w in enumerate(units):
-            for total in [s + w for s in entered]:
-                entered.setdefault(total, item)
+        entered = first_items(units)
 
         def members(total):
             while total:
@@ -332,8 +361,10 @@ def nearest_sum(df: DataFrame, by: list[str], ident: str, weight: str, target: s
                 total -= units[entered[total]]
 
         goal = float(frame["t"].iloc[0])
-        least = min(abs(s * unit - goal) for s in entered)
-        sets = [sorted(str(frame["id"].iloc[i]) for i in members(s)) for s in entered if abs(s * unit - goal) == least]
+        sums = np.nonzero(entered > NEVER)[0]
+        away = np.abs(sums * unit - goal)
+        ids = frame["id"].astype(str).tolist()
+        sets = [sorted(ids[i] for i in members(int(s))) for s in sums[away == away.min()]]
         best = set(min(sets, key=lambda ids: hashlib.sha256("\0".join([salt, *ids]).encode()).hexdigest()))
         chosen = frame[frame["id"].astype(str).isin(best)]
         return pd.DataFrame({**{k: chosen[k] for k in by}, ident: chosen["id"]})
