@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of a table, all groups together, that one task may sort: some 100 MB when narrow.
+#: Rows of a group that one task may sort: some 100 MB when narrow.
 FEW_ROWS = 1_000_000
 
 
@@ -34,16 +34,19 @@ def running_totals(df: DataFrame, by: list[str], order: str, sums: dict[str, Col
     it, at most parts * 34 a group, are added. Quantiles decide only how work is split, not results. A NULL order
     comes first if rising and last if falling.
 
-    df is written once (cut) and counted, as it is read three times; give it narrow. Up to `few` rows
-    (FEW_ROWS if None), which one task can sort, need no ranges: one window gives the same totals."""
+    Groups of up to `few` rows each (FEW_ROWS if None), which one task can sort, need no ranges: one window gives
+    the same totals, and Spark deals the groups. For that the rows of groups are counted first, of the columns `by` alone. Else df is
+    written once (cut), as it is read three times; give it narrow."""
     kept = [f"__v{i}" for i in range(len(sums))]
-    rows = cut(df.select("*", *[c.alias(k) for k, c in zip(kept, sums.values(), strict=True)]))
     first = [F.desc(order) if down else F.asc(order), *([ties] if ties else [])]
     zero = F.lit(0)
-    if rows.count() <= (FEW_ROWS if few is None else few):
+    most = df.groupBy(*by).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+    rows = df.select("*", *[c.alias(k) for k, c in zip(kept, sums.values(), strict=True)])
+    if most <= (FEW_ROWS if few is None else few):
         group = Window.partitionBy(*by)
         up = group.orderBy(*first).rowsBetween(Window.unboundedPreceding, 0)
         return rows.select(*df.columns, *[F.coalesce(F.sum(k).over(up), zero).alias(n) for k, n in zip(kept, sums, strict=True)], *[F.sum(k).over(group).alias(f"{n}_all") for k, n in zip(kept, sums, strict=True)])
+    rows = cut(rows)
     at = [F.lit(i / parts) for i in range(1, parts)]
     quantiles = [F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(order, F.array(*at)), F.array()))).alias("__edges")]
     if ties:

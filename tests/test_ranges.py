@@ -69,3 +69,19 @@ def test_auc_counts_pairs(spark):
     pos, neg = [r[2] for r in data if r[1]], [r[2] for r in data if not r[1]]
     # Of a tie the positives have the lower ranks, so an equal negative isn't below.
     assert got == pytest.approx(sum(a > b for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_many_small_groups_need_no_ranges(spark, monkeypatch):
+    """More rows than FEW_ROWS in all, but in no group: windows, nothing written."""
+    monkeypatch.setattr(ranges, "FEW_ROWS", 50)
+
+    def written(df):
+        raise AssertionError("written")
+
+    df = spark.range(1000).selectExpr("id % 40 AS g", "id DIV 40 AS p")
+    monkeypatch.setattr(ranges, "cut", written)
+    got = running_totals(df, ["g"], "p", {"r": F.lit(1)}).collect()
+    assert len(got) == 1000 and all((r["r"], r["r_all"]) == (r["p"] + 1, 25) for r in got)
+    monkeypatch.setattr(ranges, "FEW_ROWS", 24)
+    with pytest.raises(AssertionError, match="written"):
+        running_totals(df, ["g"], "p", {"r": F.lit(1)})
