@@ -3,6 +3,7 @@ unless a function says otherwise."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -105,7 +106,10 @@ def scaled_rect(box: tuple[Column, Column, Column, Column], scale: tuple[Column,
 def correlation(a: Column, b: Column) -> Column:
     """Pearson correlation of two arrays of one length; NULL if either is constant. One pass over entries less the first
     one, so that a constant array has a variance of exactly zero."""
-    a, b = a.cast("array<double>"), b.cast("array<double>")
+    return _held(F.struct(a.cast("array<double>").alias("a"), b.cast("array<double>").alias("b")), lambda s: _correlation(s["a"], s["b"]))
+
+
+def _correlation(a: Column, b: Column) -> Column:
     names = ("n", "x", "y", "xx", "yy", "xy")
     pairs = F.zip_with(a, b, lambda x, y: F.struct((x - F.get(a, F.lit(0))).alias("x"), (y - F.get(b, F.lit(0))).alias("y")))
 
@@ -170,22 +174,32 @@ def ring_contrast(inner_mean: Column, cell_mean: Column, cell_area: Column, ring
     return F.when(rest > 0, inner_mean - (ring_mean * ring_area - cell_mean * cell_area) / rest)
 
 
+def _held(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x) with x computed once: what a lambda refers to outside itself is computed anew for each entry."""
+    return F.get(F.transform(F.array(x), of), F.lit(0))
+
+
 def edge_similarity(a: Column, b: Column, q: float = 0.85) -> Column:
     """struct(score, correlation, dice) of two arrays of one size: 0.7 times the correlation and 0.3 times the Dice overlap of
     the entries at or above each one's own quantile q, all rounded to 8 digits. A constant array correlates 0."""
     a, b = a.cast("array<double>"), b.cast("array<double>")
 
     def top(x: Column) -> Column:
-        s, at = F.array_sort(x), (F.size(x) - 1) * F.lit(q)
-        low = F.floor(at).cast("int")
-        below, above = F.get(s, low), F.coalesce(F.get(s, low + 1), F.get(s, low))
-        return F.transform(x, lambda v: v >= below + (at - low) * (above - below))
+        def marked(s: Column) -> Column:
+            at = (F.size(s) - 1) * F.lit(q)
+            low = F.floor(at).cast("int")
+            below, above = F.get(s, low), F.coalesce(F.get(s, low + 1), F.get(s, low))
+            return _held(below + (at - low) * (above - below), lambda least: F.transform(x, lambda v: v >= least))
+
+        return _held(F.array_sort(x), marked)
 
     def trues(x: Column) -> Column:
         return F.size(F.filter(x, lambda v: v))
 
-    both = trues(F.zip_with(top(a), top(b), lambda x, y: x & y))
-    dice = F.coalesce(F.try_divide(2.0 * both, trues(top(a)) + trues(top(b))), F.lit(0.0))
+    def shared(t: Column) -> Column:
+        return F.try_divide(2.0 * trues(F.zip_with(t["a"], t["b"], lambda x, y: x & y)), trues(t["a"]) + trues(t["b"]))
+
+    dice = F.coalesce(_held(F.struct(top(a).alias("a"), top(b).alias("b")), shared), F.lit(0.0))
     r = F.coalesce(correlation(a, b), F.lit(0.0))
     return F.struct(F.round(0.7 * r + 0.3 * dice, 8).alias("score"), F.round(r, 8).alias("correlation"), F.round(dice, 8).alias("dice"))
 

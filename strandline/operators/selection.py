@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions.scalars import salted_key
-from .ranges import exact_quantiles, over_ranges
+from .ranges import cut, exact_quantiles, over_ranges
 
 
 def four_directions(x: Column, y: Column, pads: dict[str, Column], limit: float) -> dict[str, Column]:
@@ -111,10 +111,18 @@ def spread_positions(count: Column, picks: int, low: float = 0.0, high: float =
 
 
 def spread_rows(df: DataFrame, by: list[str], order: str, picks: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """Evenly spread rows of each group in an order without ties."""
-    ranked = df.withColumn("__p", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))
-    chosen = df.groupBy(*by).agg(F.count("*").alias("__n")).select(*by, F.explode(spread_positions(F.col("__n"), picks, low, high)).alias("__p"))
-    return ranked.join(chosen, [*by, "__p"]).drop("__p")
+    """Evenly spread rows of each group in an order without ties.
+
+    Rows are dealt by ranges of (by, order) and written once, so give them narrow. From the number of each group's rows in each
+    range follows in which one a wanted position lies, and only those ranges are numbered; no group is one task's work."""
+    ranged = cut(df.repartitionByRange(*by, order).withColumn("__range", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    counts = ranged.groupBy(*by, "__range").agg(F.count("*").alias("__m"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__m").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__m").over(group))
+    wanted = counts.select(*by, "__range", "__before", "__m", F.explode(spread_positions(F.col("__n"), picks, low, high)).alias("__p")).where("__p >= __before AND __p < __before + __m")
+    near = ranged.join(F.broadcast(wanted.groupBy(*by, "__range").agg(F.collect_set(F.col("__p") - F.col("__before")).alias("__own"))), [*by, "__range"])
+    at = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(order)) - 1
+    return near.withColumn("__at", at.cast("long")).where(F.array_contains("__own", F.col("__at"))).select(*df.columns)
 
 
 def merged_identical(frames: list[DataFrame], key: list[str]) -> tuple[DataFrame, DataFrame]:

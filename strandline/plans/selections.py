@@ -129,7 +129,7 @@ SPREAD = """n AS (SELECT l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY
 @query("g08_spread_rows", f"WITH {SPREAD}, r AS (SELECT l_returnflag AS f, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS slot, l_orderkey FROM lineitem) SELECT f, l_orderkey FROM r JOIN p USING (f, slot)")
 def g08(spark, sf):
     """With j15: evenly spread rows from 2 % to 98 % of each group."""
-    df = table(spark, sf, "lineitem").withColumn("f", F.col("l_returnflag")).withColumn("o", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    df = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("f"), "l_orderkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("o"))
     return Z.spread_rows(df, ["f"], "o", 9, 0.02, 0.98).select("f", "l_orderkey")
 
 
