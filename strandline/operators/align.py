@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .ranges import cut
 
@@ -177,19 +180,104 @@ def common_support(df: DataFrame, part: list[str], pos: str, active: str, low: i
     return df.withColumn("__n", F.count("*").over(w)).withColumn("__off", F.sum((~F.col(active)).cast("long")).over(w)).where((F.col("__n") == high - low + 1) & (F.col("__off") == 0)).drop("__n", "__off")
 
 
+#: Candidates that a task of ranked_references() holds, and parts of the references.
+QUERIES, REFERENCE_PARTS = 16_384, 32
+
+
 def ranked_references(candidates: DataFrame, references: DataFrame, cid: str, rid: str, vector: str, top: int) -> DataFrame:
     """cid, rid, similarity, rank: the top references of each candidate by cosine (6 digits), ties by rid, its own id apart.
 
-    candidates is a stated query set, references any table. Spark broadcasts the smaller one if its size allows, else
-    its parts meet in blocks; each task keeps its own top of a candidate, so that few of the pairs are shuffled."""
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    candidates is a stated query set, references any table. A task holds up to QUERIES of the candidates as a matrix, and its
+    part of the references passes by in order of rid, so that of each candidate only the top of a part is shuffled. Vectors are
+    of one length; a pair with a NULL (also in a vector) or without a direction has a NULL similarity and comes last. ids are of one type."""
+    asked = candidates.select(F.col(cid).alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL")
+    groups = max(1, -(-asked.count() // QUERIES))
+    every = lambda n: F.explode(F.array(*[F.lit(i) for i in range(n)]))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    holding = asked.select(dealt(groups).alias("group"), every(REFERENCE_PARTS).alias("part"), F.lit(False).alias("passing"), "id", "v")
+    passing = references.select(F.col(rid).alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL")
+    passing = passing.select(every(groups).alias("group"), dealt(REFERENCE_PARTS).alias("part"), F.lit(True).alias("passing"), "id", "v")
+    met = holding.unionByName(passing).repartition(groups * REFERENCE_PARTS, "group", "part").sortWithinPartitions("group", "part", "passing", "id")
+    out = T.StructType([T.StructField(cid, candidates.schema[cid].dataType), T.StructField(rid, references.schema[rid].dataType), T.StructField("similarity", T.DoubleType())])
+    arrow = to_arrow_schema(out)
+
+    def run(batches):
+        key, held = None, None
+
+        def told():
+            if held and held.best is not None:
+                yield from held.told(arrow)
+
+        for batch in batches:
+            # Runs of one (group, part, side) within the batch.
+            marks = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)])
+            edges = [0, *(np.nonzero((np.diff(marks, axis=1) != 0).any(axis=0))[0] + 1).tolist(), batch.num_rows]
+            for at, end in zip(edges, edges[1:], strict=False):
+                if at == end:
+                    continue
+                if key != (own := tuple(marks[:2, at])):
+                    yield from told()
+                    key, held = own, _Top(top)
+                some = batch.slice(at, end - at)
+                (held.meet if marks[2, at] else held.hold)(some.column("id").to_pylist(), some.column("v"))
+        yield from told()
 
-    left = candidates.select(cid, F.col(vector).alias("__a"), dot(vector, vector).alias("__aa"))
-    right = references.select(rid, F.col(vector).alias("__b"), dot(vector, vector).alias("__bb"))
-    scored = left.join(right, F.col(cid) != F.col(rid)).select(cid, rid, F.round(dot("__a", "__b") / F.sqrt(F.col("__aa") * F.col("__bb")), 6).alias("similarity"))
     w = Window.partitionBy(cid).orderBy(F.desc("similarity"), rid)
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+    return met.mapInArrow(run, out).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+
+
+class _Top:
+    """Candidates, and the top of the references that have passed, which come in order of their ids."""
+
+    UNKNOWN, NEVER = -2.0, -3.0
+
+    def __init__(self, top: int):
+        self.top, self.ids, self.vectors, self.best, self.others = top, [], [], None, []
+
+    def hold(self, ids: list, vectors: pa.Array) -> None:
+        self.ids += ids
+        self.vectors.append(vectors)
+
+    @staticmethod
+    def unit(vectors: pa.Array, width: int) -> np.ndarray:
+        """Unit vectors; NaN for one that is NULL, holds a NULL, is of another length or zero."""
+        out = np.full((len(vectors), width), np.nan)
+        lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+        if (fit := lengths == width).any() and width:
+            out[fit] = vectors.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        with np.errstate(all="ignore"):
+            return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+    def meet(self, ids: list, vectors: pa.Array) -> None:
+        if not self.ids:
+            return
+        if self.best is None:
+            lists = pa.concat_arrays(self.vectors)
+            self.width = pc.max(pc.list_value_length(lists)).as_py() or 0
+            self.vectors, self.where = self.unit(lists, self.width), {}
+            for i, x in enumerate(self.ids):
+                self.where.setdefault(x, []).append(i)
+            self.best, self.at = np.full((len(self.ids), self.top), self.NEVER), np.zeros((len(self.ids), self.top), np.int64)
+        others = self.unit(vectors, self.width)
+        for start in range(0, len(ids), 256):
+            similar = np.round(self.vectors @ others[start : start + 256].T, 6)
+            similar[np.isnan(similar)] = self.UNKNOWN
+            for j, x in enumerate(ids[start : start + 256]):
+                if x in self.where:
+                    similar[self.where[x], j] = self.NEVER
+            # Of equal ones the earlier stays, whose id is smaller.
+            rows = np.nonzero((similar > self.best[:, -1:]).any(axis=1))[0]
+            both = np.concatenate((self.best[rows], similar[rows]), axis=1)
+            number = np.concatenate((self.at[rows], np.broadcast_to(np.arange(similar.shape[1]) + len(self.others) + start, (len(rows), similar.shape[1]))), axis=1)
+            first = np.argsort(-both, axis=1, kind="stable")[:, : self.top]
+            self.best[rows], self.at[rows] = np.take_along_axis(both, first, 1), np.take_along_axis(number, first, 1)
+        self.others += ids
+
+    def told(self, schema: pa.Schema):
+        row, place = np.nonzero(self.best > self.NEVER)
+        similar = self.best[row, place]
+        columns = [[self.ids[i] for i in row], [self.others[i] for i in self.at[row, place]], [None if s == self.UNKNOWN else float(s) for s in similar]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def precedence_merge(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
