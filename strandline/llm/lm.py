@@ -18,10 +18,12 @@ of all vectors give the scores and the normaliser of every context, so probabili
 
 Training: counts of (group, context, class) and of (context, word) are gathered from all training tokens,
 where a context is one of the NEAR words or the class of another.
-These tables are bounded by the parameters, and only the counts in them grow with the corpus. NCE steps draw
-their rows in proportion to the counts; their number is fixed (STEPS, WORD_STEPS), so a longer corpus
-makes the counts better and the training no longer. Class vectors: in each of ROUNDS rounds SLICES
-slices of the table, dealt by hash, take STEPS steps from the common vectors and are averaged by count.
+These tables are bounded by the parameters, and only the counts in them grow with the corpus. Nothing is drawn
+from them: NCE passes over all contexts in turn (PASSES, WORD_PASSES times, in random order), and a context brings all
+its counts at once, as true targets, and its noise in expectation over all targets. Passes are cut into a fixed number of
+steps (STEPS, WORD_STEPS), so a longer corpus makes the counts better and the training no longer.
+Class vectors: in each of ROUNDS rounds SLICES slices of the contexts, dealt by hash, take STEPS steps from the
+common vectors and are averaged by count.
 Word vectors: a word is normalised within its class only, so each of SLICES groups of classes learns its
 own words, with context vectors of its own, and nothing has to be averaged. Slices and the rows in them
 are ordered, so the result doesn't depend on the cluster.
@@ -44,6 +46,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,9 +66,14 @@ SLICES = 8
 ROUNDS = 4
 STEPS = 150
 WORD_STEPS = 400
+PASSES = 10
+WORD_PASSES = 20
 HEAVY = 150_000
 LONGEST = 64
 BINS = 1024
+BLOCK = 32_768
+CODES = 2_000_000
+CELLS = 2_000_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -118,12 +126,39 @@ class Lexicon:
         return np.log10((count + 0.5) / (self.rest_tokens + 0.5 * (self.rest_kinds + 1)))
 
     def find(self, words: list[bytes]) -> np.ndarray:
-        get = self.index.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
 
     def tokens_of(self, at: np.ndarray) -> np.ndarray:
         """The model's numbers of a text's tokens, the start before and the end after them."""
-        return np.concatenate(([self.start], np.where((at < 0) | (at >= self.words), self.rest, at), [self.end]))
+        return self.in_row(at, np.array([len(at)]))
+
+    def in_row(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """tokens_of() texts of so many words each, one behind the other."""
+        ids = np.empty(len(at) + 2 * len(sizes), np.int64)
+        ends = np.cumsum(sizes + 2)
+        inside = np.ones(len(ids), bool)
+        inside[ends - 1] = inside[ends - sizes - 2] = False
+        ids[inside] = np.where((at < 0) | (at >= self.words), self.rest, at)
+        ids[ends - 1], ids[ends - sizes - 2] = self.end, self.start
+        return ids
+
+
+def blocks(bodies):
+    """Lists of the words of some texts each: about BLOCK words, or one text."""
+    held, size = [], 0
+    for text in bodies:
+        words = words_of(text)
+        if held and size + len(words) > BLOCK:
+            yield held
+            held, size = [], 0
+        held.append(words)
+        size += len(words)
+    if held:
+        yield held
+
+
+def flat(held: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    return list(chain.from_iterable(held)), np.fromiter(map(len, held), np.int64, len(held))
 
 
 def heavy_words(counts: DataFrame, most: int) -> Column:
@@ -153,44 +188,53 @@ def lexicon(counts: DataFrame, docs: int, words: int, heavy: Column) -> Lexicon:
 
 
 def code_counts(train: DataFrame, shared, codes_of) -> DataFrame:
-    """code, n over all training tokens: codes_of(shared value, token numbers of a text) gives arrays of codes."""
+    """code, n over all training tokens: codes_of(shared value, token numbers of texts) gives arrays of codes."""
 
     def run(batches):
         value = shared.value
         lexicon_ = value[0]
-        codes, counts, held = [], [], 0
+        fresh, held, code, n = [], 0, np.empty(0, np.int64), np.empty(0, np.int64)
 
         def merged():
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            return code, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+            new = np.sort(np.concatenate(fresh))
+            first = np.flatnonzero(np.diff(new, prepend=-1))
+            both, times = np.concatenate((code, new[first])), np.concatenate((n, np.diff(first, append=len(new))))
+            if not len(code):
+                return both, times
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.diff(both, prepend=-1))
+            return both[first], np.add.reduceat(times[order], first)
 
-        def out(code, n):
+        def out():
             for at in range(0, len(code), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(code[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["code", "n"])
 
         for batch in batches:
-            for text in texts(batch.column("text")):
-                for code in codes_of(value, lexicon_.tokens_of(lexicon_.find(words_of(text)))):
-                    codes.append(code), counts.append(np.ones(len(code), np.int64))
-                    held += len(code)
-                if held > 1_500_000:
+            for some in blocks(texts(batch.column("text"))):
+                words, sizes = flat(some)
+                found = list(codes_of(value, lexicon_.in_row(lexicon_.find(words), sizes)))
+                fresh += found
+                held += sum(map(len, found))
+                if held > CODES:
                     code, n = merged()
-                    codes, counts, held = [code], [n], len(code)
-                    if held > 1_000_000:
-                        yield from out(code, n)
-                        codes, counts, held = [], [], 0
-        if codes:
-            yield from out(*merged())
+                    fresh, held = [], 0
+                    if len(code) > 1_000_000:
+                        yield from out()
+                        code, n = code[:0], n[:0]
+        if held:
+            code, n = merged()
+        yield from out()
 
     return train.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def neighbours(value, ids: np.ndarray):
-    """Codes of a word and the seed before, and of a word and the seed after it."""
+    """Codes of a word and the seed before, and of a word and the seed after it, within texts."""
     seeds = SEEDS + 1
-    seed = np.minimum(ids, SEEDS)
-    yield ids[1:] * (2 * seeds) + seed[:-1]
-    yield ids[:-1] * (2 * seeds) + seeds + seed[1:]
+    seed, inside = np.minimum(ids, SEEDS), ids[1:] != value[0].start
+    yield (ids[1:] * (2 * seeds) + seed[:-1])[inside]
+    yield (ids[:-1] * (2 * seeds) + seeds + seed[1:])[inside]
 
 
 def k_means(x: np.ndarray, weight: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
@@ -235,22 +279,43 @@ class Classes:
         self.total = np.bincount(self.of, self.share, classes)
 
 
+def grouped(classes: Classes, start_: int, ids: np.ndarray):
+    """Of each token of texts but the starts: its number, the token before it and the group of the one before that."""
+    far = np.concatenate(([start_], ids[:-2]))
+    far[ids[:-1] == start_] = start_
+    inside = ids[1:] != start_
+    return ids[1:][inside], ids[:-1][inside], classes.group[far[inside]]
+
+
 def contexts(value, ids: np.ndarray):
     """Codes of (group, context, class), and, above them, of (context, word) for words that share their class."""
     lexicon_, classes = value
-    c, k, before = classes.of[ids[1:]], classes.n, classes.near[ids[:-1]]
-    group = np.concatenate(([classes.group[lexicon_.start]], classes.group[ids[:-2]]))
+    word, before, group = grouped(classes, lexicon_.start, ids)
+    c, k, before = classes.of[word], classes.n, classes.near[before]
     yield (group * classes.contexts + before) * k + c
     alike = classes.size[c] > 1
-    yield classes.groups * classes.contexts * k + (before * lexicon_.size + ids[1:])[alike]
+    yield classes.groups * classes.contexts * k + (before * lexicon_.size + word)[alike]
 
 
-def drawn(n: np.ndarray, size: int, draw) -> np.ndarray:
-    """size row numbers in proportion to n, in random order."""
-    steps = np.cumsum(n.astype(float))
-    at = np.minimum(np.searchsorted(steps, (np.arange(size) + draw.random()) * (steps[-1] / size), side="right"), len(n) - 1)
-    draw.shuffle(at)
-    return at
+class Cells:
+    """A table of counts by context, of rows sorted by context; each pass deals all contexts to steps."""
+
+    def __init__(self, context: np.ndarray, target: np.ndarray, n: np.ndarray, steps: int, passes: int):
+        self.contexts, first = np.unique(context, return_index=True)
+        self.edges, self.target, self.n = np.append(first, len(context)), target, n.astype(np.float32)
+        self.passes = min(passes, steps)
+        self.parts = max(1, min(len(first), steps // max(1, self.passes)))
+        self.mean = float(n.sum()) / self.parts
+
+    def steps(self, draw):
+        for _ in range(self.passes if len(self.contexts) else 0):
+            yield from np.array_split(draw.permutation(len(self.contexts)), self.parts)
+
+    def rows(self, own: np.ndarray):
+        """Of each row of the given contexts: which of them it belongs to, its target and its count."""
+        low, size = self.edges[own], np.diff(self.edges)[own]
+        rows = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        return np.repeat(np.arange(len(own)), size), self.target[rows], self.n[rows]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -273,6 +338,11 @@ class Ada:
         self.squares[ids] += slope**2
         self.value[ids] -= self.rate * slope / np.sqrt(self.squares[ids])
 
+    def step_all(self, slopes: np.ndarray, size: float):
+        slope = slopes / np.float32(size)
+        self.squares += slope**2
+        self.value -= self.rate * slope / np.sqrt(self.squares)
+
 
 def start(shape: tuple, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.1, shape).astype(np.float32)
@@ -283,70 +353,68 @@ def class_parameters(classes: Classes, width: int) -> list[np.ndarray]:
     return [start((classes.groups, width), 1), np.zeros((classes.contexts, width), np.float32), start((classes.n, width), 2), start((classes.n, width), 3), np.log((classes.total + 0.5) / (classes.total + 0.5).sum()).astype(np.float32)]
 
 
-def class_nce(parameters: list[np.ndarray], classes: Classes, code: np.ndarray, n: np.ndarray, steps: int, seed: int, batch: int = 2048, noise: int = 64, rate: float = 0.1) -> list[np.ndarray]:
-    """The parameters after so many NCE steps on rows of the class table, drawn in proportion to their counts."""
+def class_nce(parameters: list[np.ndarray], classes: Classes, code: np.ndarray, n: np.ndarray, steps: int, seed: int, noise: int = 64, rate: float = 0.2) -> list[np.ndarray]:
+    """The parameters after so many NCE steps, in whole passes over sorted rows of the class table."""
     draw = np.random.default_rng(seed)
-    far, near, wider, out, bias = (Ada(x, rate, 1e-3) for x in parameters)
+    far, near, wider, out, bias = (Ada(x, rate, 1e-5) for x in parameters)
     k = classes.n
-    share = (classes.total + 0.5) / (classes.total + 0.5).sum()
-    known, cumulated = np.log(noise * share).astype(np.float32), np.cumsum(share)
-    group, rest = np.divmod(code, classes.contexts * k)
-    before, target = np.divmod(rest, k)
-    rows = drawn(n, steps * batch, draw)
-    for at in range(0, len(rows), batch):
-        own = rows[at : at + batch]
-        g, b, t = group[own], before[own], target[own]
-        fake = np.minimum(np.searchsorted(cumulated, draw.random(noise)), k - 1)
+    expected = (noise * (classes.total + 0.5) / (classes.total + 0.5).sum()).astype(np.float32)
+    cells = Cells(*np.divmod(code, k), n, steps, PASSES)
+    for own in cells.steps(draw):
+        g, b = np.divmod(cells.contexts[own], classes.contexts)
+        at, t, times = cells.rows(own)
         wide = classes.wider[b]
         q = near.value[b] + wider.value[wide] + far.value[g]
-        true = sigmoid((q * out.value[t]).sum(1) + bias.value[t] - known[t]) - 1
-        false = sigmoid(q @ out.value[fake].T + bias.value[fake] - known[fake])
-        slope = true[:, None] * out.value[t] + false @ out.value[fake]
-        ids = np.concatenate((t, fake))
-        parts = np.concatenate((true[:, None] * q, false.T @ q))
-        out.step(ids, parts, len(own))
-        bias.step(ids, np.concatenate((true, false.sum(0))), len(own))
-        near.step(b, slope, len(own))
-        wider.step(wide, slope, len(own))
-        far.step(g, slope, len(own))
+        slope = sigmoid(q @ out.value.T + bias.value - np.log(expected))
+        true = (slope[at, t] - 1) * times
+        slope *= np.bincount(at, times, len(own)).astype(np.float32)[:, None] * expected
+        slope[at, t] += true
+        of_context = slope @ out.value
+        out.step_all(slope.T @ q, cells.mean)
+        bias.step_all(slope.sum(0), cells.mean)
+        near.step(b, of_context, cells.mean)
+        wider.step(wide, of_context, cells.mean)
+        far.step(g, of_context, cells.mean)
     return [x.value for x in (far, near, wider, out, bias)]
 
 
-def word_nce(classes: Classes, code: np.ndarray, n: np.ndarray, width: int, steps: int, seed: int, batch: int = 2048, noise: int = 8, rate: float = 0.05) -> tuple[np.ndarray, ...]:
-    """Tokens, their vectors, their biases and the context vectors after so many NCE steps on (context, word) rows."""
+def word_nce(classes: Classes, code: np.ndarray, n: np.ndarray, width: int, steps: int, seed: int, noise: int = 8, rate: float = 0.05) -> tuple[np.ndarray, ...]:
+    """Tokens, their vectors, their biases and the context vectors after so many NCE steps, in whole passes over sorted (context, word) rows."""
     draw = np.random.default_rng(seed)
     before, word = np.divmod(code, len(classes.of))
-    # The tokens of the slice's classes, class by class, so that noise is drawn within a target's class.
+    # The tokens of the slice's classes, class by class; noise is of a target's class.
     mine = np.isin(np.arange(classes.n), np.unique(classes.of[word]))
     tokens = classes.members[mine[classes.of[classes.members]]]
     place = np.zeros(len(classes.of), np.int64)
     place[tokens] = np.arange(len(tokens))
-    word = place[word]
-    of = classes.of[tokens]
-    log_share = np.log(classes.share[tokens] / classes.total[of]).astype(np.float32)
-    cumulated = np.cumsum(classes.share[tokens])
-    first = np.searchsorted(of, np.arange(classes.n + 1))
-    edges = np.concatenate(([0.0], cumulated))[first]
+    sizes, of = classes.size[mine], (np.cumsum(mine) - 1)[classes.of[tokens]]
+    log_share = np.log(classes.share[tokens] / classes.total[classes.of[tokens]]).astype(np.float32)
+    expected = np.float32(noise) * np.exp(log_share)
     vectors, bias = Ada(start((len(classes.of), width), 4)[tokens], rate, 1e-7), Ada(log_share, rate, 1e-7)
     context, wider = Ada(np.zeros((classes.contexts, width), np.float32), rate, 1e-7), Ada(start((classes.n, width), 5), rate, 1e-7)
-    rows = drawn(n, steps * batch, draw)
-    for at in range(0, len(rows), batch):
-        own = rows[at : at + batch]
-        b, t = before[own], word[own]
-        low, high = edges[of[t]], edges[of[t] + 1]
-        fake = np.searchsorted(cumulated, low[:, None] + draw.random((len(own), noise)) * (high - low)[:, None], side="right")
-        fake = np.clip(fake, first[of[t]][:, None], first[of[t] + 1][:, None] - 1)
-        both = np.concatenate((t[:, None], fake), 1)
+    cells, most = Cells(before, place[word], n, steps, WORD_PASSES), max(1, CELLS // max(1, len(tokens)))
+    for own in cells.steps(draw):
+        b = cells.contexts[own]
         wide = classes.wider[b]
-        q, v = context.value[b] + wider.value[wide], vectors.value[both]
-        slope = sigmoid(np.einsum("ij,ikj->ik", q, v) + bias.value[both] - log_share[both] - np.float32(math.log(noise)))
-        slope[:, 0] -= 1
-        ids = both.ravel()
-        of_context = np.einsum("ik,ikj->ij", slope, v)
-        context.step(b, of_context, len(own))
-        wider.step(wide, of_context, len(own))
-        vectors.step(ids, (slope[:, :, None] * q[:, None, :]).reshape(len(ids), -1), len(own))
-        bias.step(ids, slope.ravel(), len(own))
+        q, of_context = context.value[b] + wider.value[wide], np.empty((len(own), width), np.float32)
+        of_vectors, of_bias = np.zeros_like(vectors.value), np.zeros_like(bias.value)
+        # A step may hold all contexts, and a slice nearly all words: some contexts at a time.
+        for low in range(0, len(own), most):
+            part = slice(low, low + most)
+            at, t, times = cells.rows(own[part])
+            slope = sigmoid(q[part] @ vectors.value.T + bias.value - np.log(expected))
+            true = (slope[at, t] - 1) * times
+            totals = np.bincount(at * len(sizes) + of[t], times, len(slope) * len(sizes)).astype(np.float32)
+            slope *= np.repeat(totals.reshape(len(slope), -1), sizes, axis=1)
+            slope *= expected
+            slope[at, t] += true
+            of_context[part] = slope @ vectors.value
+            of_vectors += slope.T @ q[part]
+            of_bias += slope.sum(0)
+        vectors.step_all(of_vectors, cells.mean)
+        bias.step_all(of_bias, cells.mean)
+        context.step(b, of_context, cells.mean)
+        wider.step(wide, of_context, cells.mean)
     return tokens, vectors.value, bias.value, context.value + wider.value[classes.wider]
 
 
@@ -377,15 +445,15 @@ class Model:
                 self.word_norm[at : at + step, c] = _log_sum(self.context[c % SLICES, at : at + step] @ self.vectors[own].T + self.bias[own])
 
     def log_probability(self, ids: np.ndarray) -> np.ndarray:
-        """Of each token of a text but the start, in natural logs; for the shared class that of the class."""
-        group = np.concatenate(([self.classes.groups - 1], self.classes.group[ids[:-2]]))
-        b, t, w = self.classes.near[ids[:-1]], self.classes.of[ids[1:]], ids[1:]
-        by_class = self.near[b, t] + self.far[group, t] - self.norm[group, b]
-        by_word = np.empty(len(w))
-        for at in range(0, len(w), 65_536):
-            x = slice(at, at + 65_536)
-            by_word[x] = np.einsum("ij,ij->i", self.context[t[x] % SLICES, b[x]], self.vectors[w[x]]) + self.bias[w[x]] - self.word_norm[b[x], t[x]]
-        return by_class + by_word
+        """Of each token of texts but the starts, in natural logs; for the shared class that of the class."""
+        word, before, group = grouped(self.classes, len(self.classes.of) - 1, ids)
+        out = np.empty(len(word))
+        for at in range(0, len(word), 8192):
+            w, b, g = word[at : at + 8192], self.classes.near[before[at : at + 8192]], group[at : at + 8192]
+            t = self.classes.of[w]
+            by_word = np.einsum("ij,ij->i", self.context[t % SLICES, b], self.vectors[w]) + self.bias[w] - self.word_norm[b, t]
+            out[at : at + 8192] = self.near[b, t] + self.far[g, t] - self.norm[g, b] + by_word
+        return out
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -398,8 +466,8 @@ def trained(counts: DataFrame, shared, size: int, rounds: int = ROUNDS, steps: i
     _, classes = shared.value
     context = counts.sparkSession.sparkContext
     cells = classes.groups * classes.contexts * classes.n
-    # Codes of one slice are one group: a bounded part of a bounded table. By ranges, so that slices run side by side.
-    table = counts.where(F.col("code") < cells).withColumn("slice", F.pmod(F.xxhash64("code"), F.lit(SLICES)).cast("int")).repartitionByRange(4 * SLICES, "slice")
+    # Codes of one slice, with whole contexts, are one group: a bounded part of a bounded table. By ranges, so that slices run side by side.
+    table = counts.where(F.col("code") < cells).withColumn("slice", F.pmod(F.xxhash64(F.floor(F.col("code") / classes.n)), F.lit(SLICES)).cast("int")).repartitionByRange(4 * SLICES, "slice")
     parameters = class_parameters(classes, width)
 
     def one_round(given, turn):
@@ -444,20 +512,28 @@ def _by_row(docs: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         lexicon_, model = shared.value
-        base, rest = lexicon_.base(lexicon_.counts), lexicon_.in_rest(lexicon_.counts)
+        # Words that aren't heavy have the number -1 and add nothing here.
+        base, rest = (np.append(x, 0.0) for x in (lexicon_.base(lexicon_.counts), lexicon_.in_rest(lexicon_.counts)))
         rest[: lexicon_.words] = 0
         known_end = int(lexicon_.docs > 0)
         end = float(lexicon_.base(lexicon_.docs))
+
+        def row_sums(x, sizes):
+            return np.where(sizes > 0, np.add.reduceat(np.append(x, 0.0), np.cumsum(sizes) - sizes), 0.0)
+
         for batch in batches:
             out = [[] for _ in range(6)]
-            for text in texts(batch.column("text")):
-                words = words_of(text)
+            for some in blocks(texts(batch.column("text"))):
+                words, sizes = flat(some)
                 at = lexicon_.find(words)
-                by_model = float(model.log_probability(lexicon_.tokens_of(at)).sum() / math.log(10))
-                heavy = at[at >= 0]
-                other = Counter([words[i] for i in np.nonzero(at < 0)[0].tolist()])
-                for column, value in zip(out, (len(words) + 1, len(heavy) + known_end, end + float(base[heavy].sum()), by_model + float(rest[heavy].sum()), list(other), list(other.values())), strict=True):
-                    column.append(value)
+                by_model = row_sums(model.log_probability(lexicon_.in_row(at, sizes)), sizes + 1) / math.log(10)
+                edges = np.cumsum(sizes)
+                light = np.flatnonzero(at < 0)
+                other = [Counter([words[i] for i in own.tolist()]) for own in np.split(light, np.searchsorted(light, edges[:-1]))]
+                known = sizes - np.fromiter(map(Counter.total, other), np.int64, len(other)) + known_end
+                parts = ((sizes + 1).tolist(), known.tolist(), (end + row_sums(base[at], sizes)).tolist(), (by_model + row_sums(rest[at], sizes)).tolist(), map(list, other), (list(x.values()) for x in other))
+                for column, values in zip(out, parts, strict=True):
+                    column.extend(values)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], names=["id", "held_out", "n_tokens", "known", "base", "model", "words", "times"])
 
