@@ -34,7 +34,7 @@ def overlap_pairs(boxes: DataFrame, part: list[str], ident: str, x0: str, x1: st
 
 
 class Skyline:
-    """For every y how far to the right the boxes met so far reach, and one box that reaches so far."""
+    """For every y how far to the right the boxes met so far reach, and one box linked to that which reaches so far."""
 
     def __init__(self, pieces=None):
         self.at, self.reach, self.owner = map(list, pieces or ([-inf], [-inf], [None]))
@@ -44,7 +44,8 @@ class Skyline:
 
     def add(self, x0, x1, y0, y1, ident) -> set:
         """Adds a box that starts at x0, no further left than those before; returns owners whose boxes it overlaps.
-        Of boxes alive at one y all overlap each other, so the one that reaches furthest stands for them."""
+        Of boxes alive at one y all overlap each other, so one stands for them: the last, also where another reaches further.
+        So a box's whole height has one owner after it, and owners met are few for each box, however many overlap."""
         i, j = bisect_right(self.at, y0) - 1, bisect_left(self.at, y1)
         met, at, reach, owner = set(), [], [], []
 
@@ -61,7 +62,7 @@ class Skyline:
                 met.add(o)
             if a < y0:
                 put(a, r, o)
-            put(max(a, y0), *((x1, ident) if x1 > r else (r, o)))
+            put(max(a, y0), max(r, x1), ident)
             if y1 < b:
                 put(y1, r, o)
         self.at[i:j], self.reach[i:j], self.owner[i:j] = at, reach, owner
