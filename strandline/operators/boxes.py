@@ -20,17 +20,30 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
 
 
-def overlap_pairs(boxes: DataFrame, part: list[str], ident: str, x0: str, x1: str, y0: str, y1: str, gap: float, cell: float) -> DataFrame:
-    """part, a, b (a < b): all pairs of linked boxes of a part.
+#: Boxes in cells that a task of overlap_pairs takes: few enough for its idents to fit the dictionary of a Parquet column, 1 MB.
+TASK_BOXES = 100_000
+
+
+def overlap_pairs(boxes: DataFrame, part: list[str], ident: str, x0: str, x1: str, y0: str, y1: str, gap: float, cell: float, height: float | None = None) -> DataFrame:
+    """part, a, b (a < b): all pairs of linked boxes of a part. Cells are `cell` wide and `height` (or `cell`) high.
 
     A box lies in every cell it covers. Two linked boxes share the cell that holds the upper left corner of their
-    intersection, and are paired in that cell only, so no pair comes twice. A join: as many rows as there are pairs."""
+    intersection, and are paired in that cell only, so no pair comes twice. A join: as many rows as there are pairs, though boxes
+    are shuffled once. Boxes that start one below the other come one after the other, each with its partners by ident, so that
+    rows repeat what came shortly before and are stored in few bytes."""
+    height = cell if height is None else height
     grown = boxes.select(*part, F.col(ident).alias("__i"), F.col(x0).alias("__x0"), (F.col(x1) + gap).alias("__x1"), F.col(y0).alias("__y0"), (F.col(y1) + gap).alias("__y1"))
-    placed = grown.withColumn("__cx", _cells(F.col("__x0"), F.col("__x1"), cell)).withColumn("__cy", _cells(F.col("__y0"), F.col("__y1"), cell))
-    other = placed.select(*part, "__cx", "__cy", *[F.col(f"__{c}").alias(f"__o{c}") for c in ("i", "x0", "x1", "y0", "y1")])
-    met = placed.join(other, [*part, "__cx", "__cy"]).where("__i < __oi AND __x0 < __ox1 AND __ox0 < __x1 AND __y0 < __oy1 AND __oy0 < __y1")
-    corner = (F.floor(F.greatest("__x0", "__ox0") / cell) == F.col("__cx")) & (F.floor(F.greatest("__y0", "__oy0") / cell) == F.col("__cy"))
-    return met.where(corner).select(*part, F.col("__i").alias("a"), F.col("__oi").alias("b"))
+    copies = [F.abs(F.floor(F.col(f"__{c}1") / size) - F.floor(F.col(f"__{c}0") / size)) + 1 for c, size in (("x", cell), ("y", height))]
+    count = grown.agg(F.sum(copies[0] * copies[1])).first()[0] or 0
+    tasks = max(-(-int(count) // TASK_BOXES), boxes.sparkSession.sparkContext.defaultParallelism)
+    keys = [*part, "__cx", "__cy"]
+    placed = grown.withColumn("__cx", _cells(F.col("__x0"), F.col("__x1"), cell)).withColumn("__cy", _cells(F.col("__y0"), F.col("__y1"), height)).repartition(tasks, *keys)
+    kept = F.monotonically_increasing_id() >= 0  # always true, but Spark would drop a sort right below a join
+    other = placed.select(*keys, *[F.col(f"__{c}").alias(f"__o{c}") for c in ("i", "x0", "x1", "y0", "y1")]).sortWithinPartitions(*keys, "__oi").where(kept)
+    met = placed.sortWithinPartitions(*keys, F.floor(F.col("__x0") / cell) == F.col("__cx"), "__y0").where(kept).join(other, keys)
+    linked = met.where("__i < __oi AND __x0 < __ox1 AND __ox0 < __x1 AND __y0 < __oy1 AND __oy0 < __y1")
+    corner = (F.floor(F.greatest("__x0", "__ox0") / cell) == F.col("__cx")) & (F.floor(F.greatest("__y0", "__oy0") / height) == F.col("__cy"))
+    return linked.where(corner).select(*part, F.col("__i").alias("a"), F.col("__oi").alias("b"))
 
 
 class Skyline:

@@ -158,7 +158,7 @@ def _boxes(spark, sf):
 
 @query("d17b_overlap_pairs", f"WITH {BOXES} SELECT p, a, b FROM lk")
 def d17b(spark, sf):
-    return B.overlap_pairs(_boxes(spark, sf), ["p"], "id", "x0", "x1", "y0", "y1", 30, 4000)
+    return B.overlap_pairs(_boxes(spark, sf), ["p"], "id", "x0", "x1", "y0", "y1", 30, 4000, 120)
 
 
 @query("d17c_linked_boxes", f"""WITH RECURSIVE {BOXES}, both_ AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),

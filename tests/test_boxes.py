@@ -45,6 +45,30 @@ def test_linked_boxes(spark, n, most, gap, band, merged):
     assert len(got) == len(set(got)) and set(got) == {x for x in pairs if x[0] is not None}
 
 
+@pytest.mark.parametrize("cell, height", [(40, None), (100, 7), (25, 400)])
+def test_overlap_pairs_by_any_cells(spark, cell, height):
+    draw, rows = random.Random(5), []
+    for i in range(250):
+        x, y = (draw.randrange(50), draw.randrange(50)) if i % 3 == 0 else (draw.randrange(-300, 300), draw.randrange(-300, 300))
+        rows.append((draw.choice("ab"), i * 7 % 1009, x, x + draw.randrange(1, 90), y, y + draw.randrange(1, 90)))
+    got = [(r.p, r.a, r.b) for r in boxes.overlap_pairs(spark.createDataFrame(rows, SCHEMA), ["p"], "id", "x0", "x1", "y0", "y1", 5, cell, *[height][: height is not None]).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 5)[1]
+
+
+def test_overlap_pairs_are_stored_in_few_bytes(spark, tmp_path):
+    """852,797 pairs of 6,000 boxes: 1.07 bytes each, 1.77 when rows came in no order."""
+    draw, rows = random.Random(6), []
+    for i in range(6000):
+        x, y = draw.randrange(40_000), draw.randrange(2400)
+        rows.append(("a", i, x, x + draw.randrange(4000, 12_000), y, y + draw.randrange(60, 210)))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/boxes")
+    boxes.overlap_pairs(spark.read.parquet(f"{tmp_path}/boxes"), ["p"], "id", "x0", "x1", "y0", "y1", 30, 4000).write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs == sum(len([0 for b in rows[:i] if a[2] < b[3] + 30 and b[2] < a[3] + 30 and a[4] < b[5] + 30 and b[4] < a[5] + 30]) for i, a in enumerate(rows))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 1.4 * pairs, (size, pairs)
+
+
 def test_a_pile_makes_few_links(spark):
     """20,000 boxes over one spot have 2 * 10 ** 8 pairs; the sweep makes about one link a box."""
     pile = spark.range(20_000).select(F.lit("a").alias("p"), "id", (F.col("id") % 89).alias("x0"), (F.col("id") % 89 + 200).alias("x1"), (F.col("id") % 97).alias("y0"), (F.col("id") % 97 + 300).alias("y1"))
