@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,19 +40,38 @@ def shifted_labels(frames: DataFrame, labels: DataFrame, part: list[str], pos: s
     return frames.join(labels.select(*part, (F.col(pos) - offset).alias(pos), value), [*part, pos])
 
 
+#: Slots that a task of resampled writes, and slots of a part that are written in a row: Parquet stores the second's repeats in few bytes.
+TASK_SLOTS, ROW_SLOTS = 50_000_000, 4096
+
+
 def resampled(df: DataFrame, part: list[str], t: str, value: str, step: float, most_tail: int) -> DataFrame:
     """part, slot, value: a grid of step from each part's first time; a slot takes the nearest row, the earlier on
-    ties. The grid ends at most most_tail slots after the last row."""
-    bounds = df.groupBy(*part).agg(F.min(t).alias("t0"), F.max(t).alias("t1"))
-    last = F.floor((F.col("t1") - F.col("t0")) / step).cast("long") + most_tail
-    grid = bounds.select(*part, "t0", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slot")).withColumn("__t", F.col("t0") + F.col("slot") * step)
-    rows = grid.select(*part, "__t", "slot", F.lit(None).cast(df.schema[value].dataType).alias("__v"), F.lit(None).cast("double").alias("__u")).unionByName(df.select(*part, F.col(t).cast("double").alias("__t"), F.lit(None).cast("long").alias("slot"), F.col(value).alias("__v"), F.col(t).cast("double").alias("__u")))
-    # Both frames grow: Spark computes one that reaches to the end anew for every row, so what is ahead is read backwards.
-    seen = F.last(F.when(F.col("__u").isNotNull(), F.struct("__u", "__v")), ignorenulls=True)
-    back, ahead = (seen.over(Window.partitionBy(*part).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)) for order in (F.asc("__t"), F.desc("__t")))
-    x = rows.withColumn("a", back).withColumn("b", ahead).where("slot IS NOT NULL")
-    pick = F.when(F.col("b").isNull() | (F.col("__t") - F.col("a.__u") <= F.col("b.__u") - F.col("__t")), F.col("a.__v")).otherwise(F.col("b.__v"))
-    return x.select(*part, "slot", pick.alias(value))
+    ties. The grid ends at most most_tail slots after the last row.
+
+    A row takes the slots between the middles to the rows before and after it, so only rows are shuffled and sorted. Slots, which may be
+    many more, come last: by ROW_SLOTS of each part of a task, then the next ones of each, so that they repeat what came shortly before.
+    Rows without a time have no slots."""
+    at = F.col(t)
+    slots = df.groupBy(*part).agg((F.floor((F.max(t) - F.min(t)) / step) + 1 + most_tail).alias("__n")).agg(F.sum("__n")).first()[0] or 0
+    tasks = max(-(-int(slots) // TASK_SLOTS), df.sparkSession.sparkContext.defaultParallelism)
+    ordered = Window.partitionBy(*part).orderBy(t, value)
+    first = F.min(t).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
+    times = {"__a": F.lag(t).over(ordered) - first, "__t": at - first, "__b": F.lead(t).over(ordered) - first}
+    rows = df.select(*part, t, value).where(at.isNotNull()).repartition(tasks, *part).select(*part, value, *[c.cast("double").alias(n) for n, c in times.items()])
+
+    def held(a: str, b: str) -> Column:
+        """The last slot that is no nearer to b than to a; a rounded quotient may be one off."""
+        a, b = F.col(a), F.col(b)
+        n = F.floor((a + b) / 2 / step)
+        return F.when((n + 1) * step - a <= b - (n + 1) * step, n + 1).when(n * step - a <= b - n * step, n).otherwise(n - 1)
+
+    low = F.coalesce(held("__a", "__t") + 1, F.lit(0))
+    high = F.coalesce(held("__t", "__b"), F.floor(F.col("__t") / step) + most_tail)
+    runs = rows.select(*part, value, low.alias("__low"), high.alias("__high")).where("__low <= __high")
+    place = lambda c: F.floor(F.col(c) / ROW_SLOTS)
+    pieces = runs.withColumn("__row", F.explode(F.sequence(place("__low"), place("__high")))).sortWithinPartitions("__row", *part, "__low")
+    start = F.col("__row") * ROW_SLOTS
+    return pieces.select(*part, F.explode(F.sequence(F.greatest("__low", start), F.least("__high", start + ROW_SLOTS - 1))).alias("slot"), value)
 
 
 def bounded_parts(runs: DataFrame, part: list[str], start: str, end: str, media_end: str, size: int, least: int) -> DataFrame:
