@@ -7,6 +7,7 @@ space between them is less than the gap in both directions; touching with a gap
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from functools import reduce
 from math import inf
 
 from pyspark.sql import Column, DataFrame
@@ -21,29 +22,39 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 
 
 #: Boxes in cells that a task of overlap_pairs takes: few enough for its idents to fit the dictionary of a Parquet column, 1 MB.
-TASK_BOXES = 100_000
+TASK_BOXES = 130_000
+#: Where two boxes may start that are paired in a cell: 1, in its columns; 2, in its rows; 3, in both; 0, in neither. Boxes of the first kind come in this order.
+MEETINGS = ((3, 3, "__y0"), (3, 1, "__y0"), (3, 2, "__y0"), (3, 0, "__y0"), (1, 2, "__y1"))
 
 
 def overlap_pairs(boxes: DataFrame, part: list[str], ident: str, x0: str, x1: str, y0: str, y1: str, gap: float, cell: float, height: float | None = None) -> DataFrame:
     """part, a, b (a < b): all pairs of linked boxes of a part. Cells are `cell` wide and `height` (or `cell`) high.
 
     A box lies in every cell it covers. Two linked boxes share the cell that holds the upper left corner of their
-    intersection, and are paired in that cell only, so no pair comes twice. A join: as many rows as there are pairs, though boxes
-    are shuffled once. Boxes that start one below the other come one after the other, each with its partners by ident, so that
-    rows repeat what came shortly before and are stored in few bytes."""
+    intersection, and are paired in that cell only, so no pair comes twice. There one box starts in both directions, or one in each:
+    a join for each such case, so that few boxes are compared in vain. As many rows as there are pairs, though boxes are shuffled once.
+    Boxes with much the same partners come one after the other, each with its partners by ident, so that rows repeat what came
+    shortly before and are stored in few bytes."""
     height = cell if height is None else height
     grown = boxes.select(*part, F.col(ident).alias("__i"), F.col(x0).alias("__x0"), (F.col(x1) + gap).alias("__x1"), F.col(y0).alias("__y0"), (F.col(y1) + gap).alias("__y1"))
-    copies = [F.abs(F.floor(F.col(f"__{c}1") / size) - F.floor(F.col(f"__{c}0") / size)) + 1 for c, size in (("x", cell), ("y", height))]
+    # A box with a negative extent lies in the cell where it starts, as pairs are found where the later of two starts.
+    spans = [(F.col(f"__{c}0"), F.greatest(f"__{c}0", f"__{c}1"), size) for c, size in (("x", cell), ("y", height))]
+    copies = [F.floor(high / size) - F.floor(low / size) + 1 for low, high, size in spans]
     count = grown.agg(F.sum(copies[0] * copies[1])).first()[0] or 0
     tasks = max(-(-int(count) // TASK_BOXES), boxes.sparkSession.sparkContext.defaultParallelism)
     keys = [*part, "__cx", "__cy"]
-    placed = grown.withColumn("__cx", _cells(F.col("__x0"), F.col("__x1"), cell)).withColumn("__cy", _cells(F.col("__y0"), F.col("__y1"), height)).repartition(tasks, *keys)
-    kept = F.monotonically_increasing_id() >= 0  # always true, but Spark would drop a sort right below a join
-    other = placed.select(*keys, *[F.col(f"__{c}").alias(f"__o{c}") for c in ("i", "x0", "x1", "y0", "y1")]).sortWithinPartitions(*keys, "__oi").where(kept)
-    met = placed.sortWithinPartitions(*keys, F.floor(F.col("__x0") / cell) == F.col("__cx"), "__y0").where(kept).join(other, keys)
-    linked = met.where("__i < __oi AND __x0 < __ox1 AND __ox0 < __x1 AND __y0 < __oy1 AND __oy0 < __y1")
-    corner = (F.floor(F.greatest("__x0", "__ox0") / cell) == F.col("__cx")) & (F.floor(F.greatest("__y0", "__oy0") / height) == F.col("__cy"))
-    return linked.where(corner).select(*part, F.col("__i").alias("a"), F.col("__oi").alias("b"))
+    shuffled = grown.withColumn("__cx", _cells(*spans[0])).withColumn("__cy", _cells(*spans[1])).repartition(tasks, *keys)
+    # Always true. Without it Spark would drop a sort right below a join, and shuffle anew for each kind.
+    kept = F.monotonically_increasing_id() >= 0
+    starts = F.when(F.floor(F.col("__x0") / cell) == F.col("__cx"), 1).otherwise(0) + F.when(F.floor(F.col("__y0") / height) == F.col("__cy"), 2).otherwise(0)
+    placed = shuffled.where(kept).withColumn("__s", starts)
+    others = placed.select(*keys, *[F.col(f"__{c}").alias(f"__o{c}") for c in ("s", "i", "x0", "x1", "y0", "y1")])
+    linked = []
+    for kind, other, order in MEETINGS:
+        met = placed.where(F.col("__s") == kind).sortWithinPartitions(*keys, order).where(kept).join(others.where(F.col("__os") == other).sortWithinPartitions(*keys, "__oi").where(kept), keys)
+        overlap = met.where("__y0 < __oy1 AND __oy0 < __y1 AND __x0 < __ox1 AND __ox0 < __x1").where("__i < __oi" if kind == other else "__i <> __oi")
+        linked.append(overlap.select(*part, F.least("__i", "__oi").alias("a"), F.greatest("__i", "__oi").alias("b")))
+    return reduce(DataFrame.unionByName, linked)
 
 
 class Skyline:
